@@ -12,6 +12,10 @@ key that holds a third of the rows, runs in one task.  ``ranked`` instead:
    per-slice offsets with a window over at most #partitions rows per key;
 4. adds the offset back (join on (partition, key)).
 
+The partitioned, locally numbered rows are checkpointed (reliable, to the
+shared ``spark.checkpoint.dir``) so the totals and the rows agree on
+partition ids even if an executor is lost.
+
 The result has ``_rn`` (1-based row number within key), ``_n`` (rows in the
 key) and, for each requested column, ``_cum_<col>`` (running sum including
 the current row) and ``_all_<col>`` (sum over the key).  The order must be total (add a unique tie-breaker).
@@ -23,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.session import checkpoint_dir
+
 
 def ranked(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
            running_sums: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
@@ -35,7 +41,10 @@ def ranked(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     cols = {"_lrn": F.row_number().over(local)}
     for c in running_sums:
         cols[f"_lcum_{c}"] = F.sum(c).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parted = parted.withColumns(cols)
+    # Materialise once: both the slice totals and the rows must see the same
+    # partition ids, which two independent range exchanges do not guarantee.
+    checkpoint_dir(spark)
+    parted = parted.withColumns(cols).checkpoint(eager=True)
 
     slices = parted.groupBy("_pid", *keys).agg(
         F.count(F.lit(1)).alias("_cnt"), *[F.sum(c).alias(f"_tot_{c}") for c in running_sums])
@@ -65,3 +74,14 @@ def ntile_of(rn: Column, n: Column, buckets: int) -> Column:
     big = rem * (size + 1)
     return F.when(r < big, F.floor(r / (size + 1)) + 1) \
             .otherwise(rem + F.floor((r - big) / F.greatest(size, F.lit(1))) + 1).cast("int")
+
+
+def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                  cols: Sequence[str]) -> DataFrame:
+    """``lead(col) over (partition by keys order by order)`` for each of
+    ``cols`` (as ``next_<col>``), as a rank + equi self-join on
+    (keys, row number) so one hot key is not processed by a single task."""
+    r = ranked(df, order, keys).drop("_n")
+    nxt = r.select(*keys, (F.col("_rn") - 1).alias("_rn"),
+                   *[F.col(c).alias(f"next_{c}") for c in cols])
+    return r.join(nxt, [*keys, "_rn"], "left").drop("_rn")
