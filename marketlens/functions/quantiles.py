@@ -24,6 +24,8 @@ def quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
     """One row per group (or one row overall) with a column per quantile."""
     keys = list(keys)
     base = df.where(F.col(col).isNotNull())
+    for k in keys:      # null keys form no group (pandas groupby semantics)
+        base = base.where(F.col(k).isNotNull())
     if approx_accuracy:
         aggs = [F.percentile_approx(col, p, approx_accuracy).cast("double").alias(name)
                 for name, p in probs.items()]
