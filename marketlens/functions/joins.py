@@ -15,13 +15,16 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 
 
 def join_small(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-               max_rows: int = 100_000) -> DataFrame:
-    """Join ``fact`` to a dimension that is small by construction.
-
-    The dimension is broadcast only after a row-count check; beyond the bound
-    the join is left to the planner (shuffle join, AQE skew splitting).
+               max_rows: int | None = None) -> DataFrame:
+    """Join ``fact`` to a dimension expected to be small.
+
+    With ``max_rows`` the dimension is broadcast only after a row-count check
+    (for sides whose size the planner cannot estimate, e.g. a filtered slice
+    of a large table).  Without it, or beyond the bound, the choice is left to
+    the planner's file-size estimate (``autoBroadcastJoinThreshold``) and to
+    AQE at run time; a large side then joins by shuffle with skew splitting.
     """
-    if fits(dim, max_rows):
+    if max_rows is not None and fits(dim, max_rows):
         dim = F.broadcast(dim)
     return fact.join(dim, on, how)
 

@@ -28,3 +28,20 @@ def pct(numer: Column, denom: Column, digits: int = 2) -> Column:
 def mean_flag(cond: Column) -> Column:
     """pandas ``(col == x).mean()``: null counts as False."""
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
+
+
+def money_avg(c, digits: int = 4) -> Column:
+    """Mean of a money-like column, exact: decimal sum / count, rounded
+    half-up in decimal, returned as double.  Doubles averaged in different
+    orders (or rounded via different binary/decimal conversions) disagree on
+    ties; exact decimals do not."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.sum(c.cast(MONEY)) / F.count(c), digits).cast("double")
+
+
+def money_avg_sql(c: str, digits: int = 4) -> str:
+    """The same exact half-up mean in portable integer SQL (for oracles)."""
+    den = f"(count({c}) * {10 ** (6 - digits)})"
+    s6 = f"CAST(sum(CAST({c} AS DECIMAL(18,6))) * 1000000 AS HUGEINT)"
+    q = f"(sign({s6}) * ((2 * abs({s6}) + {den}) // (2 * {den})))"
+    return f"(CAST({q} AS DOUBLE) / {10 ** digits}.0)"

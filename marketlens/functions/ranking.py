@@ -12,9 +12,9 @@ key that holds a third of the rows, runs in one task.  ``ranked`` instead:
    per-slice offsets with a window over at most #partitions rows per key;
 4. adds the offset back (join on (partition, key)).
 
-The partitioned, locally numbered rows are checkpointed (reliable, to the
-shared ``spark.checkpoint.dir``) so the totals and the rows agree on
-partition ids even if an executor is lost.
+The partitioned, locally numbered rows are written once to the shared
+``spark.checkpoint.dir`` folder and read back, so the totals and the rows
+agree on partition ids even if an executor is lost.
 
 The result has ``_rn`` (1-based row number within key), ``_n`` (rows in the
 key) and, for each requested column, ``_cum_<col>`` (running sum including
@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.session import checkpoint_dir
+from marketlens.sources.store import materialize
 
 
 def ranked(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
@@ -43,8 +43,7 @@ def ranked(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
         cols[f"_lcum_{c}"] = F.sum(c).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Materialise once: both the slice totals and the rows must see the same
     # partition ids, which two independent range exchanges do not guarantee.
-    checkpoint_dir(spark)
-    parted = parted.withColumns(cols).checkpoint(eager=True)
+    parted = materialize(spark, parted.withColumns(cols), "ranked")
 
     slices = parted.groupBy("_pid", *keys).agg(
         F.count(F.lit(1)).alias("_cnt"), *[F.sum(c).alias(f"_tot_{c}") for c in running_sums])

@@ -22,6 +22,9 @@ from marketlens.functions.joins import attach_scalars, join_small
 from marketlens.functions.quantiles import median_of, quantiles
 from marketlens.functions.text import strip
 from marketlens.sources.master import REVIEW_TEXT_KEYS, review_messages
+from marketlens.sources.store import materialize
+
+CAT = "product_category_name_english"
 
 PURCHASE = "order_purchase_timestamp"
 
@@ -106,9 +109,9 @@ def add_review_features(df: DataFrame, texts: DataFrame) -> DataFrame:
     })
 
 
-def group_median_fill(df: DataFrame, col: str, key: str, max_groups: int = 1_000_000) -> DataFrame:
-    """Fill from the group median, then from the global median of the
-    already group-filled column."""
+def group_median_fill(df: DataFrame, col: str, key: str, max_groups: int | None = None) -> DataFrame:
+    """N2 for one column: fill from the group median, then from the global
+    median of the already group-filled column."""
     gm = median_of(df, col, "_gmed", [key])
     out = join_small(df, gm, key, "left", max_rows=max_groups)
     out = out.withColumn(col, F.coalesce(F.col(col), F.col("_gmed"))).drop("_gmed")
@@ -120,24 +123,68 @@ def global_median_fill(df: DataFrame, col: str) -> DataFrame:   # N1
     return attach_scalars(df, med).withColumn(col, F.coalesce(F.col(col), F.col("_med"))).drop("_med")
 
 
-def fill_missing(df: DataFrame) -> DataFrame:          # N1–N3
-    df = global_median_fill(df, "payment_value")
-    df = df.withColumn("product_category_name_english",
-                       F.coalesce("product_category_name_english", F.lit("Unknown")))
-    df = group_median_fill(df, "freight_value", "customer_state")
-    df = df.withColumn("order_item_id", F.coalesce("order_item_id", F.lit(1)))
-    df = group_median_fill(df, "price", "product_category_name_english")
-    return global_median_fill(df, "payment_installments")
-
-
-def add_money_features(df: DataFrame) -> DataFrame:    # P9, N5
+def _long(df: DataFrame, specs) -> DataFrame:
+    """Stack ``(name, group column or None, value column)`` specs into
+    ``(column_name, grp, value)`` rows so several medians share one pass."""
+    parts = [df.select(F.lit(name).alias("column_name"),
+                       (F.col(g).cast("string") if g else F.lit("")).alias("grp"),
+                       F.col(v).cast("double").alias("value"))
+             for name, g, v in specs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _stats(spark: SparkSession, df: DataFrame, specs, probs, name: str) -> DataFrame:
+    q = quantiles(_long(df, specs), "value", probs, ["column_name", "grp"])
+    return materialize(spark, q, name) if spark is not None else q
+
+
+def _pick(stats: DataFrame, column: str, out: str, key: str | None = None, stat: str = "m") -> DataFrame:
+    sel = stats.where(F.col("column_name") == column)
+    if key:
+        return sel.select(F.col("grp").alias(key), F.col(stat).alias(out))
+    return sel.select(F.col(stat).alias(out))
+
+
+def fill_missing(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:     # N1–N3
+    """Fills in the modelled order, with the medians batched into two passes:
+    (1) payment and installment medians, freight-by-state and
+    price-by-category medians (category already filled with 'Unknown');
+    (2) global medians of the group-filled freight and price."""
+    df = df.withColumn(CAT, F.coalesce(CAT, F.lit("Unknown")))
+    s1 = _stats(spark, df, [("payment_value", None, "payment_value"),
+                            ("payment_installments", None, "payment_installments"),
+                            ("freight_value", "customer_state", "freight_value"),
+                            ("price", CAT, "price")], {"m": 0.5}, "medians-1")
+    df = attach_scalars(df, _pick(s1, "payment_value", "_pv").crossJoin(_pick(s1, "payment_installments", "_pi")))
+    # s1 is a written table: the planner sizes it from its files
+    df = join_small(df, _pick(s1, "freight_value", "_fs", "customer_state"), "customer_state", "left")
+    df = join_small(df, _pick(s1, "price", "_pc", CAT), CAT, "left")
+    df = df.withColumns({
+        "payment_value": F.coalesce("payment_value", "_pv"),
+        "payment_installments": F.coalesce(F.col("payment_installments").cast("double"), F.col("_pi")),
+        "freight_value": F.coalesce("freight_value", "_fs"),
+        "order_item_id": F.coalesce("order_item_id", F.lit(1)),
+        "price": F.coalesce("price", "_pc"),
+    }).drop("_pv", "_pi", "_fs", "_pc")
+    s2 = _stats(spark, df, [("freight_value", None, "freight_value"), ("price", None, "price")],
+                {"m": 0.5}, "medians-2")
+    df = attach_scalars(df, _pick(s2, "freight_value", "_fg").crossJoin(_pick(s2, "price", "_pg")))
+    return df.withColumns({"freight_value": F.coalesce("freight_value", "_fg"),
+                           "price": F.coalesce("price", "_pg")}).drop("_fg", "_pg")
+
+
+def add_money_features(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:    # P9, N5
     df = df.withColumns({
         "total_item_value": F.col("price") + F.col("freight_value"),
         "freight_pct": F.coalesce(
             F.try_divide(F.col("freight_value"), F.nullif(F.col("price"), F.lit(0.0))) * 100,
             F.lit(0.0)),
     })
-    q = quantiles(df, "freight_pct", {"_q1": 0.25, "_q3": 0.75})
+    s3 = _stats(spark, df, [("freight_pct", None, "freight_pct")], {"q1": 0.25, "q3": 0.75}, "iqr")
+    q = s3.select(F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
     lo = F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))
     hi = F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))
     return (attach_scalars(df, q)
@@ -153,5 +200,7 @@ def base_features(master: DataFrame, texts: DataFrame) -> DataFrame:
                   .transform(lambda d: add_review_features(d, texts)))
 
 
-def finish(base: DataFrame) -> DataFrame:
-    return base.transform(fill_missing).transform(add_money_features)
+def finish(base: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Fills and money features.  With ``spark`` the small median tables are
+    written once to the shared folder instead of being recomputed per use."""
+    return add_money_features(fill_missing(base, spark), spark)

@@ -24,7 +24,7 @@ def build_enriched(spark: SparkSession, sf_dir: str, write: bool = True) -> Data
     base = enrich.base_features(master(spark, sf_dir), texts)
     if write:
         base = materialize(spark, base, "fact-base")
-    out = enrich.finish(base)
+    out = enrich.finish(base, spark if write else None)
     if write:
         out = materialize(spark, out, "fact-enriched")
     return out

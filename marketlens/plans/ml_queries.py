@@ -1 +1,152 @@
-"""Queries registered by this module."""
+"""Forecasting queries (G23, W1–W3, W7, M16–M23, U1) and their oracles.
+Model-based entries have no SQL oracle (rows-only check)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketlens.functions.money import money_avg_sql
+from marketlens.operators import drilldown as dd
+from marketlens.operators import forecast as fc
+from marketlens.operators.fact import enriched
+from marketlens.plans.drilldown_queries import SUMMARY_CTE
+from marketlens.plans.oracle import over_fact
+from marketlens.plans.registry import query
+from marketlens.sources.store import materialize
+
+_PI = "pi()"
+
+
+def _fourier_sql(d: str) -> str:
+    dow, wk, mo, doy = f"(isodow({d}) - 1)", f"weekofyear({d})", f"month({d})", f"dayofyear({d})"
+    parts = []
+    for name, x, per in (("dayofweek", dow, 7.0), ("week", wk, 52.0), ("month", mo, 12.0), ("dayofyear", doy, 365.0)):
+        parts.append(f"round(sin(2 * {_PI} * {x} / {per}), 6) + 0.0 AS sin_{name}")
+        parts.append(f"round(cos(2 * {_PI} * {x} / {per}), 6) + 0.0 AS cos_{name}")
+    parts += [f"year({d}) AS year", f"quarter({d}) AS quarter", f"{mo} AS month",
+              f"CASE WHEN isodow({d}) >= 6 THEN 1 ELSE 0 END AS is_weekend",
+              f"CASE WHEN {mo} = 11 AND day({d}) >= 22 THEN 1 ELSE 0 END AS is_black_friday",
+              f"CASE WHEN {mo} = 12 AND day({d}) <= 24 THEN 1 ELSE 0 END AS is_holiday_season"]
+    return ",\n  ".join(parts)
+
+
+_MIX = ",\n  ".join(
+    [f"round(avg(CASE WHEN coalesce(cr, 0) = {k} THEN 1.0 ELSE 0.0 END), 4) AS cat_{k}" for k in range(1, 11)]
+    + ["round(avg(CASE WHEN cr IS NULL THEN 1.0 ELSE 0.0 END), 4) AS cat_other"]
+    + [f"round(avg(CASE WHEN sr = {k} THEN 1.0 ELSE 0.0 END), 4) AS state_{k}" for k in range(1, 4)]
+    + ["round(avg(CASE WHEN sr IS NULL THEN 1.0 ELSE 0.0 END), 4) AS state_other"])
+
+PANEL_CTE = f"""
+topc AS (SELECT product_category_name_english AS c, row_number() OVER (ORDER BY m DESC, product_category_name_english) AS cr
+         FROM (SELECT product_category_name_english, round(sum(CAST(payment_value AS DECIMAL(18,6))), 2) AS m FROM fact
+               WHERE product_category_name_english IS NOT NULL GROUP BY 1) QUALIFY cr <= 10),
+tops AS (SELECT customer_state AS s, row_number() OVER (ORDER BY m DESC, customer_state) AS sr
+         FROM (SELECT customer_state, count(*) AS m FROM fact WHERE customer_state IS NOT NULL GROUP BY 1) QUALIFY sr <= 3),
+daily AS (
+  SELECT CAST(order_purchase_timestamp AS DATE) AS date,
+    CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS daily_gmv,
+    CAST(round(sum(CAST(total_item_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS daily_item_revenue,
+    CAST(round(sum(CAST(freight_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS shipping_revenue,
+    count(order_item_id) AS order_volume,
+    {money_avg_sql('price')} AS avg_price,
+    {money_avg_sql('freight_pct')} AS avg_freight_pct,
+    round(avg(payment_installments), 4) AS avg_installments, round(avg(is_installment), 4) AS is_installment_rate,
+    round(avg(is_returning_customer), 4) AS is_returning_customer,
+    {_MIX}
+  FROM fact LEFT JOIN topc ON product_category_name_english = topc.c LEFT JOIN tops ON customer_state = tops.s
+  WHERE order_status = 'delivered' GROUP BY 1),
+panel AS (SELECT *, {_fourier_sql('date')} FROM daily)"""
+
+_ROLLS = ",\n  ".join(
+    [f"lag(daily_gmv, {k}) OVER w AS lag_{k}" for k in fc.LAGS]
+    + [f"CASE WHEN count(daily_gmv) OVER (w ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) = {k} THEN "
+       f"round({fn}(daily_gmv) OVER (w ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), 4) END AS roll_{nm}_{k}"
+       for k in fc.ROLLS for fn, nm in (("avg", "mean"), ("stddev_samp", "std"))])
+SUP_CTE = PANEL_CTE + f""",
+sup AS (SELECT * FROM (SELECT *, {_ROLLS} FROM panel WINDOW w AS (ORDER BY date))
+        WHERE {' AND '.join([f'lag_{k} IS NOT NULL' for k in fc.LAGS] + [f'roll_{nm}_{k} IS NOT NULL' for k in fc.ROLLS for nm in ('mean', 'std')])}),
+split AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY date DESC) <= 30 THEN 'test' ELSE 'train' END AS split FROM sup)"""
+
+
+def _panel(spark, sf_dir):
+    return fc.daily_panel(enriched(spark, sf_dir))
+
+
+@query("fc_daily_panel", "G23 P10 P11 P12 F1", over_fact("SELECT * FROM panel", PANEL_CTE))
+def fc_daily_panel(spark, sf_dir):
+    return _panel(spark, sf_dir)
+
+
+@query("fc_supervised", "W1 W2 W3 T2", over_fact("SELECT * EXCLUDE (split) FROM split", SUP_CTE))
+def fc_supervised(spark, sf_dir):
+    return fc.supervised(_panel(spark, sf_dir))
+
+
+@query("fc_holdout_split", "M16", over_fact("SELECT date, split FROM split", SUP_CTE))
+def fc_holdout_split(spark, sf_dir):
+    return fc.holdout_split(fc.supervised(_panel(spark, sf_dir))).select("date", "split")
+
+
+@query("fc_naive_metrics", "M22", over_fact("""
+SELECT round(sum(abs(daily_gmv - lag_1)) / sum(abs(daily_gmv)) * 100, 2) AS WAPE_pct,
+       round(avg(2 * abs(daily_gmv - lag_1) / (abs(daily_gmv) + abs(lag_1) + 1e-8)) * 100, 2) AS SMAPE_pct,
+       round(avg(abs(daily_gmv - lag_1)), 2) AS MAE,
+       round(sqrt(avg((daily_gmv - lag_1) * (daily_gmv - lag_1))), 2) AS RMSE,
+       round(1 - sum((daily_gmv - lag_1) * (daily_gmv - lag_1)) / (count(daily_gmv) * var_pop(daily_gmv)), 4) AS R2
+FROM split WHERE split = 'test'""", SUP_CTE))
+def fc_naive_metrics(spark, sf_dir):
+    return fc.metrics(fc.naive_forecast(fc.holdout_split(fc.supervised(_panel(spark, sf_dir)))))
+
+
+@query("fc_history_tail", "W7", over_fact("""
+SELECT date, daily_gmv FROM panel ORDER BY date DESC LIMIT 113""", PANEL_CTE))
+def fc_history_tail(spark, sf_dir):
+    return fc.history_tail(_panel(spark, sf_dir)).select("date", "daily_gmv")
+
+
+SHARES_CTE = SUMMARY_CTE + """,
+shares AS (SELECT CASE WHEN grouping(category, state) & 2 > 0 THEN 'ALL' ELSE category END AS category,
+                  CASE WHEN grouping(category, state) & 1 > 0 THEN 'ALL' ELSE state END AS state,
+                  sum(total_revenue) / (SELECT sum(total_revenue) FROM summary) AS share
+           FROM summary GROUP BY CUBE (category, state))"""
+
+
+@query("fc_slice_shares", "M21 J8", over_fact(
+    "SELECT category, state, round(share * 100, 4) AS share_pct FROM shares", SHARES_CTE))
+def fc_slice_shares(spark, sf_dir):
+    sh = fc.slice_shares(dd.summary(enriched(spark, sf_dir)))
+    return sh.select("category", "state", F.round(F.col("share") * 100, 4).alias("share_pct"))
+
+
+@query("fc_slice_history", "M21 U1 F3", over_fact("""
+SELECT date, 'Actual (History)' AS type, round(daily_gmv * (SELECT share FROM shares WHERE category = 'ALL' AND state = 'ALL'), 2) AS value
+FROM (SELECT date, daily_gmv FROM panel ORDER BY date DESC LIMIT 113)""", PANEL_CTE + "," + SHARES_CTE))
+def fc_slice_history(spark, sf_dir):
+    fact = enriched(spark, sf_dir)
+    shares = fc.slice_shares(dd.summary(fact))
+    return fc.slice_series(shares, fc.history_tail(fc.daily_panel(fact)))
+
+
+def _models(spark, sf_dir):
+    # the supervised matrix is small (one row per day): write it once so
+    # every boosting iteration reads it instead of recomputing the panel
+    split = materialize(spark, fc.holdout_split(fc.supervised(_panel(spark, sf_dir))), "fc-split")
+    return split, fc.evaluate_models(split)
+
+
+@query("fc_model_evaluation", "M17 M19 M22 M13")
+def fc_model_evaluation(spark, sf_dir):
+    _, (evaluation, _) = _models(spark, sf_dir)
+    return evaluation
+
+
+@query("fc_future_90d", "M20 M23 U2 U1 M21")
+def fc_future_90d(spark, sf_dir):
+    """Best model by hold-out WAPE, refit on the full supervised matrix,
+    rolled forward 90 days."""
+    split, (evaluation, _) = _models(spark, sf_dir)
+    best = fc.best_model_name(evaluation).first()["model"]
+    sup = split.drop("split")
+    model = fc.model_candidates()[best].fit(sup)
+    panel = materialize(spark, _panel(spark, sf_dir), "fc-panel")
+    future = fc.recursive_forecast(panel, model)
+    return future.withColumn("model", F.lit(best))

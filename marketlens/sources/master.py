@@ -37,7 +37,7 @@ STATUS_MAP = {"F": "delivered", "O": "shipped"}   # anything else -> canceled
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = load_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = load_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return join_small(nation, region, nation.n_regionkey == region.r_regionkey, max_rows=10_000) \
+    return join_small(nation, region, nation.n_regionkey == region.r_regionkey) \
         .select("n_nationkey", "n_name", "r_name")
 
 
@@ -52,7 +52,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
 
     cust_geo = join_small(customer, geography(spark, sf_dir),
-                          F.col("c_nationkey") == F.col("n_nationkey"), max_rows=10_000)
+                          F.col("c_nationkey") == F.col("n_nationkey"))
     df = (li.join(orders, li.l_orderkey == orders.o_orderkey)
             .join(cust_geo, F.col("o_custkey") == F.col("c_custkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey")))
