@@ -1 +1,46 @@
 """Queries registered by this module."""
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from marketlens.operators import recommend as rc  # noqa: E402
+from marketlens.operators.fact import enriched  # noqa: E402
+from marketlens.plans.oracle import over_fact  # noqa: E402
+from marketlens.plans.registry import query  # noqa: E402
+from marketlens.sources.store import materialize  # noqa: E402
+from marketlens.functions.money import money_avg_sql  # noqa: E402
+
+_CATALOG_SQL = f"""
+per AS (SELECT product_id, min(product_category_name_english) AS product_category_name_english,
+               {money_avg_sql('price')} AS price, round(avg(review_score), 4) AS review_score,
+               CAST(min(product_size) AS DOUBLE) AS product_weight_g
+        FROM fact WHERE product_id IS NOT NULL GROUP BY product_id),
+st AS (SELECT avg(price) mp, stddev_pop(price) sp, avg(review_score) mr, stddev_pop(review_score) sr,
+              avg(product_weight_g) mw, stddev_pop(product_weight_g) sw FROM per)"""
+
+
+@query("rec_catalog", "M24", over_fact("""
+SELECT product_id, product_category_name_english, price, review_score, product_weight_g,
+       round(coalesce((price - mp) / nullif(sp, 0), 0.0), 4) AS price_scaled,
+       round(coalesce((review_score - mr) / nullif(sr, 0), 0.0), 4) AS rating_scaled,
+       round(coalesce((product_weight_g - mw) / nullif(sw, 0), 0.0), 4) AS weight_scaled
+FROM per, st""", _CATALOG_SQL))
+def rec_catalog(spark, sf_dir):
+    return rc.catalog(enriched(spark, sf_dir))
+
+
+def _catalog_feats(spark, sf_dir):
+    cat = materialize(spark, rc.catalog(enriched(spark, sf_dir)), "catalog")
+    return cat, materialize(spark, rc.content_features(cat), "content-features")
+
+
+@query("rec_similar_content", "M25 M27 J6 J4")
+def rec_similar_content(spark, sf_dir):
+    cat, feats = _catalog_feats(spark, sf_dir)
+    return rc.similar_products(cat, rc.content_vectors(feats), "content", 5, "content")
+
+
+@query("rec_similar_svd", "M26 M27 J6")
+def rec_similar_svd(spark, sf_dir):
+    cat, feats = _catalog_feats(spark, sf_dir)
+    lat = materialize(spark, rc.svd_latent(feats), "latent")
+    return rc.similar_products(cat, lat, "latent", 5, "svd")
