@@ -44,3 +44,79 @@ def rec_similar_svd(spark, sf_dir):
     cat, feats = _catalog_feats(spark, sf_dir)
     lat = materialize(spark, rc.svd_latent(feats), "latent")
     return rc.similar_products(cat, lat, "latent", 5, "svd")
+
+from marketlens.operators import insights as ins  # noqa: E402
+from marketlens.operators import kpis  # noqa: E402
+from marketlens.operators import sentiment as se  # noqa: E402
+from marketlens.operators.retrieval import questions  # noqa: E402
+
+
+def _route_sql() -> str:
+    q = "lower(regexp_replace(question, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'))"
+    whens = "\n".join(
+        "  WHEN " + " OR ".join(f"contains({q}, '{w}')" for w in words) + f" THEN '{name}'"
+        for name, words in ins.INTENT_RULES)
+    return f"CASE\n{whens}\n  ELSE '{ins.FALLBACK_INTENT}' END"
+
+
+_QUESTIONS_SQL = "qs AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user')"
+
+
+@query("ins_question_routing", "R6", f"WITH {_QUESTIONS_SQL} SELECT qid, question, {_route_sql()} AS intent FROM qs")
+def ins_question_routing(spark, sf_dir):
+    return ins.route(questions(spark, sf_dir))
+
+
+@query("ins_intent_counts", "R6", f"""WITH {_QUESTIONS_SQL}
+SELECT intent, count(*) AS questions FROM (SELECT {_route_sql()} AS intent FROM qs) GROUP BY intent""")
+def ins_intent_counts(spark, sf_dir):
+    return ins.intent_counts(ins.route(questions(spark, sf_dir)))
+
+
+@query("ins_routed_answers", "R6 G1 G2 G13")
+def ins_routed_answers(spark, sf_dir):
+    fact = enriched(spark, sf_dir)
+    kp = ins.kpi_long(kpis.headline(fact), kpis.delivery_headline(fact),
+                      se.distribution(se.labelled(se.reviews(fact))))
+    return ins.answers(ins.route(questions(spark, sf_dir)), kp)
+
+
+_R7_METRICS = ("total_revenue", "total_orders", "avg_order_value", "positive_pct", "negative_pct",
+               "late_delivery_rate_pct", "delivery_success_rate_pct", "cancellation_rate_pct",
+               "returning_customer_rate_pct")
+_FOCUS = {"total_revenue": "General overview", "total_orders": "General overview",
+          "avg_order_value": "General overview", "returning_customer_rate_pct": "Growth",
+          "positive_pct": "Customer Sentiment", "negative_pct": "Customer Sentiment",
+          "late_delivery_rate_pct": "Logistics & Delivery", "delivery_success_rate_pct": "Logistics & Delivery",
+          "cancellation_rate_pct": "Logistics & Delivery"}
+
+
+@query("ins_insight_metrics", "R7 G38", over_fact(f"""
+SELECT CASE metric {' '.join(f"WHEN '{m}' THEN '{f}'" for m, f in _FOCUS.items())} END AS focus,
+       category, state, metric, value,
+       CASE WHEN metric = 'late_delivery_rate_pct' AND value >= 4.0 THEN 'above_benchmark' ELSE '' END AS flag
+FROM cells UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(_R7_METRICS)}))""", """
+cells AS (
+  SELECT CASE WHEN grouping(product_category_name_english, customer_state) & 2 > 0 THEN 'ALL' ELSE product_category_name_english END AS category,
+         CASE WHEN grouping(product_category_name_english, customer_state) & 1 > 0 THEN 'ALL' ELSE customer_state END AS state,
+         CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS total_revenue,
+         CAST(count(DISTINCT order_id) AS DOUBLE) AS total_orders,
+         CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))) / count(DISTINCT order_id), 2) AS DOUBLE) AS avg_order_value,
+         round(sum(CASE WHEN sentiment = 'Positive' THEN 1 ELSE 0 END) * 100.0 / nullif(sum(CASE WHEN sentiment IN ('Positive','Negative','Neutral') THEN 1 ELSE 0 END), 0), 2) AS positive_pct,
+         round(sum(CASE WHEN sentiment = 'Negative' THEN 1 ELSE 0 END) * 100.0 / nullif(sum(CASE WHEN sentiment IN ('Positive','Negative','Neutral') THEN 1 ELSE 0 END), 0), 2) AS negative_pct,
+         round(sum(CASE WHEN order_status = 'delivered' AND delivery_status = 'Late' THEN 1 ELSE 0 END) * 100.0 / nullif(sum(CASE WHEN order_status = 'delivered' THEN 1 ELSE 0 END), 0), 2) AS late_delivery_rate_pct,
+         round(avg(CASE WHEN order_status = 'delivered' THEN 1.0 ELSE 0.0 END) * 100, 2) AS delivery_success_rate_pct,
+         round(avg(CASE WHEN order_status = 'canceled' THEN 1.0 ELSE 0.0 END) * 100, 2) AS cancellation_rate_pct,
+         round(avg(is_returning_customer) * 100, 2) AS returning_customer_rate_pct
+  FROM fact GROUP BY CUBE (product_category_name_english, customer_state))"""))
+def ins_insight_metrics(spark, sf_dir):
+    return ins.insight_metrics(enriched(spark, sf_dir))
+
+
+@query("ins_five_level_labels", "P20", over_fact("""
+SELECT CASE review_score WHEN 1 THEN 'Very Negative' WHEN 2 THEN 'Negative' WHEN 3 THEN 'Neutral'
+                         WHEN 4 THEN 'Positive' WHEN 5 THEN 'Very Positive' ELSE 'Unknown' END AS label,
+       count(*) AS rows FROM fact GROUP BY 1"""))
+def ins_five_level_labels(spark, sf_dir):
+    return enriched(spark, sf_dir).groupBy(ins.five_level(F.col("review_score")).alias("label")) \
+        .agg(F.count(F.lit(1)).alias("rows"))
