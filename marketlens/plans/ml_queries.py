@@ -10,6 +10,7 @@ from marketlens.operators import forecast as fc
 from marketlens.operators.fact import enriched
 from marketlens.plans.drilldown_queries import SUMMARY_CTE
 from marketlens.plans.oracle import over_fact
+from marketlens.plans.memo import memo
 from marketlens.plans.registry import query
 from marketlens.sources.store import materialize
 
@@ -129,8 +130,11 @@ def fc_slice_history(spark, sf_dir):
 def _models(spark, sf_dir):
     # the supervised matrix is small (one row per day): write it once so
     # every boosting iteration reads it instead of recomputing the panel
-    split = materialize(spark, fc.holdout_split(fc.supervised(_panel(spark, sf_dir))), "fc-split")
-    return split, fc.evaluate_models(split)
+    def build():
+        split = materialize(spark, fc.holdout_split(fc.supervised(_panel(spark, sf_dir))), "fc-split")
+        evaluation, fitted = fc.evaluate_models(split)
+        return split, (materialize(spark, evaluation, "fc-eval"), fitted)
+    return memo(spark, sf_dir, "forecast-models", build)
 
 
 @query("fc_model_evaluation", "M17 M19 M22 M13")
@@ -150,3 +154,119 @@ def fc_future_90d(spark, sf_dir):
     panel = materialize(spark, _panel(spark, sf_dir), "fc-panel")
     future = fc.recursive_forecast(panel, model)
     return future.withColumn("model", F.lit(best))
+
+from marketlens.operators import classify as cl  # noqa: E402
+from marketlens.operators import satisfaction as sat  # noqa: E402
+from marketlens.operators import sentiment as se  # noqa: E402
+from marketlens.operators import sentiment_ml as sml  # noqa: E402
+from marketlens.operators.enrich import review_text_dim  # noqa: E402
+from marketlens.operators.insights import keyword_sentiment  # noqa: E402
+from marketlens.functions.text import clean_text  # noqa: E402
+
+
+def _sentiment_model(spark, sf_dir):
+    def build():
+        fact = enriched(spark, sf_dir)
+        corpus = sml.review_corpus(se.reviews(fact), review_text_dim(spark, sf_dir))
+        split = materialize(spark, cl.stratified_split(corpus, "sentiment", ["review_id"]), "sent-split")
+        return split, sml.SentimentModel().fit(split.where(F.col("split") == "train"))
+    return memo(spark, sf_dir, "sentiment-model", build)
+
+
+@query("sent_model_report", "M1 M2 M3 M4")
+def sent_model_report(spark, sf_dir):
+    split, model = _sentiment_model(spark, sf_dir)
+    pred = model.transform(split.where(F.col("split") == "test"))
+    return cl.report(pred, "sentiment", "predicted_sentiment")
+
+
+@query("sent_batch_scoring", "M5")
+def sent_batch_scoring(spark, sf_dir):
+    split, model = _sentiment_model(spark, sf_dir)
+    return model.transform(split).select("review_id", "sentiment", "predicted_sentiment",
+                                         "probabilities", "confidence")
+
+
+_KW_SQL = None
+
+
+def _keyword_report_sql() -> str:
+    from marketlens.operators.insights import NEGATIVE_WORDS, POSITIVE_WORDS
+    from marketlens.plans.sentiment_queries import REVIEW_CTES, tokens_sql
+    t = f"array_to_string({tokens_sql('review_text')}, ' ')"
+    pos = " OR ".join(f"contains(ct, '{w}')" for w in POSITIVE_WORDS)
+    neg = " OR ".join(f"contains(ct, '{w}')" for w in NEGATIVE_WORDS)
+    return over_fact("""
+SELECT cls AS class, round(prec, 4) AS precision, round(rec, 4) AS recall,
+       round(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END, 4) AS f1, support
+FROM per
+UNION ALL
+SELECT 'accuracy', round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4),
+       round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4),
+       round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4), count(*) FROM pr""",
+                     REVIEW_CTES + f""",
+revt AS (SELECT r.review_id, r.sentiment, min(f.review_text) AS review_text FROM lab r
+         JOIN fact f ON f.review_id = r.review_id GROUP BY 1, 2),
+pr AS (SELECT sentiment, CASE WHEN ({neg}) AND NOT ({pos}) THEN 'Negative' ELSE 'Positive' END AS pred
+       FROM (SELECT sentiment, {t} AS ct FROM revt)),
+classes AS (SELECT sentiment AS cls FROM pr UNION SELECT pred FROM pr),
+per AS (SELECT c.cls, coalesce(t.tp * 1.0 / nullif(p.predicted, 0), 0.0) AS prec,
+               coalesce(t.tp * 1.0 / nullif(s.support, 0), 0.0) AS rec, coalesce(s.support, 0) AS support
+        FROM classes c
+        LEFT JOIN (SELECT sentiment AS cls, count(*) AS support FROM pr GROUP BY 1) s ON s.cls = c.cls
+        LEFT JOIN (SELECT pred AS cls, count(*) AS predicted FROM pr GROUP BY 1) p ON p.cls = c.cls
+        LEFT JOIN (SELECT sentiment AS cls, count(*) AS tp FROM pr WHERE sentiment = pred GROUP BY 1) t ON t.cls = c.cls)""")
+
+
+@query("sent_keyword_report", "P21 M4 P19", _keyword_report_sql())
+def sent_keyword_report(spark, sf_dir):
+    """Keyword fallback scorer evaluated against the star-derived labels."""
+    fact = enriched(spark, sf_dir)
+    texts = review_text_dim(spark, sf_dir)
+    # score each distinct text once, then attach by key
+    label, _ = keyword_sentiment(clean_text(F.col("review_text")))
+    scored = texts.select("review_key", label.alias("pred"))
+    no_text, _ = keyword_sentiment(clean_text(F.lit("")))
+    revs = se.labelled(se.reviews(fact)).join(scored, "review_key", "left") \
+             .withColumn("pred", F.coalesce("pred", no_text))
+    rep = cl.report(revs, "sentiment", "pred")
+    return rep.where(~F.col("class").isin("macro avg", "weighted avg"))
+
+
+def _satisfaction_data(spark, sf_dir):
+    def build():
+        train, test, _ = sat.prepare(enriched(spark, sf_dir))
+        train = materialize(spark, train, "sat-train")
+        test = materialize(spark, test, "sat-test")
+        return materialize(spark, sat.smote(train), "sat-smote"), test
+    return memo(spark, sf_dir, "satisfaction-data", build)
+
+
+def _satisfaction(spark, sf_dir):
+    balanced, test = _satisfaction_data(spark, sf_dir)
+    fitted = memo(spark, sf_dir, "satisfaction-models", lambda: sat.train_all(balanced))
+    return balanced, test, fitted
+
+
+@query("sat_smote_balance", "M8 F6 M6 M7 M3 N4 P4")
+def sat_smote_balance(spark, sf_dir):
+    bal, _ = _satisfaction_data(spark, sf_dir)
+    return bal.groupBy("review_score").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("sat_model_comparison", "M9 M10 M11 M13")
+def sat_model_comparison(spark, sf_dir):
+    _, test, fitted = _satisfaction(spark, sf_dir)
+    return sat.comparison(fitted, test)
+
+
+@query("sat_report_and_sample", "M4 M14 M15 M28")
+def sat_report_and_sample(spark, sf_dir):
+    _, test, fitted = _satisfaction(spark, sf_dir)
+    scored = sat.side_by_side(fitted, test)
+    sample = sat.seeded_sample(scored)
+    rep = cl.report(fitted["RandomForest"].transform(sat._assembled(test)), "label", "prediction")
+    imp = sat.importances(fitted["RandomForest"])
+    return (sample.select(F.lit("sample").alias("part"), F.to_json(F.struct(*sample.columns)).alias("row"))
+            .unionByName(rep.select(F.lit("report").alias("part"), F.to_json(F.struct(*rep.columns)).alias("row")))
+            .unionByName(imp.select(F.lit("importance").alias("part"), F.to_json(F.struct(*imp.columns)).alias("row"))))
