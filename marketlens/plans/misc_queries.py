@@ -8,6 +8,7 @@ from marketlens.plans.oracle import over_fact  # noqa: E402
 from marketlens.plans.registry import query  # noqa: E402
 from marketlens.sources.store import materialize  # noqa: E402
 from marketlens.functions.money import money_avg_sql  # noqa: E402
+from marketlens.sources.tables import load_table  # noqa: E402
 
 _CATALOG_SQL = f"""
 per AS (SELECT product_id, min(product_category_name_english) AS product_category_name_english,
@@ -120,3 +121,60 @@ SELECT CASE review_score WHEN 1 THEN 'Very Negative' WHEN 2 THEN 'Negative' WHEN
 def ins_five_level_labels(spark, sf_dir):
     return enriched(spark, sf_dir).groupBy(ins.five_level(F.col("review_score")).alias("label")) \
         .agg(F.count(F.lit(1)).alias("rows"))
+
+from marketlens.operators import products as pd_  # noqa: E402
+from marketlens.sources import files  # noqa: E402
+
+
+@query("prod_geometry", "P14", """
+SELECT p_partkey AS product_id, CAST(p_size * p_size * p_size AS BIGINT) AS volume_cm3,
+       round(p_size * 100 / 1000.0, 3) AS weight_kg,
+       CASE WHEN p_size * p_size * p_size <= 1000 THEN 'Small' WHEN p_size * p_size * p_size <= 10000 THEN 'Medium'
+            WHEN p_size * p_size * p_size <= 50000 THEN 'Large' ELSE 'Extra Large' END AS size_category
+FROM part""")
+def prod_geometry(spark, sf_dir):
+    dims = pd_.part_dimensions(load_table(spark, sf_dir, "part"))
+    g = pd_.geometry(dims, "product_length_cm", "product_height_cm", "product_width_cm", "product_weight_g")
+    return g.select("product_id", "volume_cm3", "weight_kg", "size_category")
+
+
+@query("prod_order_composition", "P15", over_fact("""
+SELECT order_id, count(DISTINCT order_item_id) AS items_per_order,
+       CASE WHEN count(DISTINCT order_item_id) > 1 THEN 1 ELSE 0 END AS is_multi_item,
+       CASE WHEN count(DISTINCT seller_id) > 1 THEN 1 ELSE 0 END AS is_multi_seller
+FROM fact GROUP BY order_id"""))
+def prod_order_composition(spark, sf_dir):
+    return pd_.order_composition(enriched(spark, sf_dir))
+
+
+_TITLE = ("array_to_string(list_transform(string_split(lower({x}), ' '), "
+          "lambda w: upper(w[1:1]) || w[2:]), ' ')")
+
+
+@query("prod_display_labels", "P18", over_fact(f"""
+SELECT product_id,
+       {_TITLE.format(x="regexp_replace(replace(coalesce(product_category_name_english, 'General Items'), '_', ' '), '(?i)unknown', 'General Items', 'g')")} AS display_category,
+       printf('$%.2f', {money_avg_sql('price', 2)}) AS price_label,
+       'ID: ' || substring(CAST(product_id AS VARCHAR), 1, 8) || '...' AS id_label
+FROM fact WHERE product_id IS NOT NULL GROUP BY product_id, product_category_name_english"""))
+def prod_display_labels(spark, sf_dir):
+    from marketlens.functions.money import money_avg
+    f = enriched(spark, sf_dir).where(F.col("product_id").isNotNull())
+    per = f.groupBy("product_id", "product_category_name_english").agg(money_avg("price", 2).alias("p"))
+    return per.select("product_id", pd_.display_name(F.col("product_category_name_english")).alias("display_category"),
+                      pd_.price_label(F.col("p")).alias("price_label"), pd_.id_label(F.col("product_id")).alias("id_label"))
+
+
+@query("prod_category_domain", "T3", over_fact("""
+SELECT product_category_name_english, row_number() OVER (ORDER BY product_category_name_english) AS position
+FROM (SELECT DISTINCT product_category_name_english FROM fact WHERE product_category_name_english IS NOT NULL)"""))
+def prod_category_domain(spark, sf_dir):
+    return pd_.domain(enriched(spark, sf_dir), "product_category_name_english")
+
+
+@query("kpi_document", "S6 G1 G3 G4 G5 G6 G7")
+def kpi_document(spark, sf_dir):
+    fact = enriched(spark, sf_dir)
+    return files.kpi_document(kpis.headline(fact), kpis.delivery_headline(fact), kpis.top_states(fact),
+                              kpis.top_categories_by_revenue(fact), kpis.payment_share(fact),
+                              kpis.monthly_delivered_revenue(fact), kpis.data_range(fact))

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The modelled workload is batch only (no watermark, window, state store or
+late-data logic anywhere in it), so no Structured Streaming operator is
+provided.  Every query here is a batch DataFrame job over whole tables.
+"""
