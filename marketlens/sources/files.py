@@ -70,7 +70,7 @@ def read_artifact(spark: SparkSession, path: str, fmt: str, schema: T.StructType
 
 def read_text_dir(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:   # S4, S5
     """One row per file: (source file name, whole text)."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"),
                      F.col("value").alias("text"))
 
