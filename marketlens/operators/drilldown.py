@@ -13,7 +13,8 @@ from marketlens.functions.money import money_sum, rounded
 from marketlens.functions.ranking import ranked
 
 CAT = "product_category_name_english"
-LABELLED = F.col("sentiment").isin("Positive", "Negative", "Neutral")
+def _labelled():
+    return F.col("sentiment").isin("Positive", "Negative", "Neutral")
 ALL = "ALL"
 
 
@@ -29,7 +30,7 @@ def slice_filter(df: DataFrame, category: str | None = None, state: str | None =
 def _cell_metrics():
     delivered = F.col("order_delivered_customer_date").isNotNull()
     n = F.count(F.lit(1))
-    n_lab = F.sum(LABELLED.cast("int"))
+    n_lab = F.sum(_labelled().cast("int"))
 
     def share(label):
         return F.when(n_lab > 0, F.round(F.sum((F.col("sentiment") == label).cast("int")) * 100.0 / n_lab, 1))

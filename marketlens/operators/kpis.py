@@ -14,7 +14,8 @@ from marketlens.functions.money import mean_flag, money_sum, pct, rounded
 from marketlens.functions.ranking import ranked
 
 CAT = "product_category_name_english"
-DELIVERED = F.col("order_status") == "delivered"
+def _delivered():
+    return F.col("order_status") == "delivered"
 
 
 def headline(fact: DataFrame) -> DataFrame:                       # G1 (+ Q4, Q6 variants)
@@ -36,7 +37,7 @@ def headline(fact: DataFrame) -> DataFrame:                       # G1 (+ Q4, Q6
         F.count_distinct("customer_unique_id").alias("total_customers"),
         F.count_distinct("seller_id").alias("total_sellers"),
         F.round(revenue / orders, 2).cast("double").alias("avg_order_value"),
-        rounded(mean_flag(DELIVERED) * 100, 2).alias("delivery_success_rate_pct"),
+        rounded(mean_flag(_delivered()) * 100, 2).alias("delivery_success_rate_pct"),
         rounded(mean_flag(F.col("order_status") == "canceled") * 100, 2).alias("cancellation_rate_pct"),
         rounded(F.avg("review_score"), 2).alias("avg_review_score"),
         rounded(F.avg("is_returning_customer") * 100, 2).alias("returning_customer_rate_pct"),
@@ -45,7 +46,7 @@ def headline(fact: DataFrame) -> DataFrame:                       # G1 (+ Q4, Q6
 
 
 def delivery_headline(fact: DataFrame) -> DataFrame:              # G2
-    d = fact.where(DELIVERED)
+    d = fact.where(_delivered())
     return d.agg(rounded(mean_flag(F.col("delivery_status") == "Late") * 100, 2).alias("late_delivery_rate_pct"),
                  rounded(F.avg("delivery_days"), 2).alias("avg_delivery_days"))
 
@@ -72,7 +73,7 @@ def payment_share(fact: DataFrame) -> DataFrame:                  # G5, W8
 
 
 def monthly_delivered_revenue(fact: DataFrame) -> DataFrame:      # G6
-    return (fact.where(DELIVERED).groupBy(F.col("year_month").alias("month"))
+    return (fact.where(_delivered()).groupBy(F.col("year_month").alias("month"))
                 .agg(money_sum("payment_value").alias("revenue")))
 
 

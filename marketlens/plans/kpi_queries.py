@@ -65,7 +65,7 @@ def kpi_payment_share(spark, sf_dir):
     return kpis.payment_share(enriched(spark, sf_dir))
 
 
-@query("kpi_monthly_revenue", "G6 F1 S1 J1 P1 P2 P3 P5 P6 P7 P8 P9 N1 N2 N3 N5", over_fact(f"""
+@query("kpi_monthly_revenue", "G6 F1 J1 J2 P1 P2 P3 P5 P6 P7 P8 P9 P22 N1 N2 N3 N5", over_fact(f"""
 SELECT year_month AS month, {msum('payment_value')} AS revenue
 FROM fact WHERE order_status = 'delivered' GROUP BY year_month"""))
 def kpi_monthly_revenue(spark, sf_dir):

@@ -143,7 +143,7 @@ def fc_model_evaluation(spark, sf_dir):
     return evaluation
 
 
-@query("fc_future_90d", "M20 M23 U2 U1 M21")
+@query("fc_future_90d", "M20 M23 U2 U1 M21 M18 S9")
 def fc_future_90d(spark, sf_dir):
     """Best model by hold-out WAPE, refit on the full supervised matrix,
     rolled forward 90 days."""
@@ -248,7 +248,7 @@ def _satisfaction(spark, sf_dir):
     return balanced, test, fitted
 
 
-@query("sat_smote_balance", "M8 F6 M6 M7 M3 N4 P4")
+@query("sat_smote_balance", "M8 F6 M6 M7 M3 N4 P4 J5 P17")
 def sat_smote_balance(spark, sf_dir):
     bal, _ = _satisfaction_data(spark, sf_dir)
     return bal.groupBy("review_score").agg(F.count(F.lit(1)).alias("rows"))
