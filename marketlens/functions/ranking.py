@@ -19,6 +19,7 @@ agree on partition ids even if an executor is lost.
 The result has ``_rn`` (1-based row number within key), ``_n`` (rows in the
 key) and, for each requested column, ``_cum_<col>`` (running sum including
 the current row) and ``_all_<col>`` (sum over the key).  The order must be total (add a unique tie-breaker).
+Keys must be non-null (rows with a null key form no group; callers filter).
 """
 from __future__ import annotations
 
