@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as T
 from marketlens.functions.money import pct, rounded
 from marketlens.operators.kpis import top_categories_by_revenue
+from marketlens.sources.store import materialize
 
 CAT = "product_category_name_english"
 LABELS = ("Negative", "Neutral", "Positive")
@@ -128,6 +129,8 @@ def word_count_histogram(fact: DataFrame, messages: DataFrame, bins: int = 30,
     wc = cleaned_texts(messages, stopwords).select("review_key", F.size("tokens").alias("words"))
     lines = text_multiplicity(fact).join(wc, "review_key", "left") \
         .withColumn("words", F.coalesce("words", F.lit(0)))
+    # one row per distinct text key, read three times below: write it once
+    lines = materialize(fact.sparkSession, lines, "text-lines")
     rng = lines.agg(F.min("words").alias("lo"), F.max("words").alias("hi"))
     width = (F.col("hi") - F.col("lo")).cast("double")
     b = F.when(width == 0, F.lit(0)).otherwise(
