@@ -1,7 +1,9 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Unicode White_Space the way the word-size contract splits words.
@@ -24,3 +26,51 @@ def shuffle_width(spark: SparkSession) -> int:
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string")), F.lit(0))
+
+
+def sample_ids(rows: DataFrame, by: str, per_value: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``per_value`` ids for each value of ``by``: those with the
+    smallest hashes, so the choice does not depend on the layout.  The ranking
+    limit is applied before the shuffle as well, so a hot value stays small."""
+    order = Window.partitionBy(by).orderBy(F.xxhash64(id_col), id_col)
+    return rows.where(F.col(by).isNotNull() & F.col(id_col).isNotNull()) \
+               .select(id_col, by).withColumn("_nth", F.row_number().over(order)) \
+               .where(F.col("_nth") <= per_value).drop("_nth")
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, chars: int, id_col: str = "doc_id") -> list:
+    """``(id, ..., text)`` rows of a bounded set of ids, brought to the driver
+    to fit a model; each text is cut to ``chars`` characters here only."""
+    kept = [c for c in ids.columns if c != id_col]
+    ids = ids.groupBy(id_col).agg(*[F.min(c).alias(c) for c in kept])
+    texts = docs.select(F.col(id_col).alias("_id"), F.substring("text", 1, chars).alias("_text")) \
+                .where(F.col("_text").isNotNull())
+    found = texts.join(F.broadcast(ids), F.col("_id") == F.col(id_col)) \
+                 .groupBy(id_col, *kept).agg(F.min("_text").alias("text"))
+    return sorted(found.collect(), key=lambda r: r[id_col])
+
+
+def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of an Arrow string column without copying rows
+    (nulls count as empty)."""
+    if column.null_count:
+        column = column.fill_null("")
+    column = column.cast(pa.large_binary())
+    n, at = len(column), column.offset
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[at:at + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data, offsets
+
+
+def sum_rows(values: np.ndarray, offsets: np.ndarray, start: int, into: np.ndarray) -> None:
+    """Adds per-byte ``values`` of the bytes ``start .. start + len(values)``
+    to the rows they belong to."""
+    stop = start + len(values)
+    first = int(np.searchsorted(offsets, start, "right")) - 1
+    last = int(np.searchsorted(offsets, stop, "left"))
+    rows = np.arange(first, last)
+    cuts = np.maximum(offsets[first:last], start) - start
+    full = offsets[first + 1:last + 1] > offsets[first:last]        # reduceat has no empty runs
+    if full.any():
+        into[rows[full]] += np.add.reduceat(values, cuts[full], axis=0, dtype=into.dtype)

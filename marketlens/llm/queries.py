@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ctph, mixing, polytope
+from marketlens.llm import ctph, mixing, ordinal, polytope, ppm, semantic_knn
 from marketlens.llm.common import read_table
 
 
@@ -24,8 +24,21 @@ def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.severity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic_knn.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ctph_fingerprints, op2_cross_polytope, op3_sainte_lague_mix)
+    f.__name__: f for f in (op1_ctph_fingerprints, op2_cross_polytope, op3_sainte_lague_mix, op5_ppm_language,
+                                 op8_ordinal_toxicity, op9_knn_quality)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
