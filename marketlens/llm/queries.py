@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ctph, mixing, ordinal, pii, polytope, ppm, secrets, semantic_knn
+from marketlens.llm import ctph, mixing, ordinal, packing, pii, polytope, ppm, secrets, semantic_knn
 from marketlens.llm.common import read_table
 
 
@@ -32,6 +32,10 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op7_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.severity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ctph_fingerprints, op2_cross_polytope, op3_sainte_lague_mix, op5_ppm_language,
-                                 op6_pii_spans, op8_ordinal_toxicity, op9_knn_quality, op10_secret_ownership)
+                                 op6_pii_spans, op7_minimum_slack_packing,
+                                 op8_ordinal_toxicity, op9_knn_quality, op10_secret_ownership)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
