@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ctph, mixing, ordinal, packing, pii, polytope, ppm, secrets, semantic_knn
+from marketlens.llm import ctph, mixing, order_minhash, ordinal, packing, pii, polytope, ppm, secrets, semantic_knn
 from marketlens.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(read_table(spark, sf_dir, "documents"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(read_table(spark, sf_dir, "documents")).drop("node")
+
+
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ctph_fingerprints, op2_cross_polytope, op3_sainte_lague_mix, op5_ppm_language,
+    f.__name__: f for f in (op1_ctph_fingerprints, op2_cross_polytope, op3_sainte_lague_mix, op4_order_minhash, op5_ppm_language,
                                  op6_pii_spans, op7_minimum_slack_packing,
                                  op8_ordinal_toxicity, op9_knn_quality, op10_secret_ownership)
 }
