@@ -32,10 +32,12 @@ def sample_ids(rows: DataFrame, by: str, per_value: int, id_col: str = "doc_id")
     """At most ``per_value`` ids for each value of ``by``: those with the
     smallest hashes, so the choice does not depend on the layout.  The ranking
     limit is applied before the shuffle as well, so a hot value stays small."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64(id_col), id_col)
-    return rows.where(F.col(by).isNotNull() & F.col(id_col).isNotNull()) \
-               .select(id_col, by).withColumn("_nth", F.row_number().over(order)) \
-               .where(F.col("_nth") <= per_value).drop("_nth")
+    rows = rows.where(F.col(by).isNotNull() & F.col(id_col).isNotNull()) \
+               .select(id_col, by).withColumn("_slice", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(64)))
+    for keys in ([by, "_slice"], [by]):        # in slices first: one task gets at most 64 times the limit
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col)
+        rows = rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_value).drop("_nth")
+    return rows.drop("_slice")
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, chars: int, id_col: str = "doc_id") -> list:
