@@ -16,10 +16,11 @@ and only a maximum spanning forest of the pairs whose marks agree in at least
 ``AGREE`` places is tested, a number linear in the rows.  Each task first does
 so for its own rows and passes on one representative per tree, so a group that
 holds a third of all rows is reduced before the shuffle.  Candidates are
-confirmed by banded alignment of the whole texts.  Then, as long as a node of
-a refused pair has an untested candidate in another component, the best of
-these are tested, so a refused edge of a forest does not separate texts that
-another pair joins.  Components come from alternating stars over the links;
+confirmed by banded alignment of the whole texts.  A refused edge of a forest
+does not separate texts that another pair joins: where the texts of one tree
+are not all joined, those outside its largest component are compared with all
+of them in blocks, by an exact bound (how many shingles they share) and then by
+alignment, and only the links that join components are returned.  Components come from alternating stars over the links;
 links and components stay distributed.
 
 Defined cases: null texts and texts without a word are never grouped; rows
@@ -30,12 +31,12 @@ table gives no rows.
 from __future__ import annotations
 
 import itertools
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import utf8_buffer
@@ -44,7 +45,8 @@ from marketlens.sources.store import materialize
 SIMILARITY = 0.8
 AGREE = 15
 FOREST = 1024
-TRIES = 4
+COMPARED = 512
+COLUMNS = 2048
 
 SHINGLE = 5
 SKETCHES = 32
@@ -184,15 +186,22 @@ def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if max(na, nb) - int(np.minimum(ca[ia], cb[ib]).sum()) > limit:
         return None                     # what the two do not share has to be edited
-    breaks: dict[int, list[int]] = {}   # diagonal -> places in a where it does not match
+    first, second = a.tolist(), b.tolist()
 
     def slide(i: int, d: int) -> int:
-        """First place from i on where diagonal d stops matching."""
-        stops = breaks.get(d)
-        if stops is None:
-            lo, hi = max(0, -d), min(na, nb - d)
-            stops = breaks[d] = (np.flatnonzero(a[lo:hi] != b[lo + d:hi + d]) + lo).tolist() + [hi]
-        return stops[bisect_left(stops, i)]
+        """First place in a from i on where diagonal d stops matching."""
+        stop = min(na, nb - d)
+        if i >= stop or first[i] != second[i + d]:
+            return i
+        size = 32
+        while i < stop:
+            size = min(2 * size, stop - i)
+            differs = a[i:i + size] != b[i + d:i + d + size]
+            k = int(differs.argmax())
+            if differs[k]:
+                return i + k
+            i += size
+        return i
 
     goal = nb - na
     far = {0: slide(0, 0)}              # diagonal (place in b minus place in a) -> furthest place in a
@@ -210,7 +219,7 @@ def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
             i = min(i, na, nb - d)
             if i < 0:
                 continue
-            new[d] = slide(i, d) if i < min(na, nb - d) else i
+            new[d] = slide(i, d)
         if new.get(goal, -1) >= na:
             return e
         far = new
@@ -266,7 +275,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((node[row], key))
     key, row = key[order], row[order]
     rep = np.ones(len(key), bool)
-    edges: list[tuple[int, int, int]] = []
+    edges: list[tuple] = []
     for lo, hi in _runs(key):
         rep[lo:hi] = False
         own = row[lo:hi]
@@ -310,13 +319,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for lo, hi in _runs(key):
             pairs, _ = forest(n[lo:hi].astype(np.int64), s1[lo:hi].view(np.uint64), s2[lo:hi].view(np.uint64))
-            out += [(int(key[lo]), int(node[lo + x]), int(node[lo + y])) for x, y in pairs]
+            out += [(int(node[lo + x]), int(node[lo + y])) for x, y in pairs]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``near``: whether banded alignment confirms them."""
+def _verified(pairs: DataFrame, used: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``near``: whether banded alignment confirms them.
+    ``used(node, words)`` has one text of each node that is in a pair."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [alike(x, y) >= SIMILARITY for x, y in zip(
@@ -324,16 +334,96 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 batch.column("words_b").cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())],
                                              ["a", "b", "near"])
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # one text of each node that is in a pair
-    used = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
-    used = materialize(texts.sparkSession, used, "omh-texts")
     left = used.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
     right = used.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
     return both.mapInArrow(check, "a long, b long, near boolean")
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``."""
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)
+    places = []
+    for sets in (x, y):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = common[at] == values if len(common) else np.zeros(len(values), bool)
+        at, row = at[hit], row[hit]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], row[order]))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for (at, row), sets in zip(places, (x, y)):
+            lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[row[lo:hi], at[lo:hi] - start] = 1.0
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _joining(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between texts of different components in two blocks: all pairs
+    are bounded by what they share, the possible ones aligned, best first,
+    until the components they would join are joined."""
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        seqs = [[_rows_of(w.encode()) for w in side["words"]] for side in (left, right)]
+        both = _shared(*[[np.unique(labelled(s)) for s in side] for side in seqs])
+        n, m = (np.array([len(s) for s in side], float) for side in seqs)
+        r, q = left["root"].to_numpy(), right["root"].to_numpy()
+        most = np.maximum(n[:, None], m[None, :])
+        ok = (both >= most * SIMILARITY - 1e-6) & (r[:, None] != q[None, :])
+        i, j = np.nonzero(ok)
+        order = np.argsort(-(both[i, j] / most[i, j]), kind="stable")
+        parent: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            u, v = top(int(r[x])), top(int(q[y]))
+            if u != v:
+                longest = int(most[x, y])
+                if distance(seqs[0][x], seqs[1][y], int((1 - SIMILARITY) * longest + 1e-9)) is not None:
+                    parent[max(u, v)] = min(u, v)
+                    found.append((int(r[x]), int(q[y])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _rejoined(spark: SparkSession, found: DataFrame, roots: DataFrame, used: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between roots that the tested pairs have missed.
+
+    Any two texts with a common bucket and enough equal marks are in one
+    component of the candidate pairs, tested or not.  Where such a component
+    has fallen into several confirmed ones, the texts outside its largest are
+    compared with all of its texts, a block of at most about ``COMPARED`` rows
+    with a block."""
+    loose = components(spark, found.select("a", "b")).withColumnRenamed("root", "group") \
+        .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    loose = materialize(spark, loose, "omh-groups")
+    parts = loose.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("group").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count(F.lit(1)).alias("roots"),
+                                       F.max_by("root", F.struct("n", "root")).alias("main")).where(F.col("roots") > 1)
+    whole = whole.select("group", "main", F.ceil(F.col("n") / COMPARED).cast("int").alias("blocks"),
+                         F.ceil((F.col("n") - F.col("top")) / COMPARED).cast("int").alias("rests"))
+    rows = loose.join(whole, "group").join(used, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where(F.col("root") != F.col("main")).select(
+        "group", own("rests").alias("i"), "root", "words", every("blocks").alias("j"))
+    right = rows.select(F.col("group").alias("g"), own("blocks").alias("jj"), F.col("root").alias("root"),
+                        F.col("words").alias("words"), every("rests").alias("ii"))
+    right = right.select("g", "ii", "jj", F.col("root").alias("root_"), F.col("words").alias("words_"))
+
+    def join(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return _joining(x, y.rename(columns={"root_": "root", "words_": "words"}))
+    return left.groupBy("group", "i", "j").cogroup(right.groupBy("g", "ii", "jj")).applyInPandas(join, "a long, b long")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, root)``, the smallest node of each connected
     component, by alternating large and small stars until nothing changes."""
@@ -361,54 +451,30 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _marks_agree(a: str, b: str) -> Column:
-    out = F.lit(32)
-    for s in ("s1", "s2"):
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        out = out - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
-
-
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(edges, texts)``: confirmed links between nodes (distinct texts, named
-    by a 64-bit hash) and ``texts(node, words)`` of the rows of ``docs``."""
+def linked(docs: DataFrame) -> DataFrame:
+    """``(node, root)`` of every text that is linked to another one; nodes are
+    distinct texts, named by a 64-bit hash."""
     spark = docs.sparkSession
     texts = docs.select(node_of("text").alias("node"), F.lower("text").alias("words")).where(F.col("node").isNotNull())
     rows = materialize(spark, texts.mapInArrow(_local, _ROWS), "omh-sketches")
-    mine = rows.where(F.col("other").isNotNull()).select("key", F.col("node").alias("a"), F.col("other").alias("b"))
+    mine = rows.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
     stand = rows.where(F.col("rep")).select("key", "node", "n", "s1", "s2").repartition(F.col("key")) \
-                .sortWithinPartitions("key", "node").mapInArrow(_across, "key long, a long, b long")
-    ordered = lambda e: e.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = materialize(spark, ordered(mine.unionByName(stand)).where(F.col("a") != F.col("b")), "omh-candidates")
-    tested = materialize(spark, _verified(found.select("a", "b").distinct(), texts), "omh-verified")
-    members = rows.where(F.col("other").isNull())
-    while True:
-        good = tested.where("near").select("a", "b")
-        roots = materialize(spark, components(spark, good), "omh-roots")
-        # nodes with a refused pair: their other candidates may still join two components
-        loose = tested.where(~F.col("near")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if loose.isEmpty():
-            return good, texts
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mine = rooted.join(loose, "node", "left_semi")
-        keys = mine.select("key").distinct()
-        others = rooted.join(keys, "key", "left_semi")
-        x, y = mine.alias("x"), others.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                       & (F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n"))
-                       & (_marks_agree("x", "y") >= AGREE))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
-                             F.least("x.root", "y.root").alias("r1"), F.greatest("x.root", "y.root").alias("r2"),
-                             _marks_agree("x", "y").alias("like")).distinct() \
-                     .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        best = Window.partitionBy("r1", "r2").orderBy(F.col("like").desc(), "a", "b")
-        pairs = pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= TRIES).select("a", "b")
-        pairs = materialize(spark, pairs, "omh-candidates")
-        if pairs.isEmpty():
-            return good, texts
-        tested = materialize(spark, tested.unionByName(_verified(pairs, texts)), "omh-verified")
+                .sortWithinPartitions("key", "node").mapInArrow(_across, "a long, b long")
+    found = mine.unionByName(stand).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
+                .where(F.col("a") != F.col("b")).distinct()
+    found = materialize(spark, found, "omh-candidates")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one text of each node that is in a pair
+    used = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    used = materialize(spark, used, "omh-texts")
+    tested = materialize(spark, _verified(found, used), "omh-verified")
+    roots = materialize(spark, components(spark, tested.where("near").select("a", "b")), "omh-roots")
+    more = materialize(spark, _rejoined(spark, found, roots, used), "omh-rejoined")
+    upper = components(spark, more).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    joined = roots.join(upper, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    # a text without a confirmed pair of its own may be joined by the last step
+    return joined.unionByName(upper.join(roots, upper["root"] == roots["node"], "left_anti")
+                              .select(F.col("root").alias("node"), F.col("_top").alias("root")))
 
 
 def node_of(text: str) -> Column:
@@ -419,10 +485,8 @@ def node_of(text: str) -> Column:
 def classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``id, class_id`` (smallest id of its class),
     ``class_size`` (rows), ``node`` and ``kept`` (it is the row of that id)."""
-    spark = docs.sparkSession
-    edges, _ = links(docs)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), node_of("text").alias("node"))
-    roots = components(spark, edges)
+    roots = linked(docs)
     each = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows"))
     each = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
