@@ -464,8 +464,8 @@ def linked(docs: DataFrame) -> DataFrame:
                 .where(F.col("a") != F.col("b")).distinct()
     found = materialize(spark, found, "omh-candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text of each node that is in a pair
-    used = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    # one text of each node that is in a pair; by shuffle at every size, as the pairs grow with the input
+    used = texts.join(ends.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     used = materialize(spark, used, "omh-texts")
     tested = materialize(spark, _verified(found, used), "omh-verified")
     roots = materialize(spark, components(spark, tested.where("near").select("a", "b")), "omh-roots")
