@@ -46,9 +46,9 @@ def _counts(texts: dict[str, list[bytes]]) -> dict:
     for rows in texts.values():
         for b in rows:
             seen[np.frombuffer(b, np.uint8)] = True
-    symbols = np.zeros(256, np.int64)           # 0 stands for the start of a text and for unseen bytes
-    symbols[seen] = np.arange(1, seen.sum() + 1)
-    a = int(seen.sum()) + 1
+    a = int(seen.sum()) + 2
+    symbols = np.full(256, a - 1, np.int64)     # the last symbol is any unseen byte, 0 the start of a text
+    symbols[seen] = np.arange(1, a - 1)
     grams: dict[str, list] = {}
     for lang, rows in texts.items():
         pad = np.zeros(ORDER, np.int64)
