@@ -6,7 +6,6 @@ Layers:
   operators/  the analytics: enrichment, KPIs, drill-downs, customers, sentiment,
               profiling, forecasting, recommendation, retrieval, insights, classifiers
   plans/      the named query catalogue and the SQL oracle text used to check it
-  streaming/  (empty by design: the modelled workload is batch only)
 """
 
 __version__ = "0.1.0"

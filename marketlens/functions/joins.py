@@ -5,27 +5,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Costs one small job that stops after ``max_rows + 1`` rows, so it is cheap
-    exactly when the answer is yes.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_small(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-               max_rows: int | None = None) -> DataFrame:
+def join_small(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join ``fact`` to a dimension expected to be small.
 
-    With ``max_rows`` the dimension is broadcast only after a row-count check
-    (for sides whose size the planner cannot estimate, e.g. a filtered slice
-    of a large table).  Without it, or beyond the bound, the choice is left to
-    the planner's file-size estimate (``autoBroadcastJoinThreshold``) and to
-    AQE at run time; a large side then joins by shuffle with skew splitting.
+    The strategy is left to the planner's file-size estimate
+    (``autoBroadcastJoinThreshold``) and to AQE at run time; a large side joins
+    by shuffle with skew splitting.
     """
-    if max_rows is not None and fits(dim, max_rows):
-        dim = F.broadcast(dim)
     return fact.join(dim, on, how)
 
 

@@ -6,23 +6,18 @@ aggregate keyed by the value too), the distinct values are ranked with
 running frequency sums by ``functions.ranking.ranked`` (range-partitioned,
 so a hot group spans many tasks), and the two order statistics around
 ``(n-1)·p`` are picked and interpolated as ``lo + (hi-lo)·frac``.
-When the distinct-value table is small (checked, ``SMALL_DISTINCT`` rows)
-the running frequencies come from one window pass instead; beyond the bound
-the distributed ranking is used.  ``approx_accuracy`` switches to
+``approx_accuracy`` switches to
 ``percentile_approx`` (one pass, bounded memory, approximate).
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.joins import fits
 from marketlens.functions.ranking import ranked
 
-SMALL_DISTINCT = 1_000_000
-
 
 def quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
               keys: Sequence[str] = (), approx_accuracy: int | None = None) -> DataFrame:
@@ -37,13 +32,7 @@ def quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
         return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
     freq = base.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_freq"))
-    if fits(freq, SMALL_DISTINCT):
-        w = Window.partitionBy(*keys).orderBy(F.col(col).asc())
-        r = freq.withColumns({
-            "_cum__freq": F.sum("_freq").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_all__freq": F.sum("_freq").over(Window.partitionBy(*keys))})
-    else:
-        r = ranked(freq, [F.col(col).asc()], keys, running_sums=["_freq"])
+    r = ranked(freq, [F.col(col).asc()], keys, running_sums=["_freq"])
     n = F.col("_all__freq")
     upto = F.col("_cum__freq")
     after = upto - F.col("_freq")

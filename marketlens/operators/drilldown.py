@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.money import money_sum, rounded
-from marketlens.functions.ranking import ranked
 
 CAT = "product_category_name_english"
 def _labelled():
@@ -157,9 +156,10 @@ def exact_cube(fact: DataFrame) -> DataFrame:
 
 def sample_reviews(fact: DataFrame, texts: DataFrame, per_side: int = 2) -> DataFrame:   # W4
     """First ``per_side`` positive and negative commented reviews per
-    (category, state), in order-line order.  Ranking is distributed
-    (``ranked``), so a hot cell is not collected by one task; only the
-    kept rows (≤ 2·per_side per cell) are collected."""
+    (category, state), in order-line order.  The rank limit is
+    also applied before the shuffle, so a hot cell sends at most ``per_side``
+    rows from each task; only the kept rows (≤ 2·per_side per cell) are
+    collected."""
     order = [F.col("order_id").asc(), F.col("order_item_id").asc(),
              F.col("product_id").asc(), F.col("seller_id").asc()]
     commented = fact.where(F.col("has_comment") == 1).select(
@@ -167,7 +167,8 @@ def sample_reviews(fact: DataFrame, texts: DataFrame, per_side: int = 2) -> Data
         "sentiment", "order_id", "order_item_id", "product_id", "seller_id", "review_key")
     cells = commented.select("category", "state").distinct()
     sided = commented.where(F.col("sentiment").isin("Positive", "Negative"))
-    top = ranked(sided, order, ["category", "state", "sentiment"]).where(F.col("_rn") <= per_side)
+    first = Window.partitionBy("category", "state", "sentiment").orderBy(*order)
+    top = sided.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= per_side)
     top = top.join(texts.select("review_key", "review_text"), "review_key")  # AQE broadcasts the small side
     item = F.struct("_rn", "review_text")
     lists = top.groupBy("category", "state").agg(

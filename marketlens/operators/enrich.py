@@ -21,7 +21,7 @@ from marketlens.functions.dates import floor_days, weekday_mon0
 from marketlens.functions.joins import attach_scalars, join_small
 from marketlens.functions.quantiles import median_of, quantiles
 from marketlens.functions.text import strip
-from marketlens.sources.master import REVIEW_TEXT_KEYS, review_messages
+from marketlens.sources.master import review_messages
 from marketlens.sources.store import materialize
 
 CAT = "product_category_name_english"
@@ -90,7 +90,7 @@ def review_text_of(title, message) -> F.Column:        # P7
 
 def review_text_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_key -> review_text, has_comment, comment_length (one row per
-    text key; the mapping bounds it to REVIEW_TEXT_KEYS keys)."""
+    text; the table grows with the input and joins by shuffle)."""
     msgs = review_messages(spark, sf_dir)
     rt = review_text_of(F.lit(None).cast("string"), F.col("review_comment_message"))
     return msgs.select("review_key", rt.alias("review_text")).select(
@@ -101,7 +101,7 @@ def review_text_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def add_review_features(df: DataFrame, texts: DataFrame) -> DataFrame:
     small = texts.select("review_key", "has_comment", "comment_length")
-    out = join_small(df, small, "review_key", "left", max_rows=REVIEW_TEXT_KEYS * 4)
+    out = df.join(small, "review_key", "left")
     return out.withColumns({
         "has_comment": F.coalesce("has_comment", F.lit(0)),
         "comment_length": F.coalesce("comment_length", F.lit(0)),
@@ -109,11 +109,11 @@ def add_review_features(df: DataFrame, texts: DataFrame) -> DataFrame:
     })
 
 
-def group_median_fill(df: DataFrame, col: str, key: str, max_groups: int | None = None) -> DataFrame:
+def group_median_fill(df: DataFrame, col: str, key: str) -> DataFrame:
     """N2 for one column: fill from the group median, then from the global
     median of the already group-filled column."""
     gm = median_of(df, col, "_gmed", [key])
-    out = join_small(df, gm, key, "left", max_rows=max_groups)
+    out = join_small(df, gm, key, "left")
     out = out.withColumn(col, F.coalesce(F.col(col), F.col("_gmed"))).drop("_gmed")
     return global_median_fill(out, col)
 

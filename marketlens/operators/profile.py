@@ -6,6 +6,7 @@ rather than one job per column.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -80,9 +81,10 @@ def mode_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:          # N4
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:   # N8
     cols = list(cols or df.columns)
-    long = df.select([F.col(c).cast("string").alias(c) for c in cols]) \
-             .unpivot([], cols, "column_name", "value").where(F.col("value").isNotNull())
-    return long.groupBy("column_name").agg(F.count_distinct("value").alias("distinct_values"))
+    each = [df.where(F.col(c).isNotNull()).select(c).distinct()
+              .agg(F.count(F.lit(1)).alias("distinct_values"))
+              .select(F.lit(c).alias("column_name"), "distinct_values") for c in cols]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:                          # N9

@@ -106,12 +106,13 @@ def cleaned_texts(messages: DataFrame, stopwords=T.PT_STOPWORDS) -> DataFrame:
     return messages.select("review_key", T.clean_tokens(F.col("review_comment_message"), stopwords).alias("tokens"))
 
 
-def word_frequency(fact: DataFrame, messages: DataFrame, n: int = 200,
+def word_frequency(fact: DataFrame, messages: DataFrame, n: int | None = None,
                    stopwords=T.PT_STOPWORDS) -> DataFrame:        # G35
+    """All words with their counts, or the ``n`` most frequent."""
     toks = cleaned_texts(messages, stopwords)
     w = text_multiplicity(fact).join(toks, "review_key")
-    return (w.select(F.explode("tokens").alias("word"), "lines").groupBy("word")
-             .agg(F.sum("lines").alias("count")).orderBy(F.desc("count"), "word").limit(n))
+    counts = w.select(F.explode("tokens").alias("word"), "lines").groupBy("word").agg(F.sum("lines").alias("count"))
+    return counts if n is None else counts.orderBy(F.desc("count"), "word").limit(n)
 
 
 def top_bigrams(fact: DataFrame, messages: DataFrame, n: int = 20,

@@ -39,7 +39,7 @@ JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
 JOIN part ON l_partkey = p_partkey
-LEFT JOIN documents d ON d.doc_id = l_orderkey % 200
+LEFT JOIN documents d ON d.doc_id = l_orderkey % (SELECT count(*) FROM documents)
 """
 
 

@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlens.functions.joins import join_small
 from marketlens.operators import profile as pr
 from marketlens.operators.fact import enriched
 from marketlens.plans.oracle import over_fact
 from marketlens.plans.registry import query
-from marketlens.sources.master import REVIEW_TEXT_KEYS, master, review_messages
+from marketlens.sources.master import master, review_messages
+from marketlens.sources.store import materialize
 
 RAW_COLS = ("order_id", "customer_unique_id", "customer_state", "customer_city", "order_status",
             "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
@@ -22,7 +22,7 @@ def raw_master(spark, sf_dir):
     """Master with a review-message *presence* column (text itself is not
     needed for null/distinct profiling: it is a function of review_key)."""
     present = review_messages(spark, sf_dir).select("review_key", F.col("review_key").cast("string").alias("_msg"))
-    m = join_small(master(spark, sf_dir), present, "review_key", "left", max_rows=REVIEW_TEXT_KEYS * 4)
+    m = master(spark, sf_dir).join(present, "review_key", "left")
     return m.withColumnRenamed("_msg", "review_comment_message").drop("review_key")
 
 
@@ -68,10 +68,15 @@ def prof_categorical_summary(spark, sf_dir):
 @query("prof_distinct_counts", "N8", over_fact(f"""
 SELECT column_name, count(DISTINCT value) AS distinct_values FROM ({_union([
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM master WHERE {c} IS NOT NULL"
-    for c in RAW_COLS if c != 'review_comment_message'])}) GROUP BY column_name"""))
+    for c in RAW_COLS])}) GROUP BY column_name"""))
 def prof_distinct_counts(spark, sf_dir):
+    """Each column from its own narrow scan of the written master; the message
+    column from the distinct texts of the keys in use."""
     cols = [c for c in RAW_COLS if c != "review_comment_message"]
-    return pr.distinct_counts(master(spark, sf_dir).select(*cols))
+    m = materialize(spark, master(spark, sf_dir).select(*cols, "review_key"), "profile-master")
+    used = m.select("review_key").where(F.col("review_key").isNotNull()).distinct()
+    texts = review_messages(spark, sf_dir).join(used, "review_key", "left_semi").select("review_comment_message")
+    return pr.distinct_counts(m, cols).unionByName(pr.distinct_counts(texts))
 
 
 @query("prof_duplicate_rows", "N9", over_fact("""

@@ -113,7 +113,7 @@ def sent_order_status(spark, sf_dir):
 
 @query("text_word_frequency", "G35 P19", over_fact(f"""
 SELECT word, count(*) AS count FROM (SELECT unnest({tokens_sql('review_comment_message')}) AS word FROM fact)
-GROUP BY word ORDER BY count DESC, word LIMIT 200"""))
+GROUP BY word"""))
 def text_word_frequency(spark, sf_dir):
     return se.word_frequency(enriched(spark, sf_dir), review_messages(spark, sf_dir))
 

@@ -21,9 +21,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    cpus = os.cpu_count() or 8
+    if shuffle_partitions:      # else the cluster's own setting; size it so that a partition fits a task
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (b.config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -48,11 +48,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set.  Only when it is
-    unset (local runs, tests) a scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  Only a local session without
+    it gets a scratch folder; on a cluster a folder that executors do not share
+    would lose rows, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="marketlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -9,9 +9,9 @@ left for review text) following the fixture mapping:
 Plan shape at scale: lineitem and orders are both fact-sized, so that join is
 a shuffle join on the order key; customer and part are large dimensions and
 join by shuffle as well (AQE splits skewed keys); nation/region are bounded
-and broadcast after a size check.  Review *text* is not copied onto fact rows:
+and broadcast by the planner.  Review *text* is not copied onto fact rows:
 the fact carries an integer ``review_key`` and text-derived metrics come from
-a small per-text dimension (``review_text_dim``).
+the text table, joined by key.
 """
 from __future__ import annotations
 
@@ -19,19 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import add_hours
-from marketlens.functions.joins import join_small
+from marketlens.functions.joins import attach_scalars, join_small
 from marketlens.sources.tables import load_table
 
 # Fixed values of the fixture mapping (they define which rows are null and
 # how dates are derived); they must equal the oracle view exactly.
-REVIEW_TEXT_KEYS = 200          # review text = documents[l_orderkey % 200]
+# review text = documents[l_orderkey % (number of documents)]
 NO_TEXT_EVERY = 3               # l_orderkey % 3 = 0 -> no review text
 NULL_PRICE_EVERY = 97           # l_partkey % 97 = 0 -> price missing
 NULL_FREIGHT_EVERY = 89         # l_orderkey % 89 = 0 -> freight missing
 NULL_PAYMENT_EVERY = 211        # (l_orderkey + l_partkey) % 211 = 0 -> payment missing
 NULL_SCORE_EVERY = 41           # l_orderkey % 41 = 0 -> review score missing
 NULL_CATEGORY_BRAND = "Brand#1"
-STATUS_MAP = {"F": "delivered", "O": "shipped"}   # anything else -> canceled
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +52,11 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cust_geo = join_small(customer, geography(spark, sf_dir),
                           F.col("c_nationkey") == F.col("n_nationkey"))
+    texts = load_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_texts"))
     df = (li.join(orders, li.l_orderkey == orders.o_orderkey)
             .join(cust_geo, F.col("o_custkey") == F.col("c_custkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    df = attach_scalars(df, texts)
 
     od = F.col("o_orderdate")
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
@@ -92,22 +93,11 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("payment_value"),
         ok.alias("review_id"),
         F.when(ok % NULL_SCORE_EVERY != 0, (1 + (ok * 13) % 5).cast("int")).alias("review_score"),
-        F.when(ok % NO_TEXT_EVERY != 0, ok % REVIEW_TEXT_KEYS).alias("review_key"),
+        F.when(ok % NO_TEXT_EVERY != 0, F.try_mod(ok, F.col("n_texts"))).alias("review_key"),
     )
 
 
 def review_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``review_key -> review_comment_message``; at most REVIEW_TEXT_KEYS rows
-    per distinct document id (the key range bounds this side)."""
-    docs = load_table(spark, sf_dir, "documents")
-    return (docs.where((F.col("doc_id") >= 0) & (F.col("doc_id") < REVIEW_TEXT_KEYS))
-                .select(F.col("doc_id").alias("review_key"),
-                        F.col("text").alias("review_comment_message")))
-
-
-def master_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Master including the raw review message (for text operators that need
-    it row by row).  Prefer ``review_text_dim`` joins for aggregates."""
-    m = master(spark, sf_dir)
-    msgs = review_messages(spark, sf_dir)
-    return join_small(m, msgs, "review_key", "left", max_rows=REVIEW_TEXT_KEYS * 4)
+    """``review_key -> review_comment_message`` over the whole text table."""
+    return load_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("review_key"), F.col("text").alias("review_comment_message"))
