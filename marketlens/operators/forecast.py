@@ -146,6 +146,7 @@ def _assembler(cols, out="features"):
 def random_forest(seed: int = 42) -> Pipeline:                                      # M17
     return Pipeline(stages=[_assembler(FEATURE_COLS), RandomForestRegressor(
         labelCol="daily_gmv", numTrees=200, maxDepth=15, minInstancesPerNode=2, seed=seed,
+        featureSubsetStrategy="all",
         maxMemoryInMB=2048)])
 
 

@@ -140,6 +140,17 @@ def pareto_products(fact: DataFrame, top_share: float = 0.2) -> DataFrame:  # G2
                 / F.sum("rev"), 2).cast("double").alias("top_revenue_share_pct"))
 
 
+def revenue_curve(fact: DataFrame) -> DataFrame:                  # W9
+    """Each product's place by revenue and the cumulative share of revenue up
+    to it, by distributed ranking with running sums."""
+    per_product = (fact.where(F.col("product_id").isNotNull()).groupBy("product_id")
+                       .agg(F.sum(F.col("payment_value").cast("decimal(18,6)")).alias("rev")))
+    r = ranked(per_product, [F.desc("rev"), F.asc("product_id")], running_sums=["rev"])
+    return r.select("product_id", F.col("_rn").alias("place"), F.round("rev", 2).cast("double").alias("revenue"),
+                    F.round(F.try_divide(F.col("_cum_rev").cast("double") * 100, F.col("_all_rev").cast("double")), 4)
+                     .alias("cumulative_pct"))
+
+
 def order_peaks(fact: DataFrame) -> DataFrame:                    # G30
     return fact.groupBy("dayofweek", "hour").agg(F.count_distinct("order_id").alias("orders"))
 

@@ -126,7 +126,9 @@ def smote(train: DataFrame, label: str = TARGET, seed: int = SEED) -> DataFrame:
     same-class neighbour nn (exact, bucketed search) and a hash-seeded u."""
     cols = feature_columns()
     vec = F.array(*[F.col(c).cast("double") for c in cols])
-    base = train.select("row_id", label, vec.alias("x"))
+    # equal rows share row_id, so rows are numbered for the neighbour joins
+    base = ranked(train.select("row_id", label, vec.alias("x")), [F.asc("row_id")]) \
+        .select(F.col("_rn").alias("row_id"), label, "x")
     counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     target = counts.agg(F.max("_c").alias("_max"))
     classes = [r[label] for r in counts.collect()]          # class labels only (≤ 5 rows)

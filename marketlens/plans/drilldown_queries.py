@@ -1,6 +1,8 @@
 """Drill-down queries (G8–G12, G38, W4) and their oracles."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marketlens.operators import drilldown as dd
 from marketlens.operators.enrich import review_text_dim
 from marketlens.operators.fact import enriched
@@ -77,6 +79,25 @@ def drill_selections(spark, sf_dir):
     return dd.all_selections(dd.summary(enriched(spark, sf_dir)))
 
 
+_FIRST_CELL = """pick AS (SELECT category AS pc, state AS ps FROM summary ORDER BY total_revenue DESC, category, state LIMIT 1)"""
+
+
+@query("drill_one_selection", "F3 G10", over_fact("""
+SELECT category, state, total_revenue, total_orders, total_items, avg_price, total_reviews
+FROM summary, pick WHERE category = pc OR state = ps""", SUMMARY_CTE + "," + _FIRST_CELL))
+def drill_one_selection(spark, sf_dir):
+    """The cells of one category and of one state, as a user of the drill-down
+    picks them: those of the cell with the most revenue."""
+    s = dd.summary(enriched(spark, sf_dir))
+    pick = s.orderBy(F.desc("total_revenue"), "category", "state").first()
+    cols = ["category", "state", "total_revenue", "total_orders", "total_items", "avg_price", "total_reviews"]
+    if pick is None:
+        return s.select(*cols)
+    by_category = dd.slice_filter(s, category=pick["category"])
+    by_state = dd.slice_filter(s, state=pick["state"]).where(F.col("category") != pick["category"])
+    return by_category.unionByName(by_state).select(*cols)
+
+
 @query("drill_state_breakdown", "G11", over_fact("""
 SELECT * FROM (SELECT category, state, round(sum(total_revenue), 2) AS revenue, CAST(sum(total_orders) AS BIGINT) AS orders,
        round(avg(positive_sentiment_pct), 2) AS pos_sentiment, round(avg(late_delivery_rate), 2) AS late_pct,

@@ -1,8 +1,11 @@
 """KPI queries (G1–G7, G24–G30, G37) and their oracles."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marketlens.operators import kpis
 from marketlens.operators.fact import enriched
+from marketlens.operators.products import installment_value
 from marketlens.plans.oracle import over_fact
 from marketlens.plans.registry import query
 
@@ -141,6 +144,43 @@ def kpi_pareto_products(spark, sf_dir):
     return kpis.pareto_products(enriched(spark, sf_dir))
 
 
+@query("kpi_revenue_curve", "W9", over_fact("""
+SELECT product_id, row_number() OVER (ORDER BY rev DESC, product_id) AS place, CAST(round(rev, 2) AS DOUBLE) AS revenue,
+       round(CAST(sum(rev) OVER (ORDER BY rev DESC, product_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 100
+             / CAST(sum(rev) OVER () AS DOUBLE), 4) AS cumulative_pct
+FROM (SELECT product_id, sum(CAST(payment_value AS DECIMAL(18,6))) AS rev FROM fact
+      WHERE product_id IS NOT NULL GROUP BY product_id)"""))
+def kpi_revenue_curve(spark, sf_dir):
+    return kpis.revenue_curve(enriched(spark, sf_dir))
+
+
+_FACT_ROW = ("order_id", "order_item_id", "product_id", "seller_id", "year", "month", "quarter", "week", "dayofyear",
+             "dayofweek", "hour", "is_weekend", "delivery_days", "estimated_delivery_days", "delivery_delay",
+             "carrier_pickup_days", "transit_days", "delivery_status", "Customer_Type", "is_returning_customer",
+             "payment_methods_per_order", "is_multi_payment", "is_installment", "has_comment", "comment_length",
+             "sentiment", "product_category_name_english")
+_FACT_MONEY = ("price", "freight_value", "payment_value", "total_item_value", "freight_pct")
+
+
+@query("fact_rows", "P1 P2 P3 P5 P6 P7 P8 P9 N1 N2 N3 N5 J2", over_fact(
+    f"SELECT {', '.join(_FACT_ROW)}, {', '.join(f'round({c}, 8) AS {c}' for c in _FACT_MONEY)} FROM fact"))
+def fact_rows(spark, sf_dir):
+    """Every derived column of every order line."""
+    return enriched(spark, sf_dir).select(*_FACT_ROW, *[F.round(c, 8).alias(c) for c in _FACT_MONEY])
+
+
+@query("fact_installment_value", "P15", over_fact("""
+SELECT payment_type, count(installment_value) AS lines, round(max(installment_value), 4) AS largest,
+       round(min(installment_value), 4) AS smallest
+FROM (SELECT payment_type, payment_value / nullif(payment_installments, 0) AS installment_value FROM fact)
+GROUP BY payment_type"""))
+def fact_installment_value(spark, sf_dir):
+    rows = installment_value(enriched(spark, sf_dir))
+    return rows.groupBy("payment_type").agg(
+        F.count("installment_value").alias("lines"), F.round(F.max("installment_value"), 4).alias("largest"),
+        F.round(F.min("installment_value"), 4).alias("smallest"))
+
+
 @query("kpi_order_peaks", "G30", over_fact("""
 SELECT dayofweek, hour, count(DISTINCT order_id) AS orders FROM fact GROUP BY dayofweek, hour"""))
 def kpi_order_peaks(spark, sf_dir):

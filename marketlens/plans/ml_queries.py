@@ -187,9 +187,6 @@ def sent_batch_scoring(spark, sf_dir):
                                          "probabilities", "confidence")
 
 
-_KW_SQL = None
-
-
 def _keyword_report_sql() -> str:
     from marketlens.operators.insights import NEGATIVE_WORDS, POSITIVE_WORDS
     from marketlens.plans.sentiment_queries import REVIEW_CTES, tokens_sql
@@ -260,13 +257,48 @@ def sat_model_comparison(spark, sf_dir):
     return sat.comparison(fitted, test)
 
 
-@query("sat_report_and_sample", "M4 M14 M15 M28")
-def sat_report_and_sample(spark, sf_dir):
+@query("sat_class_report", "M4")
+def sat_class_report(spark, sf_dir):
+    _, test, fitted = _satisfaction(spark, sf_dir)
+    return cl.report(sat.predict(fitted["RandomForest"], test), "review_score", "predicted_score")
+
+
+@query("sat_importances", "M14")
+def sat_importances(spark, sf_dir):
+    return sat.importances(_satisfaction(spark, sf_dir)[2]["RandomForest"])
+
+
+@query("sat_sample_scores", "M15 M28")
+def sat_sample_scores(spark, sf_dir):
+    """A reproducible sample scored by every model; sampled before scoring."""
     _, test, fitted = _satisfaction(spark, sf_dir)
-    scored = sat.side_by_side(fitted, test)
-    sample = sat.seeded_sample(scored)
-    rep = cl.report(fitted["RandomForest"].transform(sat._assembled(test)), "label", "prediction")
-    imp = sat.importances(fitted["RandomForest"])
-    return (sample.select(F.lit("sample").alias("part"), F.to_json(F.struct(*sample.columns)).alias("row"))
-            .unionByName(rep.select(F.lit("report").alias("part"), F.to_json(F.struct(*rep.columns)).alias("row")))
-            .unionByName(imp.select(F.lit("importance").alias("part"), F.to_json(F.struct(*imp.columns)).alias("row"))))
+    few = test.orderBy(F.xxhash64("row_id", F.lit(sat.SEED)), "row_id").limit(10)
+    return sat.seeded_sample(sat.side_by_side(fitted, few))
+
+
+_FILLED_CTE = """
+mf AS (SELECT review_score, price, freight_value, payment_value, CAST(product_size AS DOUBLE) AS product_size,
+              (epoch_us(order_approved_at) - epoch_us(order_purchase_timestamp)) / 3600000000.0 AS approval_hours
+       FROM fact WHERE review_score IS NOT NULL)"""
+_STEPS = ("price", "freight_value", "product_size", "payment_value")
+for _i, _c in enumerate(_STEPS):       # each column's bounds come from the rows that the earlier ones left
+    _from = "mf" if _i == 0 else f"o{_i - 1}"
+    _FILLED_CTE += f""",
+o{_i} AS (SELECT t.* FROM {_from} t, (SELECT quantile_cont({_c}, 0.25) AS q1, quantile_cont({_c}, 0.75) AS q3 FROM {_from})
+         WHERE {_c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
+_FILLED_SQL = over_fact("""
+SELECT a.review_score, a.rows, a.approval_hours, b.kept_rows
+FROM (SELECT review_score, count(*) AS rows, round(sum(approval_hours), 2) AS approval_hours FROM mf GROUP BY 1) a
+LEFT JOIN (SELECT review_score, count(*) AS kept_rows FROM o3 GROUP BY 1) b USING (review_score)""", _FILLED_CTE)
+
+
+@query("sat_filled_rows", "N1 N4 P4 F6", _FILLED_SQL)
+def sat_filled_rows(spark, sf_dir):
+    """Rows of the model frame before and after fills and outlier removal, by
+    score."""
+    frame = sat.fill(sat.model_frame(enriched(spark, sf_dir)))
+    frame = materialize(spark, frame, "sat-filled")
+    left = sat.remove_outliers(frame).groupBy("review_score").agg(F.count(F.lit(1)).alias("kept_rows"))
+    return frame.groupBy("review_score").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("approval_hours"), 2).alias("approval_hours")) \
+        .join(left, "review_score", "left")
