@@ -19,7 +19,6 @@ are null are ignored; several labels of one id count as the smallest.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,10 +50,13 @@ def fit(texts: list[str], grades: list[int], shares: dict[int, float]) -> dict:
     levels = sorted(set(grades))
     if len(levels) < 2:
         return {"levels": levels or [0], "weights": {}, "thresholds": np.zeros(0)}
-    bags = [words(t) for t in texts]
-    df = Counter(w for b in bags for w in b)
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DOCS))}
-    ids = [np.array(sorted(vocab[w] for w in b if w in vocab), np.int64) for b in bags]
+    number: dict[str, int] = {}         # words are kept once, rows as numbers
+    rows = [np.array([number.setdefault(w, len(number)) for w in sorted(words(t))], np.int64) for t in texts]
+    df = np.bincount(np.concatenate(rows), minlength=len(number)) if number else np.zeros(0, np.int64)
+    slot = np.full(len(number), -1)
+    slot[df >= MIN_DOCS] = np.arange(int((df >= MIN_DOCS).sum()))
+    vocab = {w: int(slot[i]) for w, i in number.items() if slot[i] >= 0}
+    ids = [slot[r][slot[r] >= 0] for r in rows]
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     col = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     y = np.searchsorted(levels, grades)
