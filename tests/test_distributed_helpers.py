@@ -20,11 +20,9 @@ def test_quantiles_match_pandas(spark):
         assert abs(got[g][1] - sub.v.median()) < 1e-9
 
 
-def test_quantiles_distributed_path(spark, monkeypatch):
-    import marketlens.functions.quantiles as q
-    monkeypatch.setattr(q, "SMALL_DISTINCT", 10)        # force the ranked path
+def test_quantiles_of_uneven_groups(spark):
     pdf = pd.DataFrame({"g": ["a"] * 300 + ["b"] * 7, "v": np.arange(307, dtype=float)})
-    got = {r.g: r.m for r in q.quantiles(spark.createDataFrame(pdf), "v", {"m": 0.5}, ["g"]).collect()}
+    got = {r.g: r.m for r in quantiles(spark.createDataFrame(pdf), "v", {"m": 0.5}, ["g"]).collect()}
     assert got == {"a": 149.5, "b": 303.0}
 
 
