@@ -139,7 +139,9 @@ def forest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[list[tuple[in
     """A maximum spanning forest of one bucket's candidate pairs (marks agree
     in at least ``AGREE`` places and lengths allow the similarity), and one
     representative of each tree.  At most ``FOREST`` rows are compared at a
-    time; the trees of earlier rows take part as their representatives."""
+    time; the trees of earlier rows take part as their representatives.  Once
+    a bucket has more than ``FOREST`` unlike trees, later blocks are compared
+    among themselves only (such texts still meet in the other 31 buckets)."""
     edges: list[tuple[int, int]] = []
     reps: list[int] = []
     for at in range(0, len(n), FOREST):
