@@ -13,7 +13,8 @@ of a link, a pair shares a key with a chance of at least 0.3 per order, so all
 Equal texts are one node, named by a 64-bit hash.  Inside a bucket not all
 pairs are made: each row carries 32 four-bit marks of its smallest shingles,
 and only a maximum spanning forest of the pairs whose marks agree in at least
-``AGREE`` places is tested, a number linear in the rows.  Each task first does
+``AGREE`` places is tested, a number linear in the rows (see ``forest``; trees
+that do not fit one comparison meet in tiles, see ``between``).  Each task first does
 so for its own rows and passes on one representative per tree, so a group that
 holds a third of all rows is reduced before the shuffle.  Candidates are
 confirmed by banded alignment of the whole texts.  A refused edge of a forest
@@ -45,6 +46,7 @@ from marketlens.sources.store import materialize
 SIMILARITY = 0.8
 AGREE = 15
 FOREST = 1024
+TILE = 8192
 COMPARED = 512
 COLUMNS = 2048
 
@@ -135,29 +137,39 @@ def agreement(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) ->
     return out
 
 
-def forest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+def likeness(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal marks of all rows ``x`` with all rows ``y``; 0 where they are
+    fewer than ``AGREE`` or the lengths rule the similarity out."""
+    like = agreement(s1[x][:, None], s2[x][:, None], s1[y][None, :], s2[y][None, :])
+    m, k = n[x][:, None], n[y][None, :]
+    like[(like < AGREE) | (np.minimum(m, k) < SIMILARITY * np.maximum(m, k))] = 0
+    return like
+
+
+def forest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, size: int = FOREST) \
+        -> tuple[list[tuple[int, int]], list[list[int]]]:
     """A maximum spanning forest of one bucket's candidate pairs (marks agree
     in at least ``AGREE`` places and lengths allow the similarity), and one
-    representative of each tree.  At most ``FOREST`` rows are compared at a
-    time; the trees of earlier rows take part as their representatives.  Once
-    a bucket has more than ``FOREST`` unlike trees, later blocks are compared
-    among themselves only (such texts still meet in the other 31 buckets)."""
+    representative of each tree, in blocks.  Rows come by length.  At most
+    ``size`` rows are compared at a time; the trees of earlier rows take part
+    as their representatives, until all that follows is too long for them.
+    Once more than ``size`` take part, their block is closed and a new one
+    begun; representatives of different blocks are left for ``between``."""
     edges: list[tuple[int, int]] = []
+    blocks: list[list[int]] = [[]]
     reps: list[int] = []
-    for at in range(0, len(n), FOREST):
-        rows = np.array([*reps, *range(at, min(len(n), at + FOREST))])
-        if len(reps) > FOREST:          # very many unlike trees: go on with the newest block alone
-            done, rows = reps, rows[len(reps):]
-        else:
-            done = []
-        m, a, b = n[rows], s1[rows], s2[rows]
-        like = agreement(a[:, None], b[:, None], a[None, :], b[None, :])
-        like[np.minimum(m[:, None], m[None, :]) < SIMILARITY * np.maximum(m[:, None], m[None, :])] = 0
-        like[like < AGREE] = 0
+    for at in range(0, len(n), size):
+        reps = [r for r in reps if n[r] >= SIMILARITY * n[at]]
+        if len(reps) > size:
+            blocks.append([])
+            reps = []
+        old = set(reps)
+        rows = np.array([*reps, *range(at, min(len(n), at + size))])
+        like = likeness(n, s1, s2, rows, rows)
         np.fill_diagonal(like, 0)
         degree = like.sum(axis=1)
         open_ = np.ones(len(rows), bool)
-        reps = list(done)
+        reps = []
         while open_.any():
             root = int(np.argmax(np.where(open_, degree, -1)))
             reps.append(int(rows[root]))
@@ -171,7 +183,54 @@ def forest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[list[tuple[in
                 open_[v], best[v] = False, 0
                 closer = open_ & (like[v] > best)
                 best[closer], parent[closer] = like[v][closer], v
-    return edges, reps
+        merged = old.difference(reps)
+        if merged:
+            blocks[-1] = [r for r in blocks[-1] if r not in merged]
+        blocks[-1] += [r for r in reps if r not in old]
+    return edges, blocks
+
+
+def tiles(n: np.ndarray, blocks: list[list[int]], size: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """The representatives of several blocks by length in tiles of ``size``:
+    rows, their blocks, and the tiles (itself included) near enough in length."""
+    rows = np.array([r for b in blocks for r in b])
+    block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    order = np.argsort(n[rows], kind="stable")
+    rows, block = rows[order], block[order]
+    low, top = n[rows[::size]], n[rows[np.minimum(np.arange(size, len(rows) + size, size), len(rows)) - 1]]
+    for t in range(len(low)):
+        reach = (top >= SIMILARITY * low[t]) & (low * SIMILARITY <= top[t])
+        yield rows[t * size:(t + 1) * size], block[t * size:(t + 1) * size], np.flatnonzero(reach).tolist()
+
+
+def between(tile: np.ndarray, block: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray,
+            size: int = FOREST) -> list[tuple[int, int]]:
+    """Candidate edges of the rows of two tiles (or of one with itself) that
+    are of different blocks: a spanning forest, the best pairs first."""
+    edges: list[tuple[int, int]] = []
+    parent: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while parent.get(v, v) != v:
+            parent[v] = parent.get(parent[v], parent[v])
+            v = parent[v]
+        return v
+    first, last = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
+    for i in range(0, len(first), size):
+        x = first[i:i + size]
+        for j in range(i if first[0] == last[0] else 0, len(last), size):
+            y = last[j:j + size]
+            if min(n[x].max(), n[y].max()) < SIMILARITY * max(n[x].min(), n[y].min()):
+                continue
+            like = likeness(n, s1, s2, x, y)
+            like[block[x][:, None] == block[y][None, :]] = 0
+            u, v = np.nonzero(like)
+            for k in np.argsort(-like[u, v], kind="stable").tolist():
+                p, q = int(x[u[k]]), int(y[v[k]])
+                if top(p) != top(q):
+                    parent[top(p)] = top(q)
+                    edges.append((p, q))
+    return edges
 
 
 def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -274,15 +333,15 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.array(s1, np.uint64), np.array(s2, np.uint64)
     key = np.concatenate(keys)
     row = np.repeat(np.arange(len(nodes)), SKETCHES)
-    order = np.lexsort((node[row], key))
+    order = np.lexsort((node[row], n[row], key))
     key, row = key[order], row[order]
     rep = np.ones(len(key), bool)
     edges: list[tuple] = []
     for lo, hi in _runs(key):
         rep[lo:hi] = False
         own = row[lo:hi]
-        pairs, stand = forest(n[own], a[own], b[own])
-        rep[lo + np.array(stand)] = True
+        pairs, blocks = forest(n[own], a[own], b[own])
+        rep[lo + np.array([r for block in blocks for r in block])] = True
         edges += [(key[lo], own[x], own[y]) for x, y in pairs]
     yield _table(key, node[row], n[row], a[row], b[row], rep, np.full(len(key), None))
     if edges:
@@ -304,11 +363,17 @@ def _table(key, node, n, s1, s2, rep, other) -> pa.RecordBatch:
         ["key", "node", "n", "s1", "s2", "rep", "other"])
 
 
+_PAIRS = "a long, b long, key long, tile int, block int, n int, s1 long, s2 long, near array<int>"
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges among the representatives of all tasks; rows come
-    sorted by key, the last key of a batch waits for the next one."""
+    """Candidate edges ``(a, b)`` among the representatives of all tasks, and
+    rows without ``b`` for what ``_between`` has still to compare.  Rows come
+    sorted by key and length, the last key of a batch waits for the next one."""
     held = None
     names = ("key", "node", "n", "s1", "s2")
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "key")] + [(c, pa.int32()) for c in ("tile", "block", "n")]
+                       + [("s1", pa.int64()), ("s2", pa.int64()), ("near", pa.list_(pa.int32()))])
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             rows = [batch.column(c).to_numpy() for c in names]
@@ -320,10 +385,36 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[cut:] for c in held]
         out = []
         for lo, hi in _runs(key):
-            pairs, _ = forest(n[lo:hi].astype(np.int64), s1[lo:hi].view(np.uint64), s2[lo:hi].view(np.uint64))
+            m = n[lo:hi].astype(np.int64)
+            pairs, blocks = forest(m, s1[lo:hi].view(np.uint64), s2[lo:hi].view(np.uint64))
             out += [(int(node[lo + x]), int(node[lo + y])) for x, y in pairs]
+            if len(blocks) > 1:
+                for t, (own, block, near) in enumerate(tiles(m, blocks)):
+                    at, k = lo + own, len(own)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(c, f.type) for c, f in zip(
+                            (node[at], [None] * k, key[at], np.full(k, t), block, n[at], s1[at], s2[at], [near] * k), schema)],
+                        schema=schema)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            a, b = zip(*out)
+            rest = [pa.nulls(len(a), f.type) for f in list(schema)[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *rest], schema=schema)
+
+
+def _between(rows: DataFrame) -> DataFrame:
+    """Candidate edges between the blocks of buckets with very many unlike
+    texts: each tile meets each other tile near enough in length in a group of
+    its own, so such a bucket is spread over many tasks and nothing is left out."""
+    met = rows.withColumn("other", F.explode("near")).drop("near")
+    met = met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tile", "n", "a"], kind="stable")
+        node = pdf["a"].to_numpy()
+        pairs = between(pdf["tile"].to_numpy(), pdf["block"].to_numpy(), pdf["n"].to_numpy().astype(np.int64),
+                        pdf["s1"].to_numpy().view(np.uint64), pdf["s2"].to_numpy().view(np.uint64))
+        return pd.DataFrame([(node[x], node[y]) for x, y in pairs], columns=["a", "b"], dtype="int64")
+    return met.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, used: DataFrame) -> DataFrame:
@@ -461,8 +552,10 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = materialize(spark, texts.mapInArrow(_local, _ROWS), "omh-sketches")
     mine = rows.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
     stand = rows.where(F.col("rep")).select("key", "node", "n", "s1", "s2").repartition(F.col("key")) \
-                .sortWithinPartitions("key", "node").mapInArrow(_across, "a long, b long")
-    found = mine.unionByName(stand).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
+                .sortWithinPartitions("key", "n", "node").mapInArrow(_across, _PAIRS)
+    stand = materialize(spark, stand, "omh-across")
+    more = _between(stand.where(F.col("b").isNull()))
+    found = mine.unionByName(stand.where(F.col("b").isNotNull()).select("a", "b")).unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
                 .where(F.col("a") != F.col("b")).distinct()
     found = materialize(spark, found, "omh-candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()

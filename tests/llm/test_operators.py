@@ -205,6 +205,60 @@ def test_blocks_join_what_the_tested_pairs_miss():
     assert got.values.tolist() == [[1, 2]]
 
 
+def _joined(n, edges):
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        parent[top(a)] = top(b)
+    return [top(x) for x in range(n)]
+
+
+def test_full_buckets_lose_no_candidate():
+    rng = np.random.default_rng(8)
+    s1, s2 = (rng.integers(0, 1 << 63, 900, dtype=np.uint64) for _ in range(2))
+    s1[600:], s2[600:] = s1[:300], s2[:300]             # equal marks under other lengths, among unlike ones
+    s1[700:750] ^= np.uint64(0xFFFF)
+    n = np.sort(rng.integers(50, 400, 900))
+    mixed = rng.permutation(900)
+    s1, s2 = s1[mixed], s2[mixed]
+    edges, blocks = order_minhash.forest(n, s1, s2, size=16)
+    assert len(blocks) > 2
+    met = list(order_minhash.tiles(n, blocks, size=40))
+    assert any(len(near) < len(met) for _, _, near in met)
+    for t, (rows, block, near) in enumerate(met):
+        for u in (u for u in near if u >= t):
+            both = rows if u == t else np.concatenate((rows, met[u][0]))
+            tile = np.repeat([t, u], [len(rows), len(both) - len(rows)])
+            owner = block if u == t else np.concatenate((block, met[u][1]))
+            edges += [(int(both[a]), int(both[b])) for a, b in
+                      order_minhash.between(tile, owner, n[both], s1[both], s2[both], size=16)]
+    every = np.arange(900)
+    like = order_minhash.likeness(n, s1, s2, every, every)
+    a, b = np.nonzero(like)
+    groups = _joined(900, edges)
+    assert len(a) > 1000 and all(groups[x] == groups[y] for x, y in zip(a.tolist(), b.tolist()))
+    assert all(like[x, y] for x, y in edges)
+
+
+def test_near_duplicates_among_texts_with_one_passage(spark):
+    """Buckets of more unlike texts than one comparison holds."""
+    rng = np.random.default_rng(6)
+    shared = [f"p{i}" for i in range(24)]
+    rows = []
+    for k in range(3000):
+        own = [f"w{i}" for i in rng.integers(0, 100_000, 24)]
+        rows.append((k, " ".join(shared + own)))
+        if k % 50 == 0:                                 # a copy with another last word
+            rows.append((100_000 + k, " ".join(shared + own[:-1] + ["end"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    assert got == {i: i % 100_000 for i, _ in rows}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {(r.doc_id, r.class_id, r.kept) for r in order_minhash.classes(odd).collect()}
     assert {(3, 3, True), (4, 3, False), (1, 1, True), (2, 2, True), (6, 6, True)} <= got
