@@ -8,10 +8,10 @@ the rule-based report quotes, long-format with a threshold flag.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.money import money_sum, rounded
+from marketlens.functions.money import money_sum, pct, rounded
 from marketlens.functions.text import strip
 
 # Routing rules in evaluation order (intent, keywords).
@@ -31,9 +31,13 @@ FALLBACK_INTENT = "snapshot"
 
 # KPI names quoted per intent.
 INTENT_METRICS = {
-    "revenue": ("total_revenue", "total_orders", "avg_order_value"),
+    "revenue": ("total_revenue", "total_orders", "avg_order_value", "data_range"),
     "logistics": ("delivery_success_rate_pct", "late_delivery_rate_pct", "avg_delivery_days", "cancellation_rate_pct"),
     "sentiment": ("positive_pct", "negative_pct", "neutral_pct", "reviews"),
+    "forecast": ("forecast_wape_pct", "forecast_r2"),
+    "categories": ("top_category_revenue",),
+    "geography": ("top_state_customers",),
+    "payments": ("payment_share_pct",),
     "retention": ("returning_customer_rate_pct", "total_customers"),
     "sellers": ("total_sellers",),
     "snapshot": ("total_revenue", "total_orders", "positive_pct", "late_delivery_rate_pct",
@@ -86,24 +90,46 @@ def intent_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("intent").agg(F.count(F.lit(1)).alias("questions"))
 
 
+QUOTED = 5          # categories and states an answer quotes
+
+
 def kpi_long(headline: DataFrame, delivery: DataFrame, sentiment_dist: DataFrame) -> DataFrame:
-    """One (metric, value) row per KPI the answers quote."""
+    """One (metric, label, value) row per single KPI the answers quote."""
     h = headline.crossJoin(delivery)
     shares = sentiment_dist.groupBy().pivot("sentiment", ["Positive", "Negative", "Neutral"]).agg(F.first("share_pct"))
     shares = shares.select(F.col("Positive").alias("positive_pct"), F.col("Negative").alias("negative_pct"),
                            F.col("Neutral").alias("neutral_pct"))
     n = sentiment_dist.agg(F.max("total_reviews").cast("double").alias("reviews"))
     wide = h.crossJoin(shares).crossJoin(n)
-    metrics = sorted({m for ms in INTENT_METRICS.values() for m in ms})
-    return wide.select([F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
+    metrics = sorted({m for ms in INTENT_METRICS.values() for m in ms} & set(wide.columns))
+    long = wide.select([F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
+    return long.select("metric", F.lit(None).cast("string").alias("label"), "value")
+
+
+def listed(table: DataFrame, metric: str, label: str | F.Column, value: str | None) -> DataFrame:
+    """A small KPI table as (metric, label, value) rows."""
+    label = F.col(label) if isinstance(label, str) else label
+    return table.select(F.lit(metric).alias("metric"), label.alias("label"),
+                        (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
+
+
+def kpi_lists(top_categories: DataFrame, top_states: DataFrame, payment_share: DataFrame, dates: DataFrame) -> DataFrame:
+    """The KPIs the answers quote as lists: one row per category, state and
+    payment type, and the dates the figures span."""
+    return listed(top_categories, "top_category_revenue", "product_category_name_english", "revenue") \
+        .unionByName(listed(top_states, "top_state_customers", "customer_state", "customers")) \
+        .unionByName(listed(payment_share, "payment_share_pct", "payment_type", "share_pct")) \
+        .unionByName(listed(dates, "data_range", F.concat_ws(" to ", "first_date", "last_date"), None))
 
 
 def answers(routed: DataFrame, kpis: DataFrame) -> DataFrame:
-    """Each routed question with the KPI values its intent quotes."""
+    """Each routed question with the KPI rows its intent quotes; questions
+    whose intent quotes none (help), or none of ``kpis``, keep one row."""
     pairs = [(i, m) for i, ms in INTENT_METRICS.items() for m in ms]
     spark = routed.sparkSession
     im = spark.createDataFrame(pairs, "intent string, metric string")      # fixed rule table
-    return routed.join(F.broadcast(im), "intent", "left").join(F.broadcast(kpis), "metric", "left")
+    quoted = F.broadcast(im.join(kpis, "metric"))                           # some 40 rows
+    return routed.join(quoted, "intent", "left")
 
 
 CAT = "product_category_name_english"
@@ -130,17 +156,57 @@ def insight_metrics(fact: DataFrame) -> DataFrame:                      # R7
                   F.round(F.avg(F.when(F.col("order_status") == "canceled", 1.0).otherwise(0.0)) * 100, 2)
                    .alias("cancellation_rate_pct"),
                   rounded(F.avg("is_returning_customer") * 100, 2).alias("returning_customer_rate_pct"),
+                  rounded(F.avg(F.when(delivered, F.col("delivery_days"))), 2).alias("avg_delivery_days"),
+                  F.count_distinct("customer_unique_id").cast("double").alias("total_customers"),
+                  F.count_distinct("seller_id").cast("double").alias("total_sellers"),
                   F.grouping_id().alias("_g"))
              .withColumn("category", F.when(F.col("_g").bitwiseAND(2) > 0, "ALL").otherwise(F.col("category")))
              .withColumn("state", F.when(F.col("_g").bitwiseAND(1) > 0, "ALL").otherwise(F.col("state")))
              .drop("_g"))
     focus = {"total_revenue": "General overview", "total_orders": "General overview",
-             "avg_order_value": "General overview", "returning_customer_rate_pct": "Growth",
+             "avg_order_value": "General overview", "total_customers": "General overview",
+             "total_sellers": "General overview", "returning_customer_rate_pct": "Growth",
              "positive_pct": "Customer Sentiment", "negative_pct": "Customer Sentiment",
              "late_delivery_rate_pct": "Logistics & Delivery", "delivery_success_rate_pct": "Logistics & Delivery",
-             "cancellation_rate_pct": "Logistics & Delivery"}
+             "cancellation_rate_pct": "Logistics & Delivery", "avg_delivery_days": "Logistics & Delivery"}
     long = cells.unpivot(["category", "state"], list(focus), "metric", "value")
     fmap = F.create_map(*[x for kv in focus.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     flag = F.when((F.col("metric") == "late_delivery_rate_pct") & (F.col("value") >= LATE_BENCHMARK_PCT),
                   "above_benchmark").otherwise("")
     return long.select(fmap[F.col("metric")].alias("focus"), "category", "state", "metric", "value", flag.alias("flag"))
+
+
+def ranking_cells(fact: DataFrame) -> DataFrame:
+    """The one pass over the fact that ``insight_rankings`` needs: revenue and
+    rows by category, state and payment type."""
+    return fact.groupBy(F.col(CAT).alias("category"), F.col("customer_state").alias("state"), "payment_type").agg(
+        F.sum(F.col("payment_value").cast("decimal(18,6)")).alias("revenue"), F.count(F.lit(1)).alias("rows"))
+
+
+def insight_rankings(cells: DataFrame, n: int = QUOTED) -> DataFrame:    # R7
+    """The lists the report quotes, per slice (a category or ALL, a state or
+    ALL): the ``n`` best categories by revenue of each state, the ``n`` states
+    with most customer rows of each category, payment shares of every slice."""
+    def over(col: str) -> F.Column:
+        return F.explode(F.array(col, F.lit("ALL")))
+
+    def best(by: str, label: str, value: F.Column) -> DataFrame:
+        totals = cells.where(F.col(label).isNotNull()).withColumn("slice", over(by)) \
+                      .groupBy("slice", label).agg(value.alias("value"))
+        w = Window.partitionBy("slice").orderBy(F.desc("value"), label)
+        return totals.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+    cats = best("state", "category", F.round(F.sum("revenue"), 2).cast("double")).select(
+        F.lit("Product Recommendation").alias("focus"), F.lit("ALL").alias("category"), F.col("slice").alias("state"),
+        F.lit("top_category_revenue").alias("metric"), "place", F.col("category").alias("label"), "value")
+    states = best("category", "state", F.sum("rows").cast("double")).select(
+        F.lit("Logistics & Delivery").alias("focus"), F.col("slice").alias("category"), F.lit("ALL").alias("state"),
+        F.lit("top_state_customers").alias("metric"), "place", F.col("state").alias("label"), "value")
+    paid = cells.where(F.col("payment_type").isNotNull()).withColumn("category", over("category")) \
+                .withColumn("state", over("state")).groupBy("category", "state", "payment_type") \
+                .agg(F.sum("rows").alias("rows"))
+    w = Window.partitionBy("category", "state")
+    pay = paid.select(F.lit("Growth").alias("focus"), "category", "state", F.lit("payment_share_pct").alias("metric"),
+                      F.row_number().over(w.orderBy(F.desc("rows"), "payment_type")).alias("place"),
+                      F.col("payment_type").alias("label"), pct(F.col("rows"), F.sum("rows").over(w)).alias("value"))
+    return cats.unionByName(states).unionByName(pay)

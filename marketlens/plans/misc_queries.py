@@ -6,6 +6,7 @@ from marketlens.operators import recommend as rc  # noqa: E402
 from marketlens.operators.fact import enriched  # noqa: E402
 from marketlens.plans.oracle import over_fact  # noqa: E402
 from marketlens.plans.registry import query  # noqa: E402
+from marketlens.plans.sentiment_queries import REVIEW_CTES  # noqa: E402
 from marketlens.sources.store import materialize  # noqa: E402
 from marketlens.functions.money import money_avg_sql  # noqa: E402
 from marketlens.sources.tables import load_table  # noqa: E402
@@ -74,22 +75,71 @@ def ins_intent_counts(spark, sf_dir):
     return ins.intent_counts(ins.route(questions(spark, sf_dir)))
 
 
-@query("ins_routed_answers", "R6 G1 G2 G13")
+_SINGLE = ("total_revenue", "total_orders", "avg_order_value", "delivery_success_rate_pct", "cancellation_rate_pct",
+           "returning_customer_rate_pct", "total_customers", "total_sellers")
+
+
+@query("ins_routed_answers", "R6 G1 G2 G3 G4 G5 G7 G13", over_fact(f"""
+SELECT qid, question, r.intent, k.metric, label, value
+FROM routed r LEFT JOIN (quotes JOIN k USING (metric)) k ON r.intent = k.intent""", f"""{REVIEW_CTES},
+{_QUESTIONS_SQL},
+routed AS (SELECT qid, question, {_route_sql()} AS intent FROM qs),
+quotes(intent, metric) AS (VALUES
+  ('revenue', 'total_revenue'), ('revenue', 'total_orders'), ('revenue', 'avg_order_value'), ('revenue', 'data_range'),
+  ('logistics', 'delivery_success_rate_pct'), ('logistics', 'late_delivery_rate_pct'),
+  ('logistics', 'avg_delivery_days'), ('logistics', 'cancellation_rate_pct'),
+  ('sentiment', 'reviews'), ('sentiment', 'positive_pct'), ('sentiment', 'negative_pct'), ('sentiment', 'neutral_pct'),
+  ('categories', 'top_category_revenue'), ('geography', 'top_state_customers'), ('payments', 'payment_share_pct'),
+  ('retention', 'returning_customer_rate_pct'), ('retention', 'total_customers'), ('sellers', 'total_sellers'),
+  ('snapshot', 'total_revenue'), ('snapshot', 'total_orders'), ('snapshot', 'positive_pct'),
+  ('snapshot', 'late_delivery_rate_pct'), ('snapshot', 'returning_customer_rate_pct')),
+one AS (SELECT CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS total_revenue,
+       CAST(count(DISTINCT order_id) AS DOUBLE) AS total_orders,
+       CAST(count(DISTINCT customer_unique_id) AS DOUBLE) AS total_customers,
+       CAST(count(DISTINCT seller_id) AS DOUBLE) AS total_sellers,
+       CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))) / count(DISTINCT order_id), 2) AS DOUBLE) AS avg_order_value,
+       round(avg(CASE WHEN order_status = 'delivered' THEN 1.0 ELSE 0.0 END) * 100, 2) AS delivery_success_rate_pct,
+       round(avg(CASE WHEN order_status = 'canceled' THEN 1.0 ELSE 0.0 END) * 100, 2) AS cancellation_rate_pct,
+       round(avg(is_returning_customer) * 100, 2) AS returning_customer_rate_pct FROM fact),
+late AS (SELECT round(avg(CASE WHEN delivery_status = 'Late' THEN 1.0 ELSE 0.0 END) * 100, 2) AS late_delivery_rate_pct,
+       round(avg(delivery_days), 2) AS avg_delivery_days FROM fact WHERE order_status = 'delivered'),
+k AS (
+  SELECT metric, CAST(NULL AS VARCHAR) AS label, value FROM one UNPIVOT (value FOR metric IN ({', '.join(_SINGLE)}))
+  UNION ALL SELECT metric, NULL, value FROM late UNPIVOT (value FOR metric IN (late_delivery_rate_pct, avg_delivery_days))
+  UNION ALL SELECT lower(sentiment) || '_pct', NULL, round(count(*) * 100.0 / sum(count(*)) OVER (), 2)
+            FROM lab GROUP BY sentiment
+  UNION ALL SELECT 'reviews', NULL, count(*) FROM lab
+  UNION ALL SELECT 'data_range', CAST(CAST(min(order_purchase_timestamp) AS DATE) AS VARCHAR) || ' to '
+            || CAST(CAST(max(order_purchase_timestamp) AS DATE) AS VARCHAR), NULL FROM fact
+  UNION ALL (SELECT 'top_category_revenue', product_category_name_english,
+                    CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS v
+             FROM fact WHERE product_category_name_english IS NOT NULL GROUP BY 2 ORDER BY v DESC, 2 LIMIT 5)
+  UNION ALL (SELECT 'top_state_customers', customer_state, count(*) AS v
+             FROM fact WHERE customer_state IS NOT NULL GROUP BY 2 ORDER BY v DESC, 2 LIMIT 5)
+  UNION ALL SELECT 'payment_share_pct', payment_type, round(count(*) * 100.0 / sum(count(*)) OVER (), 2)
+            FROM fact WHERE payment_type IS NOT NULL GROUP BY 2)"""))
 def ins_routed_answers(spark, sf_dir):
+    """All questions with the figures their intent quotes (those of forecast
+    questions: ``ins_forecast_answers``)."""
     fact = enriched(spark, sf_dir)
     kp = ins.kpi_long(kpis.headline(fact), kpis.delivery_headline(fact),
                       se.distribution(se.labelled(se.reviews(fact))))
-    return ins.answers(ins.route(questions(spark, sf_dir)), kp)
+    lists = ins.kpi_lists(kpis.top_categories_by_revenue(fact, ins.QUOTED), kpis.top_states(fact, ins.QUOTED),
+                          kpis.payment_share(fact), kpis.data_range(fact))
+    quoted = materialize(spark, kp.unionByName(lists), "quoted-kpis")
+    return ins.answers(ins.route(questions(spark, sf_dir)), quoted).select("qid", "question", "intent", "metric", "label",
+                                                                           "value")
 
 
 _R7_METRICS = ("total_revenue", "total_orders", "avg_order_value", "positive_pct", "negative_pct",
                "late_delivery_rate_pct", "delivery_success_rate_pct", "cancellation_rate_pct",
-               "returning_customer_rate_pct")
+               "returning_customer_rate_pct", "avg_delivery_days", "total_customers", "total_sellers")
 _FOCUS = {"total_revenue": "General overview", "total_orders": "General overview",
           "avg_order_value": "General overview", "returning_customer_rate_pct": "Growth",
           "positive_pct": "Customer Sentiment", "negative_pct": "Customer Sentiment",
           "late_delivery_rate_pct": "Logistics & Delivery", "delivery_success_rate_pct": "Logistics & Delivery",
-          "cancellation_rate_pct": "Logistics & Delivery"}
+          "cancellation_rate_pct": "Logistics & Delivery", "avg_delivery_days": "Logistics & Delivery",
+          "total_customers": "General overview", "total_sellers": "General overview"}
 
 
 @query("ins_insight_metrics", "R7 G38", over_fact(f"""
@@ -108,12 +158,45 @@ cells AS (
          round(sum(CASE WHEN order_status = 'delivered' AND delivery_status = 'Late' THEN 1 ELSE 0 END) * 100.0 / nullif(sum(CASE WHEN order_status = 'delivered' THEN 1 ELSE 0 END), 0), 2) AS late_delivery_rate_pct,
          round(avg(CASE WHEN order_status = 'delivered' THEN 1.0 ELSE 0.0 END) * 100, 2) AS delivery_success_rate_pct,
          round(avg(CASE WHEN order_status = 'canceled' THEN 1.0 ELSE 0.0 END) * 100, 2) AS cancellation_rate_pct,
-         round(avg(is_returning_customer) * 100, 2) AS returning_customer_rate_pct
+         round(avg(is_returning_customer) * 100, 2) AS returning_customer_rate_pct,
+         round(avg(CASE WHEN order_status = 'delivered' THEN delivery_days END), 2) AS avg_delivery_days,
+         CAST(count(DISTINCT customer_unique_id) AS DOUBLE) AS total_customers,
+         CAST(count(DISTINCT seller_id) AS DOUBLE) AS total_sellers
   FROM fact GROUP BY CUBE (product_category_name_english, customer_state))"""))
 def ins_insight_metrics(spark, sf_dir):
     return ins.insight_metrics(enriched(spark, sf_dir))
 
 
+@query("ins_insight_rankings", "R7 G3 G4 G5", over_fact("""
+SELECT 'Product Recommendation' AS focus, 'ALL' AS category, state, 'top_category_revenue' AS metric, place, category AS label,
+       value FROM cats WHERE place <= 5
+UNION ALL SELECT 'Logistics & Delivery', category, 'ALL', 'top_state_customers', place, state, value FROM states WHERE place <= 5
+UNION ALL SELECT 'Growth', category, state, 'payment_share_pct', place, payment_type, value FROM pay""", """
+cat_sum AS (
+  SELECT CASE WHEN grouping(customer_state) = 1 THEN 'ALL' ELSE customer_state END AS state,
+         product_category_name_english AS category,
+         CAST(round(sum(CAST(payment_value AS DECIMAL(18,6))), 2) AS DOUBLE) AS value
+  FROM fact WHERE product_category_name_english IS NOT NULL
+  GROUP BY GROUPING SETS ((customer_state, product_category_name_english), (product_category_name_english))),
+cats AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY value DESC, category) AS place FROM cat_sum),
+state_sum AS (
+  SELECT CASE WHEN grouping(product_category_name_english) = 1 THEN 'ALL' ELSE product_category_name_english END AS category,
+         customer_state AS state, CAST(count(*) AS DOUBLE) AS value
+  FROM fact WHERE customer_state IS NOT NULL
+  GROUP BY GROUPING SETS ((customer_state, product_category_name_english), (customer_state))),
+states AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY value DESC, state) AS place FROM state_sum),
+pay_sum AS (
+  SELECT CASE WHEN grouping(product_category_name_english) = 1 THEN 'ALL' ELSE product_category_name_english END AS category,
+         CASE WHEN grouping(customer_state) = 1 THEN 'ALL' ELSE customer_state END AS state, payment_type, count(*) AS n
+  FROM fact WHERE payment_type IS NOT NULL
+  GROUP BY GROUPING SETS ((product_category_name_english, customer_state, payment_type),
+                          (product_category_name_english, payment_type), (customer_state, payment_type), (payment_type))),
+pay AS (SELECT category, state, payment_type, round(n * 100.0 / sum(n) OVER (PARTITION BY category, state), 2) AS value,
+               row_number() OVER (PARTITION BY category, state ORDER BY n DESC, payment_type) AS place FROM pay_sum)"""))
+def ins_insight_rankings(spark, sf_dir):
+    return ins.insight_rankings(materialize(spark, ins.ranking_cells(enriched(spark, sf_dir)), "insight-cells"))
+
+
 @query("ins_five_level_labels", "P20", over_fact("""
 SELECT CASE review_score WHEN 1 THEN 'Very Negative' WHEN 2 THEN 'Negative' WHEN 3 THEN 'Neutral'
                          WHEN 4 THEN 'Positive' WHEN 5 THEN 'Very Positive' ELSE 'Unknown' END AS label,

@@ -143,6 +143,16 @@ def fc_model_evaluation(spark, sf_dir):
     return evaluation
 
 
+@query("ins_forecast_answers", "R6 M23")
+def ins_forecast_answers(spark, sf_dir):
+    """Questions about the forecast with the best model's hold-out figures."""
+    _, (evaluation, _) = _models(spark, sf_dir)
+    best = evaluation.join(fc.best_model_name(evaluation), "model")
+    quoted = listed(best, "forecast_wape_pct", "model", "WAPE_pct").unionByName(listed(best, "forecast_r2", "model", "R2"))
+    return answers(route(questions(spark, sf_dir)).where(F.col("intent") == "forecast"), quoted) \
+        .select("qid", "question", "intent", "metric", "label", "value")
+
+
 @query("fc_future_90d", "M20 M23 U2 U1 M21")
 def fc_future_90d(spark, sf_dir):
     """Best model by hold-out WAPE, refit on the full supervised matrix,
@@ -160,7 +170,8 @@ from marketlens.operators import satisfaction as sat  # noqa: E402
 from marketlens.operators import sentiment as se  # noqa: E402
 from marketlens.operators import sentiment_ml as sml  # noqa: E402
 from marketlens.operators.enrich import review_text_dim  # noqa: E402
-from marketlens.operators.insights import keyword_sentiment  # noqa: E402
+from marketlens.operators.insights import answers, keyword_sentiment, listed, route  # noqa: E402
+from marketlens.operators.retrieval import questions  # noqa: E402
 from marketlens.functions.text import clean_text  # noqa: E402
 
 
