@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +80,11 @@ def similar_products(cat: DataFrame, vectors: DataFrame, vec_col: str, n: int =
     return recs.join(info, "rec_product_id")
 
 
-def recommend_for(recs: DataFrame, product_id) -> DataFrame:                        # J4
-    """Look up one product's recommendations (unknown id -> empty)."""
-    return recs.where(F.col("product_id") == product_id).orderBy("rank")
+def lookup(rows: DataFrame, wanted: DataFrame) -> DataFrame:                         # J4
+    """Rows of the wanted products (``product_id``); an unknown id gives none."""
+    return rows.join(wanted.select("product_id"), "product_id", "left_semi")
 
 
 def content_vectors(feats: DataFrame) -> DataFrame:
     return feats.select("product_id", vector_to_array("features").alias("content"))
 
-
-_ = array_to_vector  # re-exported for callers that need ML vectors back

@@ -20,22 +20,34 @@ st AS (SELECT avg(price) mp, stddev_pop(price) sp, avg(review_score) mr, stddev_
               avg(product_weight_g) mw, stddev_pop(product_weight_g) sw FROM per)"""
 
 
-@query("rec_catalog", "M24", over_fact("""
+_CATALOG_ROWS = """
 SELECT product_id, product_category_name_english, price, review_score, product_weight_g,
        round(coalesce((price - mp) / nullif(sp, 0), 0.0), 4) AS price_scaled,
        round(coalesce((review_score - mr) / nullif(sr, 0), 0.0), 4) AS rating_scaled,
        round(coalesce((product_weight_g - mw) / nullif(sw, 0), 0.0), 4) AS weight_scaled
-FROM per, st""", _CATALOG_SQL))
+FROM per, st"""
+
+
+@query("rec_catalog", "M24", over_fact(_CATALOG_ROWS, _CATALOG_SQL))
 def rec_catalog(spark, sf_dir):
     return rc.catalog(enriched(spark, sf_dir))
 
 
+@query("rec_catalog_lookup", "J4", over_fact(
+    _CATALOG_ROWS + " WHERE product_id IN (SELECT p_partkey FROM part UNION ALL SELECT -p_partkey FROM part)", _CATALOG_SQL))
+def rec_catalog_lookup(spark, sf_dir):
+    """Catalogue rows of every part and of as many unknown ids."""
+    wanted = load_table(spark, sf_dir, "part").select(
+        F.explode(F.array(F.col("p_partkey"), -F.col("p_partkey"))).alias("product_id"))
+    return rc.lookup(rc.catalog(enriched(spark, sf_dir)), wanted)
+
+
 def _catalog_feats(spark, sf_dir):
     cat = materialize(spark, rc.catalog(enriched(spark, sf_dir)), "catalog")
     return cat, materialize(spark, rc.content_features(cat), "content-features")
 
 
-@query("rec_similar_content", "M25 M27 J6 J4")
+@query("rec_similar_content", "M25 M27 J6")
 def rec_similar_content(spark, sf_dir):
     cat, feats = _catalog_feats(spark, sf_dir)
     return rc.similar_products(cat, rc.content_vectors(feats), "content", 5, "content")

@@ -153,17 +153,37 @@ def ins_forecast_answers(spark, sf_dir):
         .select("qid", "question", "intent", "metric", "label", "value")
 
 
-@query("fc_future_90d", "M20 M23 U2 U1 M21")
-def fc_future_90d(spark, sf_dir):
-    """Best model by hold-out WAPE, refit on the full supervised matrix,
+def _future(spark, sf_dir):
+    """The best model by hold-out WAPE, refit on the full supervised matrix,
     rolled forward 90 days."""
     split, (evaluation, _) = _models(spark, sf_dir)
-    best = fc.best_model_name(evaluation).first()["model"]
-    sup = split.drop("split")
-    model = fc.model_candidates()[best].fit(sup)
-    panel = materialize(spark, _panel(spark, sf_dir), "fc-panel")
-    future = fc.recursive_forecast(panel, model)
-    return future.withColumn("model", F.lit(best))
+
+    def build():
+        best = fc.best_model_name(evaluation).first()["model"]
+        model = fc.model_candidates()[best].fit(split.drop("split"))
+        panel = materialize(spark, _panel(spark, sf_dir), "fc-panel")
+        future = fc.recursive_forecast(panel, model).withColumn("model", F.lit(best))
+        return materialize(spark, future, "fc-future")
+    return memo(spark, sf_dir, "forecast-90d", build)
+
+
+@query("fc_future_90d", "M20 M23 U2")
+def fc_future_90d(spark, sf_dir):
+    return _future(spark, sf_dir)
+
+
+@query("fc_slice_projection", "M21")
+def fc_slice_projection(spark, sf_dir):
+    """Projected total and daily mean of every (category, state) slice."""
+    return fc.slice_projection(fc.slice_shares(dd.summary(enriched(spark, sf_dir))), _future(spark, sf_dir))
+
+
+@query("fc_slice_outlook", "U1 M21 F3")
+def fc_slice_outlook(spark, sf_dir):
+    """History and forecast of the whole platform, tagged by type."""
+    fact = enriched(spark, sf_dir)
+    return fc.slice_series(fc.slice_shares(dd.summary(fact)), fc.history_tail(fc.daily_panel(fact)),
+                           _future(spark, sf_dir))
 
 from marketlens.operators import classify as cl  # noqa: E402
 from marketlens.operators import satisfaction as sat  # noqa: E402
@@ -256,7 +276,7 @@ def _satisfaction(spark, sf_dir):
     return balanced, test, fitted
 
 
-@query("sat_smote_balance", "M8 F6 M6 M7 M3 N4 P4 J5 P17")
+@query("sat_smote_balance", "M8 F6 M6 M7 M3 N4 P4")
 def sat_smote_balance(spark, sf_dir):
     bal, _ = _satisfaction_data(spark, sf_dir)
     return bal.groupBy("review_score").agg(F.count(F.lit(1)).alias("rows"))
@@ -313,3 +333,54 @@ def sat_filled_rows(spark, sf_dir):
     return frame.groupBy("review_score").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("approval_hours"), 2).alias("approval_hours")) \
         .join(left, "review_score", "left")
+
+
+def _codes_sql() -> str:
+    """Every value of each categorical column over all order lines; codes are
+    places among the values of the reviewed lines, 0 for any other value."""
+    return over_fact(" UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, value, coalesce(code, 0) AS code, rows
+FROM (SELECT {c} AS value, count(*) AS rows FROM fact GROUP BY 1)
+LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+           FROM (SELECT DISTINCT {c} AS v FROM fact WHERE review_score IS NOT NULL AND {c} IS NOT NULL)) ON v = value"""
+                                        for c in sat.CATEGORICAL))
+
+
+@query("sat_category_codes", "M6 J5", _codes_sql())
+def sat_category_codes(spark, sf_dir):
+    """Codes learned from the reviewed order lines, looked up for all lines."""
+    fact = enriched(spark, sf_dir)
+    _, idx = sat.encode(sat.fill(sat.model_frame(fact)))
+    coded = sat.encode_with(idx, fact.select(*sat.CATEGORICAL))
+    each = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col(f"{c}_code").cast("int").alias("code"))
+            for c in sat.CATEGORICAL]
+    return coded.select(F.explode(F.array(*each)).alias("e")).groupBy("e.column_name", "e.value", "e.code") \
+                .agg(F.count(F.lit(1)).alias("rows"))
+
+
+_SCALED = ("price", "freight_value", "payment_value", "product_size")
+
+
+@query("sat_scaled_means", "M7", over_fact("SELECT CAST(review_score AS INTEGER) AS review_score, " + ", ".join(
+    f"round(avg(({c} - m_{c}) / s_{c}), 4) + 0.0 AS {c}" for c in _SCALED) + """
+FROM fact, (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED) + """
+            FROM fact WHERE review_score IS NOT NULL)
+WHERE review_score IS NOT NULL GROUP BY 1"""))
+def sat_scaled_means(spark, sf_dir):
+    """Mean of the standardised features by score, all reviewed lines."""
+    scaled, _ = sat.scale(sat.encode(sat.fill(sat.model_frame(enriched(spark, sf_dir))))[0])
+    return scaled.groupBy("review_score").agg(*[(F.round(F.avg(c), 4) + 0.0).alias(c) for c in _SCALED])
+
+
+_UNKNOWN = {"delivery_delay": 0.0, "review_score": 3.0}
+
+
+@query("sat_unknown_indicators", "P13", over_fact("SELECT customer_state, count(*) AS rows, " + ", ".join(
+    f"count(*) - count({c}) AS {c}_unknown, round(avg(coalesce(CAST({c} AS DOUBLE), {d})), 4) + 0.0 AS {c}"
+    for c, d in _UNKNOWN.items()) + " FROM fact GROUP BY 1"))
+def sat_unknown_indicators(spark, sf_dir):
+    """Unknown delays and scores as flags with neutral values, by state."""
+    df = sat.unknown_indicators(enriched(spark, sf_dir).select("customer_state", *_UNKNOWN), _UNKNOWN)
+    return df.groupBy("customer_state").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(f"{c}_unknown").alias(f"{c}_unknown") for c in _UNKNOWN],
+        *[(F.round(F.avg(c), 4) + 0.0).alias(c) for c in _UNKNOWN])
