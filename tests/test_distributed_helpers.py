@@ -77,3 +77,22 @@ def test_chunking_geometry():
     assert joined == set(words.split())                          # whole text covered
     exact = "x" * 500
     assert split_text(exact) == [exact]
+
+
+def test_top_k_over_several_blocks_and_buckets_breaks_ties_by_id(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "cid long, vec array<double>")
+    got = top_k_cosine(df.withColumnRenamed("cid", "qid"), df, 5, exclude_self=True, buckets=4, block_rows=7)
+    best = {}
+    for r in got.collect():
+        best.setdefault(r.qid, {})[r.rank] = r.cid
+    for q, _ in rows:
+        same = [c for c in range(40) if c % 3 == q % 3 and c != q][:5]
+        assert [best[q][k] for k in range(1, 6)] == same
+
+
+def test_catalogue_lookup_gives_nothing_for_an_unknown_id(spark):
+    from marketlens.operators.recommend import lookup
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "product_id long, name string")
+    wanted = spark.createDataFrame([(2,), (2,), (9,)], "product_id long")
+    assert [tuple(r) for r in lookup(rows, wanted).collect()] == [(2, "b")]
