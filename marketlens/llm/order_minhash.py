@@ -12,12 +12,12 @@ of a link, a pair shares a key with a chance of at least 0.3 per order, so all
 
 Equal texts are one node, named by a 64-bit hash.  Inside a bucket not all
 pairs are made: each row carries 32 four-bit marks of its smallest shingles,
-and only a maximum spanning forest of the pairs whose marks agree in at least
-``AGREE`` places is tested, a number linear in the rows (see ``forest``; trees
-that do not fit one comparison meet in tiles, see ``between``).  Each task first does
-so for its own rows and passes on one representative per tree, so a group that
-holds a third of all rows is reduced before the shuffle.  Candidates are
-confirmed by banded alignment of the whole texts.  A refused edge of a forest
+and only a spanning forest of the pairs whose marks agree in at least ``AGREE``
+places is tested, a number linear in the rows (see ``forest``; trees that do
+not fit one comparison meet whole in tiles, see ``between``).  A row is left
+out of that only for two others that are candidates of all that it could be a
+candidate of (see ``standing``); each task first does so for its own rows.
+Candidates are confirmed by banded alignment of the whole texts.  A refused edge of a forest
 does not separate texts that another pair joins: where the texts of one tree
 are not all joined, those outside its largest component are compared with all
 of them in blocks, by an exact bound (how many shingles they share) and then by
@@ -146,24 +146,38 @@ def likeness(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, x: np.ndarray, y: np
     return like
 
 
+def standing(key: np.ndarray, node: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray) \
+        -> tuple[np.ndarray, np.ndarray]:
+    """Which rows stand for the others, and for each row the one it is linked
+    to.  Rows of one bucket with equal marks and lengths within one band (the
+    longest at most ``1 / SIMILARITY`` times the shortest) are candidates of
+    each other, and any row near enough in length to one of them is so to the
+    shortest or to the longest: these two stand for all."""
+    band = np.floor(np.log(n) / -np.log(SIMILARITY)).astype(np.int64)
+    order = np.lexsort((node, n, band, s2, s1, key))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (key, s1, s2, band)], axis=0)
+    stands, first = np.empty(len(order), bool), np.empty(len(order), np.int64)
+    stands[order] = new | np.append(new[1:], True)
+    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return stands, first
+
+
 def forest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, size: int = FOREST) \
         -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """A maximum spanning forest of one bucket's candidate pairs (marks agree
-    in at least ``AGREE`` places and lengths allow the similarity), and one
-    representative of each tree, in blocks.  Rows come by length.  At most
-    ``size`` rows are compared at a time; the trees of earlier rows take part
-    as their representatives, until all that follows is too long for them.
-    Once more than ``size`` take part, their block is closed and a new one
-    begun; representatives of different blocks are left for ``between``."""
+    """A spanning forest of one bucket's candidate pairs (marks agree in at
+    least ``AGREE`` places and lengths allow the similarity), the best pairs
+    first, and its rows in blocks.  Rows come by length.  At most ``size`` rows
+    are compared at a time, together with one row of each earlier tree, which
+    joins most of them.  Up to ``size`` rows are one block and done; of more,
+    each tree is a block of all its rows, and rows of different blocks are left
+    for ``between``."""
     edges: list[tuple[int, int]] = []
-    blocks: list[list[int]] = [[]]
     reps: list[int] = []
     for at in range(0, len(n), size):
         reps = [r for r in reps if n[r] >= SIMILARITY * n[at]]
         if len(reps) > size:
-            blocks.append([])
             reps = []
-        old = set(reps)
         rows = np.array([*reps, *range(at, min(len(n), at + size))])
         like = likeness(n, s1, s2, rows, rows)
         np.fill_diagonal(like, 0)
@@ -183,38 +197,48 @@ def forest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, size: int = FOREST) \
                 open_[v], best[v] = False, 0
                 closer = open_ & (like[v] > best)
                 best[closer], parent[closer] = like[v][closer], v
-        merged = old.difference(reps)
-        if merged:
-            blocks[-1] = [r for r in blocks[-1] if r not in merged]
-        blocks[-1] += [r for r in reps if r not in old]
-    return edges, blocks
+    if len(n) <= size:
+        return edges, [list(range(len(n)))]
+    up = list(range(len(n)))
+
+    def top(v: int) -> int:
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+    for p, q in edges:
+        up[top(p)] = top(q)
+    trees: dict[int, list[int]] = {}
+    for v in range(len(n)):
+        trees.setdefault(top(v), []).append(v)
+    return edges, list(trees.values())
 
 
 def tiles(n: np.ndarray, blocks: list[list[int]], size: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """The representatives of several blocks by length in tiles of ``size``:
-    rows, their blocks, and the tiles (itself included) near enough in length."""
-    rows = np.array([r for b in blocks for r in b])
-    block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
-    order = np.argsort(n[rows], kind="stable")
-    rows, block = rows[order], block[order]
-    low, top = n[rows[::size]], n[rows[np.minimum(np.arange(size, len(rows) + size, size), len(rows)) - 1]]
-    for t in range(len(low)):
-        reach = (top >= SIMILARITY * low[t]) & (low * SIMILARITY <= top[t])
-        yield rows[t * size:(t + 1) * size], block[t * size:(t + 1) * size], np.flatnonzero(reach).tolist()
+    """The rows of several blocks by length in tiles of ``size``: rows, their
+    blocks, and the tiles (itself included) near enough in length.  The largest
+    block is in tiles of its own, which need not meet each other."""
+    main = max(range(len(blocks)), key=lambda b: len(blocks[b]))
+    every = np.array([r for b in blocks for r in b])
+    owner = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    cut = []
+    for part in (owner != main, owner == main):
+        rows, block = every[part], owner[part]
+        order = np.argsort(n[rows], kind="stable")
+        cut += [(rows[order[i:i + size]], block[order[i:i + size]]) for i in range(0, len(order), size)]
+    low, top = (np.array([n[rows[i]] for rows, _ in cut]) for i in (0, -1))
+    largest = np.array([block[0] == main for _, block in cut])
+    for t, (rows, block) in enumerate(cut):
+        reach = (top >= SIMILARITY * low[t]) & (low * SIMILARITY <= top[t]) & ~(largest & largest[t])
+        yield rows, block, np.flatnonzero(reach).tolist()
 
 
 def between(tile: np.ndarray, block: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray,
             size: int = FOREST) -> list[tuple[int, int]]:
     """Candidate edges of the rows of two tiles (or of one with itself) that
-    are of different blocks: a spanning forest, the best pairs first."""
+    join blocks: a spanning forest of the blocks, the best pairs first."""
     edges: list[tuple[int, int]] = []
-    parent: dict[int, int] = {}
-
-    def top(v: int) -> int:
-        while parent.get(v, v) != v:
-            parent[v] = parent.get(parent[v], parent[v])
-            v = parent[v]
-        return v
+    own = np.unique(block, return_inverse=True)[1]
     first, last = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
     for i in range(0, len(first), size):
         x = first[i:i + size]
@@ -223,12 +247,14 @@ def between(tile: np.ndarray, block: np.ndarray, n: np.ndarray, s1: np.ndarray,
             if min(n[x].max(), n[y].max()) < SIMILARITY * max(n[x].min(), n[y].min()):
                 continue
             like = likeness(n, s1, s2, x, y)
-            like[block[x][:, None] == block[y][None, :]] = 0
+            like[own[x][:, None] == own[y][None, :]] = 0
             u, v = np.nonzero(like)
-            for k in np.argsort(-like[u, v], kind="stable").tolist():
-                p, q = int(x[u[k]]), int(y[v[k]])
-                if top(p) != top(q):
-                    parent[top(p)] = top(q)
+            best = np.argsort(-like[u, v], kind="stable")
+            u, v = x[u[best]], y[v[best]]
+            for k in np.sort(np.unique(own[u] * len(own) + own[v], return_index=True)[1]).tolist():
+                p, q = int(u[k]), int(v[k])
+                if own[p] != own[q]:
+                    own[own == own[q]] = own[p]
                     edges.append((p, q))
     return edges
 
@@ -301,7 +327,7 @@ def alike(a: bytes, b: bytes) -> float:
     return 0.0 if d is None else 1.0 - d / longest
 
 
-_ROWS = "key long, node long, n int, s1 long, s2 long, rep boolean, other long"
+_ROWS = "key long, node long, n int, s1 long, s2 long, other long"
 
 
 def _signed(x) -> np.ndarray:
@@ -309,8 +335,8 @@ def _signed(x) -> np.ndarray:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches of a task's texts, its candidate edges (rows with ``other``)
-    and which rows stand for the others outside this task (``rep``)."""
+    """Sketches of a task's texts that stand for the others, and the links of
+    the others to them (rows with ``other``)."""
     seen: set[int] = set()
     nodes, counts, keys, s1, s2 = [], [], [], [], []
     for batch in batches:
@@ -333,20 +359,13 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.array(s1, np.uint64), np.array(s2, np.uint64)
     key = np.concatenate(keys)
     row = np.repeat(np.arange(len(nodes)), SKETCHES)
-    order = np.lexsort((node[row], n[row], key))
-    key, row = key[order], row[order]
-    rep = np.ones(len(key), bool)
-    edges: list[tuple] = []
-    for lo, hi in _runs(key):
-        rep[lo:hi] = False
-        own = row[lo:hi]
-        pairs, blocks = forest(n[own], a[own], b[own])
-        rep[lo + np.array([r for block in blocks for r in block])] = True
-        edges += [(key[lo], own[x], own[y]) for x, y in pairs]
-    yield _table(key, node[row], n[row], a[row], b[row], rep, np.full(len(key), None))
-    if edges:
-        k, x, y = (np.array(c) for c in zip(*edges))
-        yield _table(k, node[x], n[x], a[x], b[x], np.zeros(len(x), bool), node[y])
+    stands, first = standing(key, node[row], n[row], a[row], b[row])
+    links = np.unique(np.stack((row[~stands], row[first[~stands]]), axis=1), axis=0)
+    key, row = key[stands], row[stands]
+    yield _table(key, node[row], n[row], a[row], b[row], np.full(len(key), None))
+    if len(links):
+        x, y = links.T
+        yield _table(np.zeros(len(x), np.uint64), node[x], n[x], a[x], b[x], node[y])
 
 
 def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -356,18 +375,18 @@ def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cuts[long].tolist(), cuts[long + 1].tolist())
 
 
-def _table(key, node, n, s1, s2, rep, other) -> pa.RecordBatch:
+def _table(key, node, n, s1, s2, other) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(_signed(key)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(_signed(s1)),
-         pa.array(_signed(s2)), pa.array(rep), pa.array(other, pa.int64())],
-        ["key", "node", "n", "s1", "s2", "rep", "other"])
+         pa.array(_signed(s2)), pa.array(other, pa.int64())],
+        ["key", "node", "n", "s1", "s2", "other"])
 
 
 _PAIRS = "a long, b long, key long, tile int, block int, n int, s1 long, s2 long, near array<int>"
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges ``(a, b)`` among the representatives of all tasks, and
+    """Candidate edges ``(a, b)`` among the standing rows of all tasks, and
     rows without ``b`` for what ``_between`` has still to compare.  Rows come
     sorted by key and length, the last key of a batch waits for the next one."""
     held = None
@@ -383,7 +402,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
         key, node, n, s1, s2 = (c[:cut] for c in held)
         held = [c[cut:] for c in held]
-        out = []
+        stands, first = standing(key, node, n, s1, s2)
+        out = list(zip(node[~stands].tolist(), node[first[~stands]].tolist()))
+        key, node, n, s1, s2 = (c[stands] for c in (key, node, n, s1, s2))
         for lo, hi in _runs(key):
             m = n[lo:hi].astype(np.int64)
             pairs, blocks = forest(m, s1[lo:hi].view(np.uint64), s2[lo:hi].view(np.uint64))
@@ -551,7 +572,7 @@ def linked(docs: DataFrame) -> DataFrame:
     texts = docs.select(node_of("text").alias("node"), F.lower("text").alias("words")).where(F.col("node").isNotNull())
     rows = materialize(spark, texts.mapInArrow(_local, _ROWS), "omh-sketches")
     mine = rows.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    stand = rows.where(F.col("rep")).select("key", "node", "n", "s1", "s2").repartition(F.col("key")) \
+    stand = rows.where(F.col("other").isNull()).select("key", "node", "n", "s1", "s2").repartition(F.col("key")) \
                 .sortWithinPartitions("key", "n", "node").mapInArrow(_across, _PAIRS)
     stand = materialize(spark, stand, "omh-across")
     more = _between(stand.where(F.col("b").isNull()))

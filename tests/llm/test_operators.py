@@ -244,6 +244,61 @@ def test_full_buckets_lose_no_candidate():
     assert all(like[x, y] for x, y in edges)
 
 
+def test_full_buckets_of_graded_rows_lose_no_candidate():
+    """Trees whose ends are no candidates of their middle."""
+    rng = np.random.default_rng(12)
+    n, s1, s2 = [], [], []
+    for _ in range(40):
+        marks, length = rng.integers(0, 16, 32), 40.0
+        for _ in range(int(rng.integers(1, 25))):
+            marks[rng.integers(0, 32, 4)] = rng.integers(0, 16, 4)
+            length *= rng.choice([1.0, 1.05, 1.2, 1.3])
+            n.append(int(length))
+            for s, half in ((s1, marks[:16]), (s2, marks[16:])):
+                s.append(sum(int(m) << (4 * k) for k, m in enumerate(half)))
+    order = np.argsort(n, kind="stable")
+    n, s1, s2 = np.array(n)[order], np.array(s1, np.uint64)[order], np.array(s2, np.uint64)[order]
+    edges, blocks = order_minhash.forest(n, s1, s2, size=16)
+    met = list(order_minhash.tiles(n, blocks, size=40))
+    for t, (rows, block, near) in enumerate(met):
+        for u in (u for u in near if u >= t):
+            both = rows if u == t else np.concatenate((rows, met[u][0]))
+            tile = np.repeat([t, u], [len(rows), len(both) - len(rows)])
+            owner = block if u == t else np.concatenate((block, met[u][1]))
+            edges += [(int(both[a]), int(both[b])) for a, b in
+                      order_minhash.between(tile, owner, n[both], s1[both], s2[both], size=16)]
+    every = np.arange(len(n))
+    groups = _joined(len(n), edges)
+    a, b = np.nonzero(order_minhash.likeness(n, s1, s2, every, every))
+    assert all(groups[x] == groups[y] for x, y in zip(a.tolist(), b.tolist()))
+
+
+def test_near_duplicates_of_graded_versions_in_several_tasks(spark):
+    """Truncated, extended and edited versions whose links run from task to task."""
+    rng = np.random.default_rng(14)
+    parts = [[], [], []]
+    for family in range(60):
+        base = [f"f{family}w{i}" for i in range(154)]
+        # one task has a text and longer versions of it, another what is near to the shortest only
+        longer = base + [f"f{family}v{i}" for i in range(3)]
+        parts[family % 3] += [" ".join(base)] + [" ".join(longer + [f"end{k}"]) for k in range(3)]
+        parts[(family + 1) % 3].append(" ".join(base[:126]))
+    for family in range(12):
+        own = [f"g{family}w{i}" for i in range(300)]
+        for k in range(12):                             # each version is made from the one before
+            own = own + [f"g{family}v{k}w{i}" for i in range(int(rng.integers(0, 50)))]
+            own = own[int(rng.integers(0, 30)):]
+            own[int(rng.integers(0, len(own)))] = "new"
+            parts[int(rng.integers(0, 3))].append(" ".join(own))
+    rows = [(i, t) for i, t in enumerate(t for part in parts for t in part)]
+    cut = np.cumsum([0] + [len(p) for p in parts]).tolist()
+    dealt = spark.sparkContext.parallelize([rows[lo:hi] for lo, hi in zip(cut, cut[1:])], 3).flatMap(lambda part: part)
+    df = spark.createDataFrame(dealt, "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == 3
+    got = sorted((r.doc_id, r.class_id) for r in order_minhash.classes(df).collect())
+    assert got == _brute_classes(rows)
+
+
 def test_near_duplicates_among_texts_with_one_passage(spark):
     """Buckets of more unlike texts than one comparison holds."""
     rng = np.random.default_rng(6)
