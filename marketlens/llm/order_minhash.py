@@ -607,7 +607,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows"))
     each = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = each.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"),
-                                     F.min_by("node", F.struct("least", "node")).alias("first"))
+                                     F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("first"))
     each = each.join(whole, "root").select(F.col("node").alias("_node"), "class_id", "class_size", "first")
     out = rows.join(each, F.col("node") == F.col("_node"), "left")
     alone = F.col("_node").isNull()

@@ -314,6 +314,17 @@ def test_near_duplicates_among_texts_with_one_passage(spark):
     assert got == {i: i % 100_000 for i, _ in rows}
 
 
+def test_class_with_a_text_without_id_keeps_one_document(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base)), (5, " ".join(base[:-1] + ["end"])), (7, " ".join(base[:-1] + ["last"])),
+            (None, "some other text without an id"), (None, "some other text without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = order_minhash.classes(df).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size, r.kept) for r in got) == [
+        (0, 0, 2, True), (0, 0, 2, True), (0, 5, 3, False), (5, 5, 3, True), (7, 5, 3, False)]
+    assert sorted(r.doc_id or 0 for r in order_minhash.deduplicated(df).collect()) == [0, 5]
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {(r.doc_id, r.class_id, r.kept) for r in order_minhash.classes(odd).collect()}
     assert {(3, 3, True), (4, 3, False), (1, 1, True), (2, 2, True), (6, 6, True)} <= got
