@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ctph, mixing, order_minhash, ordinal, packing, pii, polytope, ppm, secrets, semantic_knn
+from marketlens.llm import (conversations, ctph, fim, mixing, order_minhash, ordinal, packing, pii, polytope, ppm, secrets,
+                            semantic_knn, sharding)
 from marketlens.llm.common import read_table
 
 
@@ -52,10 +53,24 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read_table(spark, sf_dir, "documents"))
 
 
+def op11_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.summary(rows, conversations.damaged(rows))
+
+
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ctph_fingerprints, op2_cross_polytope, op3_sainte_lague_mix, op4_order_minhash, op5_ppm_language,
                                  op6_pii_spans, op7_minimum_slack_packing,
-                                 op8_ordinal_toxicity, op9_knn_quality, op10_secret_ownership)
+                                 op8_ordinal_toxicity, op9_knn_quality, op10_secret_ownership,
+                                 op11_run_length_repair, op12_external_shuffle, op13_fill_in_middle)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -116,3 +131,29 @@ SELECT doc_id, size, source_size, target,
              ELSE whole * size + least(greatest(wanted - whole * shard_size - start, 0), size) END)::BIGINT AS taken
 FROM counted
 """
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM t),
+cuts AS (
+  SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a,
+         greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+parts AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS pre, array_to_string(tokens[a + 1:b], '') AS mid,
+         array_to_string(tokens[b + 1:], '') AS suf FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                   ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
