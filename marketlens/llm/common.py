@@ -1,6 +1,9 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,16 +43,60 @@ def sample_ids(rows: DataFrame, by: str, per_value: int, id_col: str = "doc_id")
     return rows.drop("_slice")
 
 
-def sample_texts(docs: DataFrame, ids: DataFrame, chars: int, id_col: str = "doc_id") -> list:
-    """``(id, ..., text)`` rows of a bounded set of ids, brought to the driver
-    to fit a model; each text is cut to ``chars`` characters here only."""
+def sample_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The whole texts of a bounded set of ids with the other columns of
+    ``ids``; of the rows of a repeated id the one with the least text."""
     kept = [c for c in ids.columns if c != id_col]
     ids = ids.groupBy(id_col).agg(*[F.min(c).alias(c) for c in kept])
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring("text", 1, chars).alias("_text")) \
-                .where(F.col("_text").isNotNull())
-    found = texts.join(F.broadcast(ids), F.col("_id") == F.col(id_col)) \
-                 .groupBy(id_col, *kept).agg(F.min("_text").alias("text"))
-    return sorted(found.collect(), key=lambda r: r[id_col])
+    texts = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
+    return texts.join(F.broadcast(ids), F.col("_id") == F.col(id_col)) \
+                .groupBy(id_col, *kept).agg(F.min("_text").alias("text"))
+
+
+# ------------------------------------------------------------------ memory of Python workers
+
+#: Bytes of an Arrow batch that goes to a Python worker (one row at least).
+BATCH_BYTES = 4 << 20
+_state: dict = {}
+
+
+def worker_state(key: str, build: Callable[[], object]):
+    """What a worker keeps between tasks (a tokenizer): one object, so that a
+    worker reused by another operator drops it."""
+    if key not in _state:
+        _state.clear()
+        release()
+        _state[key] = build()
+    return _state[key]
+
+
+def drop_state(but: str) -> None:
+    if _state and but not in _state:
+        _state.clear()
+
+
+def release() -> None:
+    """Gives freed memory back to the system; reused workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # not in every C library
+    if trim:
+        trim(0)
+
+
+def lean_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+             state: str = "") -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes as well as rows.  At the
+    end of a task freed memory is returned; kept state other than ``state`` is
+    dropped when it begins."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_state(but=state)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return rows.mapInArrow(task, schema)
 
 
 def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:

@@ -43,11 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import shuffle_width
+from marketlens.llm.common import lean_map, shuffle_width
 from marketlens.sources.store import materialize
 
 #: Distinct rows a piece holds at most.
 PIECE = 2_048
+#: Pieces a task sends on at once.
+PIECES_OUT = 256
 INF = 1 << 40
 FILLED = r"[^\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -276,7 +278,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of a slice that arrives last row first."""
     held: list[dict] = []
     state = {"conv": None, "no": 0, "matrix": IDENTITY, "next": None}
-    schema = None
+    schema = _arrow(PIECES)
 
     def flush(head: bool) -> dict:
         rows = held[::-1]
@@ -309,23 +311,30 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return piece
 
     for b in batches:
-        schema = schema or _arrow(PIECES)
         out = []
-        for r in b.to_pylist():
+        for values in zip(*(c.to_pylist() for c in b.columns)):
+            r = dict(zip(b.schema.names, values))
             if held and (r["conv"] != state["conv"] or len(held) == PIECE):
                 out.append(flush(r["conv"] != state["conv"]))
             if r["conv"] != state["conv"]:
                 state.update(conv=r["conv"], no=0, matrix=IDENTITY, next=None)
             held.append(r)
+            if len(out) >= PIECES_OUT:
+                yield _batch(out, schema)
+                out = []
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield _batch(out, schema)
     if held:
-        yield pa.RecordBatch.from_pylist([flush(True)], schema)
+        yield _batch([flush(True)], schema)
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
 def _arrow(ddl: str) -> pa.Schema:
     fields = []
     for f in ddl.split(", "):
@@ -341,7 +350,7 @@ def pieces(rows: DataFrame) -> DataFrame:
     order = ["conv", "known", "turn", "role", "digest"]
     ordered = _with_faults(rows).repartitionByRange(shuffle_width(spark), *order) \
         .sortWithinPartitions(*[F.col(c).desc() for c in order]).withColumn("slice", F.spark_partition_id())
-    return materialize(spark, ordered.mapInArrow(_pieces, PIECES), "conversation-pieces")
+    return materialize(spark, lean_map(ordered, _pieces, PIECES), "conversation-pieces")
 
 
 # ------------------------------------------------------------------ slices of a conversation
@@ -411,20 +420,25 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow(EDITS)
     place, reached = None, {}
     for b in batches:
-        for r in b.to_pylist():
+        out: list[dict] = []
+        for values in zip(*(c.to_pylist() for c in b.columns)):
+            r = dict(zip(b.schema.names, values))
             if place != (r["conv"], r["slice"]):
                 place = r["conv"], r["slice"]
                 reached = {0: 0} if r["initial"] else {s: s for s in STATES}
             after = apply(_square(r["behind"]), tuple(r["after"]))
             runs = collapsed(s for row in zip(r["role"], r["fault"], r["n"]) for s in _symbols(*row))
-            out = []
             for entry, state in reached.items():
                 edits, leaves = unroll(runs, state, after)
                 reached[entry] = leaves
                 tail = at_end(leaves) if r["final"] and r["no"] == 0 else ""
                 out.append({"conv": r["conv"], "slice": r["slice"], "no": r["no"], "entry": entry, "leaves": leaves,
                             "edits": edits + tail, **_lines(r, edits, tail, state)})
-            yield pa.RecordBatch.from_pylist(out, schema)
+            if len(out) >= PIECES_OUT:
+                yield _batch(out, schema)
+                out = []
+        if out:
+            yield _batch(out, schema)
 
 
 def _entries(group: pd.DataFrame) -> pd.DataFrame:
@@ -441,8 +455,8 @@ def chosen(parts: DataFrame, sliced: DataFrame) -> DataFrame:
     """``EDITS`` of every piece from the state in which it is really entered."""
     need = parts.select("conv", "slice", "no", "known", "turn", "role", "digest", "n", "fault", "behind")
     tried = need.join(sliced.drop("cost"), ["conv", "slice"]).repartition("conv", "slice") \
-                .sortWithinPartitions("conv", "slice", F.col("no").desc()).mapInArrow(_edits, EDITS)
-    tried = materialize(parts.sparkSession, tried, "conversation-edits")
+                .sortWithinPartitions("conv", "slice", F.col("no").desc())
+    tried = materialize(parts.sparkSession, lean_map(tried, _edits, EDITS), "conversation-edits")
     spanning = sliced.where(~F.col("initial")).select("conv").distinct()
     entered = tried.where("no = 0").select("conv", "slice", "entry", "leaves").join(spanning, "conv", "left_semi") \
                    .groupBy("conv").applyInPandas(_entries, "conv string, slice int, enters int")
@@ -512,9 +526,9 @@ def summary(original: DataFrame, rows: DataFrame) -> DataFrame:
     edits = chosen(parts, sliced)
     audit = edits.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("slice", (-F.col("no")).alias("no"), "edits"))).alias("a")) \
                  .select("conv", F.array_join(F.col("a.edits"), "").alias("audit"))
-    digest = repaired(keys, edits).select("conv", "slice", "no", "at", "role", "text").repartition("conv") \
-        .sortWithinPartitions("conv", "slice", F.col("no").desc(), "at").select("conv", "role", "text") \
-        .mapInArrow(_hashed, "conv string, repaired_sha256 string")
+    lines = repaired(keys, edits).select("conv", "slice", "no", "at", "role", "text").repartition("conv") \
+        .sortWithinPartitions("conv", "slice", F.col("no").desc(), "at").select("conv", "role", "text")
+    digest = lean_map(lines, _hashed, "conv string, repaired_sha256 string")
     cost = sliced.where("initial").select("conv", "cost")
     all_ids = original.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")) \
                       .select("conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("-")).alias("conv"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import utf8_buffer
+from marketlens.llm.common import lean_map, utf8_buffer
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Texts are worked on in blocks of about so many bytes.
@@ -113,7 +113,7 @@ def transform(docs: DataFrame, keep: list[str], seed: int = 1, unit: str = "toke
                 yield _block(part, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], keep, unit)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-    return rows.mapInArrow(run, f"{schema}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return lean_map(rows, run, f"{schema}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def _block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, keep: list[str], unit: str) -> pa.RecordBatch:

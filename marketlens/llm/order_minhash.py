@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import utf8_buffer
+from marketlens.llm.common import lean_map, utf8_buffer
 from marketlens.sources.store import materialize
 
 SIMILARITY = 0.8
@@ -48,6 +48,8 @@ AGREE = 15
 FOREST = 1024
 TILE = 8192
 COMPARED = 512
+#: Texts whose sketches a task holds at a time.
+SKETCHED = 8192
 COLUMNS = 2048
 
 SHINGLE = 5
@@ -335,10 +337,10 @@ def _signed(x) -> np.ndarray:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches of a task's texts that stand for the others, and the links of
-    the others to them (rows with ``other``)."""
+    """Sketches of texts that stand for the others, ``SKETCHED`` texts of a
+    task at a time, and the links of the others to them (rows with ``other``)."""
     seen: set[int] = set()
-    nodes, counts, keys, s1, s2 = [], [], [], [], []
+    held: list[tuple] = []
     for batch in batches:
         data, offsets = utf8_buffer(batch.column("words"))
         for i, node in enumerate(batch.column("node").to_pylist()):
@@ -347,14 +349,17 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(node)
             s = shingles(word_hashes(data[offsets[i]:offsets[i + 1]]))
             if len(s):
-                k, a, b = sketch(s)
-                nodes.append(node)
-                counts.append(len(s))
-                keys.append(k)
-                s1.append(a)
-                s2.append(b)
-    if not nodes:
-        return
+                held.append((node, len(s), *sketch(s)))
+            if len(held) == SKETCHED:
+                yield from _standing_rows(held)
+                seen.clear()
+                held.clear()
+    if held:
+        yield from _standing_rows(held)
+
+
+def _standing_rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    nodes, counts, keys, s1, s2 = zip(*held)
     node, n = np.array(nodes, np.int64), np.array(counts, np.int64)
     a, b = np.array(s1, np.uint64), np.array(s2, np.uint64)
     key = np.concatenate(keys)
@@ -451,7 +456,7 @@ def _verified(pairs: DataFrame, used: DataFrame) -> DataFrame:
     left = used.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
     right = used.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
-    return both.mapInArrow(check, "a long, b long, near boolean")
+    return lean_map(both, check, "a long, b long, near boolean")
 
 
 def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -570,11 +575,11 @@ def linked(docs: DataFrame) -> DataFrame:
     distinct texts, named by a 64-bit hash."""
     spark = docs.sparkSession
     texts = docs.select(node_of("text").alias("node"), F.lower("text").alias("words")).where(F.col("node").isNotNull())
-    rows = materialize(spark, texts.mapInArrow(_local, _ROWS), "omh-sketches")
+    rows = materialize(spark, lean_map(texts, _local, _ROWS), "omh-sketches")
     mine = rows.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
     stand = rows.where(F.col("other").isNull()).select("key", "node", "n", "s1", "s2").repartition(F.col("key")) \
-                .sortWithinPartitions("key", "n", "node").mapInArrow(_across, _PAIRS)
-    stand = materialize(spark, stand, "omh-across")
+                .sortWithinPartitions("key", "n", "node")
+    stand = materialize(spark, lean_map(stand, _across, _PAIRS), "omh-across")
     more = _between(stand.where(F.col("b").isNull()))
     found = mine.unionByName(stand.where(F.col("b").isNotNull()).select("a", "b")).unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
                 .where(F.col("a") != F.col("b")).distinct()

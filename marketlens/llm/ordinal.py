@@ -8,8 +8,9 @@ so that words seen everywhere carry little.  The output is the distribution
 over grades, its mean (expected severity) and the likeliest grade.
 
 Training takes at most ``SAMPLE_DOCS`` labelled rows of each grade (smallest
-id hashes; the first ``SAMPLE_CHARS`` characters of each) and weighs them back
-to the grades' shares among all labelled rows.  Scoring reads every text whole.
+id hashes) and weighs them back to the grades' shares among all labelled rows.
+Their words are gathered from whole texts on the executors; the driver gets
+each row's distinct words.  Scoring reads every text whole.
 
 Defined cases: null and empty texts have no features and are scored by the
 thresholds alone; with no labelled rows, or one grade only, the severity is
@@ -19,17 +20,17 @@ are null are ignored; several labels of one id count as the smallest.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import sample_ids, sample_texts
+from marketlens.llm.common import lean_map, sample_ids, sample_rows
 
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 20_000
 MIN_DOCS = 3
 ROUNDS = 200
 L2 = 1e-3
@@ -45,13 +46,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], grades: list[int], shares: dict[int, float]) -> dict:
-    """Weights by word and increasing thresholds.  ``shares`` are the grades'
-    shares among all labelled rows."""
+    return fit_words((sorted(words(t)) for t in texts), grades, shares)
+
+
+def fit_words(texts: Iterable[list[str]], grades: list[int], shares: dict[int, float]) -> dict:
+    """Weights by word and increasing thresholds, from the distinct words of
+    each text.  ``shares`` are the grades' shares among all labelled rows."""
     levels = sorted(set(grades))
     if len(levels) < 2:
         return {"levels": levels or [0], "weights": {}, "thresholds": np.zeros(0)}
     number: dict[str, int] = {}         # words are kept once, rows as numbers
-    rows = [np.array([number.setdefault(w, len(number)) for w in sorted(words(t))], np.int64) for t in texts]
+    rows = [np.array([number.setdefault(w, len(number)) for w in t], np.int64) for t in texts]
     df = np.bincount(np.concatenate(rows), minlength=len(number)) if number else np.zeros(0, np.int64)
     slot = np.full(len(number), -1)
     slot[df >= MIN_DOCS] = np.arange(int((df >= MIN_DOCS).sum()))
@@ -135,8 +140,18 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str) -> dict:
                   .groupBy("doc_id").agg(F.min(grade_col).alias("grade"))
     counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values()) or 1
-    rows = sample_texts(docs.select("doc_id", "text"), sample_ids(known, "grade", SAMPLE_DOCS), SAMPLE_CHARS)
-    return fit([r["text"] for r in rows], [r["grade"] for r in rows], {g: n / total for g, n in counts.items()})
+    rows = sample_rows(docs.select("doc_id", "text"), sample_ids(known, "grade", SAMPLE_DOCS)).select("doc_id", "grade", "text")
+    kind = rows.schema["grade"].dataType.simpleString()
+    rows = lean_map(rows, _word_rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grade {kind}, words array<string>") \
+        .orderBy("doc_id").toArrow()
+    return fit_words((x.as_py() for x in rows.column("words")), rows.column("grade").to_pylist(), {g: n / total for g, n in counts.items()})
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [sorted(words(t.as_py())) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(found, pa.list_(pa.string()))],
+                                         ["doc_id", "grade", "words"])
 
 
 def severity(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic") -> DataFrame:

@@ -23,7 +23,6 @@ special token; an empty table gives no rows.
 """
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.llm.common import lean_map, worker_state
 from marketlens.sources.store import materialize
 
 WINDOW = 1024
@@ -41,15 +41,13 @@ VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 
 
-@functools.cache
 def _library(name: str):
-    """The ``tokenizers`` form of a vocabulary (one per Python worker)."""
+    """The ``tokenizers`` form of a vocabulary ."""
     import public_tokenizers
     from tokenizers import Tokenizer
     return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
 
-@functools.cache
 def _fast(name: str):
     """The same vocabulary and merges through ``tiktoken``, which gives the
     same ids several times faster."""
@@ -62,15 +60,23 @@ def _fast(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _kept(kind, name: str):
+    """A tokenizer of this worker; another operator's task drops them."""
+    held = worker_state("tokenizers", dict)
+    if (kind, name) not in held:
+        held[kind, name] = kind(name)
+    return held[kind, name]
+
+
 def token_ids(text: str, name: str = VOCABULARY) -> np.ndarray:
     """Ids of a text and the end mark."""
     if SPECIAL not in text:
         try:
-            return np.append(_fast(name).encode_to_numpy(text, disallowed_special=()), np.uint32(END))
+            return np.append(_kept(_fast, name).encode_to_numpy(text, disallowed_special=()), np.uint32(END))
         except BaseException as e:      # the regular expression engine gives up on very long runs of spaces
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
-    ids = _library(name).encode(text, add_special_tokens=False).ids
+    ids = _kept(_library, name).encode(text, add_special_tokens=False).ids
     return np.array([*ids, END], np.uint32)
 
 
@@ -102,8 +108,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, vocabu
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                "nth long, task int" + (", ids array<int>" if with_ids else ""))
+    return lean_map(rows, run, f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, nth long, task int"
+                               + (", ids array<int>" if with_ids else ""), state="tokenizers")
 
 
 def fill(counts: dict[int, int], space: int) -> dict[int, int]:

@@ -3,7 +3,7 @@ r"""Secrets: patterns, then corpus-wide ownership frequency.
 Base kinds, in order: ``assign`` (a key word, a separator and a value of 6 or
 more characters), ``access`` (``AKIA`` and at least 16 more characters) and
 ``hex`` (24 or more hexadecimal digits).  The method proposes one more kind,
-``token``: runs of 32 to 200 characters that mix capitals, small letters and
+``token``: runs of 32 or more characters that mix capitals, small letters and
 digits.
 
 The secret part of each candidate is hashed (texts never leave the scan).  For
@@ -39,7 +39,7 @@ ASSIGN_HEAD = "^" + _WORDS + r"""["']?\x20*+[:=]\x20*+["']?"""
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?[A-Z])(?=[A-Za-z0-9+/_-]*?[a-z])(?=[A-Za-z0-9+/_-]*?[0-9])"
-         r"[A-Za-z0-9+/_-]{32,200}+(?![A-Za-z0-9+/_-])")
+         r"[A-Za-z0-9+/_-]{32,}+")
 
 
 def _value(kind: Column, found: Column) -> Column:

@@ -10,9 +10,10 @@ them are computed in blocks, exactly, and the ``NEIGHBOURS`` nearest vote with
 weights growing with their similarity.  ``score`` is the weighted share of
 label 1.
 
-Training takes the ``SAMPLE_DOCS`` labelled rows with the smallest id hashes,
-the first ``SAMPLE_CHARS`` characters of each; scoring reads every text whole,
-in windows of ``WINDOW`` bytes.
+Training takes the ``SAMPLE_DOCS`` labelled rows with the smallest id hashes;
+their terms are counted over whole texts on the executors and only the counts
+are brought together.  Scoring reads every text whole, in windows of
+``WINDOW`` bytes.
 
 Defined cases: null and empty texts have no vector and score the share of
 label 1 in the sample; with no labelled rows every score is 0.5; equally near
@@ -28,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import id_crc, sample_ids, sample_texts, sum_rows, utf8_buffer
+from marketlens.llm.common import id_crc, lean_map, sample_ids, sample_rows, sum_rows, utf8_buffer
 
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 20_000
 TERMS = 1024
 RANK = 24
 NEIGHBOURS = 25
@@ -114,15 +114,36 @@ def _terms(data: np.ndarray, offsets: np.ndarray, start: int, stop: int) -> tupl
     return term[skip:], again[skip:]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term counts of whole texts: ``codes``, ``times``, ``again`` and ``size``
+    (bytes)."""
+    for b in batches:
+        data, offsets = utf8_buffer(b.column("text"))
+        codes, times, again, size = [], [], [], []
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            raw = data[lo:hi]
+            term, same = _terms(raw, np.array([0, len(raw)]), 0, len(raw))
+            code, n = np.unique(term, return_counts=True)
+            codes.append(code)
+            times.append(n)
+            again.append(int(same.sum()))
+            size.append(max(1, len(raw)))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("label"), pa.array(codes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
+             pa.array(again, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "label", "codes", "times", "again", "size"])
+
+
 def fit(texts: list[str], labels: list[int]) -> dict | None:
-    if not texts:
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "label": labels, "text": pa.array(texts, pa.string())})
+    counted = next(_counted(iter([rows])))
+    return fit_counts(counted.to_pylist(), labels)
+
+
+def fit_counts(counted: list[dict], labels: list[int]) -> dict | None:
+    """Model from the term counts of the sample (``_counted``)."""
+    if not counted:
         return None
-    rows = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        term, again = _terms(raw, np.array([0, len(raw)]), 0, len(raw))
-        code, n = np.unique(term, return_counts=True)
-        rows.append((code, n, int(again.sum()), max(1, len(raw))))
+    rows = [(np.array(r["codes"], np.int64), np.array(r["times"], np.int64), r["again"], r["size"]) for r in counted]
     df = np.zeros(AGAIN + 1)
     for code, _, again, _ in rows:
         df[code] += 1
@@ -169,10 +190,13 @@ def vote(x: np.ndarray, model: dict) -> np.ndarray:
     k = min(NEIGHBOURS, len(model["labels"]))
     for at in range(0, len(known), BLOCK):
         rows = known[at:at + BLOCK]
-        cosine = x[rows] @ model["vectors"].T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, axis=1) - 1.0))
-        out[rows] = (weight * model["labels"][near]).sum(axis=1) / weight.sum(axis=1)
+        cosine = np.round(x[rows] @ model["vectors"].T, 12)
+        least = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+        above, level = cosine > least, cosine == least
+        # of those level with the last place the first by id, which is their order
+        near = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1)[:, None]))
+        weight = np.exp(SHARPNESS * (cosine - 1.0)) * near
+        out[rows] = weight @ model["labels"] / weight.sum(axis=1)
     return np.clip(out, 0.0, 1.0)
 
 
@@ -190,17 +214,19 @@ def score(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
                 [*[b.column(c) for c in keep], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
                 [*keep, "score", "predicted"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-    return docs.select(*keep, F.col("text").alias("_text")) \
-               .mapInArrow(run, f"{schema}, score double, predicted int")
+    return lean_map(docs.select(*keep, F.col("text").alias("_text")), run, f"{schema}, score double, predicted int")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality") -> dict | None:
     known = labels.where(usable & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()) \
                   .groupBy("doc_id").agg(F.min(label_col).alias("label")).withColumn("all", F.lit(0))
     first = sample_ids(known, "all", SAMPLE_DOCS).drop("all").join(known.drop("all"), "doc_id")
-    rows = sample_texts(docs.select("doc_id", "text"), first, SAMPLE_CHARS)
-    rows = [r for r in rows if r["text"]]
-    return fit([r["text"] for r in rows], [int(r["label"] == 1) for r in rows])
+    rows = sample_rows(docs.select("doc_id", "text"), first).where("text <> ''")
+    rows = rows.select("doc_id", (F.col("label") == 1).cast("int").alias("label"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    counted = lean_map(rows, _counted, f"doc_id {kind}, label int, codes array<long>, times array<long>, again long, size long") \
+        .orderBy("doc_id").toArrow().to_pylist()
+    return fit_counts(counted, [r["label"] for r in counted])
 
 
 def held_out() -> Column:

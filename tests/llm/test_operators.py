@@ -372,7 +372,7 @@ def test_code_lengths_match_a_plain_model():
     offsets = np.cumsum([0] + [len(t) for t in texts])
     old, ppm.WINDOW = ppm.WINDOW, 5
     try:
-        got = ppm.code_lengths(data, offsets, ppm._build(model))
+        got = ppm.code_lengths(data, offsets, model["tables"])
     finally:
         ppm.WINDOW = old
     assert got == pytest.approx(np.array([[bits(g, t) for g in ("a", "b")] for t in texts]), rel=1e-4)
