@@ -24,7 +24,7 @@ from marketlens.functions.dates import floor_days, fractional_hours
 from marketlens.functions.joins import attach_scalars
 from marketlens.functions.quantiles import quantiles
 from marketlens.functions.ranking import ranked
-from marketlens.functions.vectors import top_k_cosine
+from marketlens.functions.vectors import top_k
 from marketlens.operators.classify import SEED, stratified_split
 from marketlens.operators.profile import mode_fill
 
@@ -135,7 +135,7 @@ def smote(train: DataFrame, label: str = TARGET, seed: int = SEED) -> DataFrame:
     synth = []
     for cls in classes:
         part = base.where(F.col(label) == cls)
-        nn = top_k_cosine(part.select(F.col("row_id").alias("qid"), F.col("x").alias("vec")),
+        nn = top_k(part.select(F.col("row_id").alias("qid"), F.col("x").alias("vec")),
                           part.select(F.col("row_id").alias("cid"), F.col("x").alias("vec")),
                           1, exclude_self=True, metric="euclidean")
         pairs = (part.join(nn.select(F.col("qid").alias("row_id"), F.col("cid").alias("nn_id")), "row_id")

@@ -47,7 +47,32 @@ def _catalog_feats(spark, sf_dir):
     return cat, materialize(spark, rc.content_features(cat), "content-features")
 
 
-@query("rec_similar_content", "M25 M27 J6")
+_SIMILAR_CTE = _CATALOG_SQL + f""",
+cat AS ({_CATALOG_ROWS}),
+named AS (SELECT category, list_filter(string_split_regex(lower(coalesce(category, '')), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS tokens, n
+          FROM (SELECT product_category_name_english AS category, count(*) AS n FROM cat GROUP BY 1)),
+words AS (SELECT category, n, token, count(*) AS tf FROM (SELECT category, n, unnest(tokens) AS token FROM named) GROUP BY 1, 2, 3),
+idf AS (SELECT token, ln((1.0 + (SELECT count(*) FROM cat)) / (1.0 + sum(n))) + 1.0 AS idf FROM words GROUP BY token),
+weights AS (SELECT category, token, tf * idf AS w FROM words JOIN idf USING (token)),
+unit AS (SELECT category, token, w / sqrt(sum(w * w) OVER (PARTITION BY category)) AS w FROM weights),
+dots AS (SELECT a.category AS a, b.category AS b, sum(a.w * b.w) AS dot FROM unit a JOIN unit b USING (token) GROUP BY 1, 2),
+vec AS (SELECT c.*, sqrt(coalesce(d.dot, 0.0) + price_scaled * price_scaled + rating_scaled * rating_scaled
+                         + weight_scaled * weight_scaled) AS norm
+        FROM cat c LEFT JOIN dots d ON d.a IS NOT DISTINCT FROM c.product_category_name_english
+                                   AND d.b IS NOT DISTINCT FROM c.product_category_name_english),
+scores AS (SELECT p.product_id, q.product_id AS rec_product_id, q.product_category_name_english, q.price, q.review_score,
+                  coalesce((coalesce(d.dot, 0.0) + p.price_scaled * q.price_scaled + p.rating_scaled * q.rating_scaled
+                            + p.weight_scaled * q.weight_scaled) / nullif(p.norm * q.norm, 0), 0.0) AS score
+           FROM vec p JOIN vec q ON p.product_id <> q.product_id
+           LEFT JOIN dots d ON d.a IS NOT DISTINCT FROM p.product_category_name_english
+                           AND d.b IS NOT DISTINCT FROM q.product_category_name_english)"""
+
+
+@query("rec_similar_content", "M25 M27 J6", over_fact("""
+SELECT product_id, rec_product_id, CAST(rank AS INTEGER) AS rank, round(score, 4) + 0.0 AS similarity_score,
+       product_category_name_english, price, review_score
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY round(score, 6) DESC, rec_product_id) AS rank FROM scores)
+WHERE rank <= 5""", _SIMILAR_CTE))
 def rec_similar_content(spark, sf_dir):
     cat, feats = _catalog_feats(spark, sf_dir)
     return rc.similar_products(cat, rc.content_vectors(feats), "content", 5, "content")

@@ -218,47 +218,84 @@ def sent_batch_scoring(spark, sf_dir):
                                          "probabilities", "confidence")
 
 
-def _keyword_report_sql() -> str:
-    from marketlens.operators.insights import NEGATIVE_WORDS, POSITIVE_WORDS
+def _keyword_ctes() -> str:
+    from marketlens.operators.insights import FALLBACK_PROBS, NEGATIVE_WORDS, POSITIVE_WORDS
     from marketlens.plans.sentiment_queries import REVIEW_CTES, tokens_sql
     t = f"array_to_string({tokens_sql('review_text')}, ' ')"
     pos = " OR ".join(f"contains(ct, '{w}')" for w in POSITIVE_WORDS)
     neg = " OR ".join(f"contains(ct, '{w}')" for w in NEGATIVE_WORDS)
-    return over_fact("""
-SELECT cls AS class, round(prec, 4) AS precision, round(rec, 4) AS recall,
-       round(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END, 4) AS f1, support
-FROM per
-UNION ALL
-SELECT 'accuracy', round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4),
-       round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4),
-       round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4), count(*) FROM pr""",
-                     REVIEW_CTES + f""",
+    probs = ", ".join(f"CASE kind WHEN 'Positive' THEN {FALLBACK_PROBS['Positive'][i]} WHEN 'Negative' THEN {FALLBACK_PROBS['Negative'][i]} "
+                      f"ELSE {FALLBACK_PROBS['Mixed'][i]} END::DOUBLE AS {name}"
+                      for i, name in enumerate(("p_negative", "p_neutral", "p_positive")))
+    return REVIEW_CTES + f""",
 revt AS (SELECT r.review_id, r.sentiment, min(f.review_text) AS review_text FROM lab r
          JOIN fact f ON f.review_id = r.review_id GROUP BY 1, 2),
-pr AS (SELECT sentiment, CASE WHEN ({neg}) AND NOT ({pos}) THEN 'Negative' ELSE 'Positive' END AS pred
-       FROM (SELECT sentiment, {t} AS ct FROM revt)),
+kinds AS (SELECT sentiment, CASE WHEN ({pos}) AND NOT ({neg}) THEN 'Positive' WHEN ({neg}) AND NOT ({pos}) THEN 'Negative' ELSE 'Mixed' END AS kind
+          FROM (SELECT sentiment, {t} AS ct FROM revt)),
+pr AS (SELECT sentiment, CASE kind WHEN 'Negative' THEN 'Negative' ELSE 'Positive' END AS pred, {probs} FROM kinds),
 classes AS (SELECT sentiment AS cls FROM pr UNION SELECT pred FROM pr),
 per AS (SELECT c.cls, coalesce(t.tp * 1.0 / nullif(p.predicted, 0), 0.0) AS prec,
                coalesce(t.tp * 1.0 / nullif(s.support, 0), 0.0) AS rec, coalesce(s.support, 0) AS support
         FROM classes c
         LEFT JOIN (SELECT sentiment AS cls, count(*) AS support FROM pr GROUP BY 1) s ON s.cls = c.cls
         LEFT JOIN (SELECT pred AS cls, count(*) AS predicted FROM pr GROUP BY 1) p ON p.cls = c.cls
-        LEFT JOIN (SELECT sentiment AS cls, count(*) AS tp FROM pr WHERE sentiment = pred GROUP BY 1) t ON t.cls = c.cls)""")
+        LEFT JOIN (SELECT sentiment AS cls, count(*) AS tp FROM pr WHERE sentiment = pred GROUP BY 1) t ON t.cls = c.cls),
+scored AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f FROM per)"""
 
 
-@query("sent_keyword_report", "P21 M4 P19", _keyword_report_sql())
+_KEYWORD_REPORT = """
+SELECT cls AS class, round(prec, 4) AS precision, round(rec, 4) AS recall, round(f, 4) AS f1, support FROM scored
+UNION ALL
+SELECT 'macro avg', round(avg(prec), 4), round(avg(rec), 4), round(avg(f), 4), sum(support)::BIGINT FROM scored
+UNION ALL
+SELECT 'weighted avg', round(sum(prec * support) / sum(support), 4), round(sum(rec * support) / sum(support), 4),
+       round(sum(f * support) / sum(support), 4), sum(support)::BIGINT FROM scored
+UNION ALL
+SELECT 'accuracy', round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4),
+       round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4),
+       round(avg(CASE WHEN sentiment = pred THEN 1.0 ELSE 0.0 END), 4), count(*) FROM pr"""
+
+
+def _keyword_scored(spark, sf_dir):
+    """Every labelled review with the keyword scorer's label and its fixed
+    probabilities.  Each distinct text is cleaned once, into a written column,
+    and scored once."""
+    def build():
+        fact = enriched(spark, sf_dir)
+        clean = materialize(spark, review_text_dim(spark, sf_dir).select(
+            "review_key", clean_text(F.col("review_text")).alias("clean")), "clean-texts")
+        names = ("p_negative", "p_neutral", "p_positive")
+
+        def score(text):
+            label, probs = keyword_sentiment(text)
+            return [label.alias("pred"), *[probs[i].alias(n) for i, n in enumerate(names)]]
+        scored = clean.select("review_key", *score(F.col("clean")))
+        none = score(F.lit(""))
+        revs = se.labelled(se.reviews(fact)).join(scored, "review_key", "left")
+        return materialize(spark, revs.select("sentiment", *[F.coalesce(n, e).alias(n) for n, e in zip(("pred", *names), none)]),
+                           "keyword-scores")
+    return memo(spark, sf_dir, "keyword-scores", build)
+
+
+@query("sent_keyword_report", "P21 M4 P19", over_fact(_KEYWORD_REPORT, _keyword_ctes()))
 def sent_keyword_report(spark, sf_dir):
-    """Keyword fallback scorer evaluated against the star-derived labels."""
-    fact = enriched(spark, sf_dir)
-    texts = review_text_dim(spark, sf_dir)
-    # score each distinct text once, then attach by key
-    label, _ = keyword_sentiment(clean_text(F.col("review_text")))
-    scored = texts.select("review_key", label.alias("pred"))
-    no_text, _ = keyword_sentiment(clean_text(F.lit("")))
-    revs = se.labelled(se.reviews(fact)).join(scored, "review_key", "left") \
-             .withColumn("pred", F.coalesce("pred", no_text))
-    rep = cl.report(revs, "sentiment", "pred")
-    return rep.where(~F.col("class").isin("macro avg", "weighted avg"))
+    """Keyword fallback scorer evaluated against the star-derived labels: every
+    class, both averages and the accuracy."""
+    return cl.report(_keyword_scored(spark, sf_dir), "sentiment", "pred")
+
+
+@query("sent_keyword_confusion", "M4 P21", over_fact(
+    "SELECT sentiment AS actual, pred AS predicted, count(*) AS n FROM pr GROUP BY 1, 2", _keyword_ctes()))
+def sent_keyword_confusion(spark, sf_dir):
+    """Confusion matrix of the keyword scorer."""
+    return cl.confusion(_keyword_scored(spark, sf_dir), "sentiment", "pred")
+
+
+@query("sent_keyword_probabilities", "P21", over_fact(
+    "SELECT pred, p_negative, p_neutral, p_positive, count(*) AS reviews FROM pr GROUP BY ALL", _keyword_ctes()))
+def sent_keyword_probabilities(spark, sf_dir):
+    """Reviews by the label and the fixed probabilities the scorer gives."""
+    return _keyword_scored(spark, sf_dir).groupBy("pred", "p_negative", "p_neutral", "p_positive").agg(F.count(F.lit(1)).alias("reviews"))
 
 
 def _satisfaction_data(spark, sf_dir):

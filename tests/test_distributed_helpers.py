@@ -1,12 +1,13 @@
 """Distributed helpers checked against brute force on small inputs."""
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions.chunking import split_text
 from marketlens.functions.quantiles import quantiles
 from marketlens.functions.ranking import next_in_order, ntile_of, ranked
-from marketlens.functions.vectors import top_k_cosine
+from marketlens.functions.vectors import build, search, top_k
 
 
 def test_quantiles_match_pandas(spark):
@@ -50,12 +51,11 @@ def test_next_in_order(spark):
     assert got == {(1, 10): 12, (1, 12): 11, (1, 11): None, (2, 20): None}
 
 
-def test_top_k_cosine_matches_brute_force(spark):
+def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, X[i].tolist()) for i in range(60)], "id long, vec array<double>")
-    hits = top_k_cosine(df.withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "cid"), 3,
-                        exclude_self=True, buckets=4).collect()
+    hits = top_k(df.withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "cid"), 3, exclude_self=True).collect()
     Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
     S = Xn @ Xn.T
     np.fill_diagonal(S, -np.inf)
@@ -65,6 +65,37 @@ def test_top_k_cosine_matches_brute_force(spark):
         assert got == exp
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_pruned_search_is_exact_and_skips_most_pairs(spark, metric):
+    """Clustered rows, far rows, zero rows, copies and queries that are not in
+    the table; every leaf and shard is small."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 6)) * 8
+    X = np.concatenate([centres[rng.integers(0, 20, 500)] + rng.normal(size=(500, 6)) * 0.3, np.zeros((3, 6)), np.ones((40, 6))])
+    Q = np.concatenate([X[::9], rng.normal(size=(10, 6)) * 8, np.zeros((1, 6))])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(X)] + [(10_000, None)], "cid long, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "qid long, vec array<double>")
+    hits, work = search(queries, build(corpus, metric, leaf_rows=16, shard_rows=100), 7)
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    S = unit(Q) @ unit(X).T if metric == "cosine" else -np.sqrt(((Q[:, None] - X[None]) ** 2).sum(-1))
+    got = {}
+    for h in hits.collect():
+        got.setdefault(h.qid, {})[h.rank] = (h.cid, h.score)
+    for q in range(len(Q)):
+        want = np.argsort(-np.round(S[q], 6), kind="stable")[:7]
+        assert [got[q][r][0] for r in range(1, 8)] == want.tolist()
+        assert [got[q][r][1] for r in range(1, 8)] == pytest.approx(S[q][want], abs=1e-6)
+    scored = {r.qid: r.n for r in work.groupBy("qid").agg(F.sum("scored").alias("n")).collect()}
+    assert max(scored.values()) <= len(X) and sum(scored.values()) < 0.4 * len(Q) * len(X)
+
+
+def test_search_of_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "cid long, vec array<double>")
+    none, q = df.where("1 = 0"), df.withColumnRenamed("cid", "qid")
+    assert top_k(q, none, 3).count() == 0 and top_k(q.where("1 = 0"), df, 3).count() == 0
+    assert [r.cid for r in top_k(q, df, 3).collect()] == [1] and top_k(q, df, 3, exclude_self=True).count() == 0
+
+
 def test_chunking_geometry():
     assert split_text("") == []
     short = "a short text"
@@ -82,7 +113,8 @@ def test_chunking_geometry():
 def test_top_k_over_several_blocks_and_buckets_breaks_ties_by_id(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)]
     df = spark.createDataFrame(rows, "cid long, vec array<double>")
-    got = top_k_cosine(df.withColumnRenamed("cid", "qid"), df, 5, exclude_self=True, buckets=4, block_rows=7)
+    index = build(df, leaf_rows=6, shard_rows=15)
+    got, _ = search(df.withColumnRenamed("cid", "qid"), index, 5, exclude_self=True, block_rows=7)
     best = {}
     for r in got.collect():
         best.setdefault(r.qid, {})[r.rank] = r.cid

@@ -64,3 +64,18 @@ def test_random_search_runs(spark):
     cv = sat.random_search(DecisionTreeClassifier(), {"maxDepth": [2, 3, 4], "impurity": ["gini", "entropy"]},
                            df, draws=2, folds=2)
     assert len(cv.avgMetrics) == 2
+
+
+def test_power_iteration_spans_the_leading_singular_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    from marketlens.operators import recommend as rc
+    rng = np.random.default_rng(5)
+    x = (rng.random((80, 12)) < 0.3) * rng.normal(size=(80, 12)) * np.linspace(6, 1, 12)
+    rows = [(i, Vectors.dense(v) if i % 3 else Vectors.sparse(12, {int(j): float(v[j]) for j in np.flatnonzero(v)}))
+            for i, v in enumerate(x)]
+    feats = spark.createDataFrame(rows, ["product_id", "features"])
+    basis = rc.svd_basis(feats, k=4, extra=4, rounds=60)
+    right = np.linalg.svd(x, full_matrices=False)[2][:4].T
+    assert np.abs(basis.T @ right) == pytest.approx(np.eye(4), abs=1e-4)
+    latent = {r.product_id: r.latent for r in rc.svd_latent(feats, 4).collect()}
+    assert np.abs(np.array([latent[i] for i in range(80)])) == pytest.approx(np.abs(x @ right), abs=1e-2)
