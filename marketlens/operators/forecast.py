@@ -2,22 +2,26 @@
 
 The panel is keyed by ``series`` (one platform-wide series by default, or
 e.g. category × state), so windows partition by series and the recursive
-forecast advances every series in one DataFrame step.  A daily series has
+forecast rolls all series of a task together.  A daily series has
 one row per day: windows over it are bounded by the calendar, not by the
 order volume.
 """
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler, StandardScaler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.money import money_avg, rounded
+from marketlens.functions.trees import linear_of, trees_of
 from marketlens.sources.store import materialize
 
 CAT = "product_category_name_english"
@@ -182,7 +186,22 @@ class Hybrid:
 
 
 def model_candidates(seed: int = 42) -> dict:
-    return {"RandomForest": random_forest(seed), "Hybrid": Hybrid(seed)}
+    return {"RandomForest": random_forest(seed), "Boosted": boosted(seed=seed), "Hybrid": Hybrid(seed)}
+
+
+def model_forecasts(panel: DataFrame, train: DataFrame, evaluation: DataFrame, candidates: dict | None = None,
+                    horizon: int = HORIZON_DAYS) -> DataFrame:                        # M23
+    """One row per (date, model): every candidate refit on all supervised rows
+    and rolled forward by itself, with its hold-out WAPE; ``is_best`` marks the
+    model of least WAPE (ties to the first name)."""
+    scores = evaluation.select("model", "WAPE_pct")
+    best = best_model_name(evaluation).select(F.col("model").alias("_best"))
+    out = None
+    for name, estimator in (candidates or model_candidates()).items():
+        rows = recursive_forecast(panel, estimator.fit(train), horizon=horizon).withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(F.broadcast(scores), "model").crossJoin(F.broadcast(best)) \
+              .withColumn("is_best", F.col("model") == F.col("_best")).drop("_best")
 
 
 def evaluate_models(split: DataFrame, candidates: dict | None = None) -> tuple[DataFrame, dict]:   # M13, M22
@@ -205,53 +224,121 @@ def best_model_name(evaluation: DataFrame) -> DataFrame:
     return evaluation.where(F.col("model") != "NaiveLag1").orderBy("WAPE_pct", "model").limit(1).select("model")
 
 
-def _array_mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+@dataclass
+class Predictor:
+    """A fitted candidate as a function of feature columns (name -> values of
+    all rows) that needs no Spark session: weighted parts and a floor."""
+    parts: list[tuple]          # model, its columns, weight
+    floor: float = -math.inf
 
+    def __call__(self, x: dict) -> np.ndarray:
+        return np.maximum(self.floor, sum(w * m.predict(np.column_stack([x[c] for c in cols])) for m, cols, w in self.parts))
 
-def _array_std(a: Column) -> Column:
-    m = _array_mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / (F.size(a) - 1))
 
+def predictor(spark, model) -> Predictor:
+    if isinstance(model, Hybrid):
+        tree, line = trees_of(spark, model.tree.stages[-1], False), linear_of(model.linear.stages[1], model.linear.stages[2])
+        return Predictor([(tree, FEATURE_COLS, HYBRID_TREE_WEIGHT), (line, LINEAR_COLS, HYBRID_LINEAR_WEIGHT)], HYBRID_FLOOR)
+    last = model.stages[-1]
+    return Predictor([(trees_of(spark, last, isinstance(last, RandomForestRegressionModel)), FEATURE_COLS, 1.0)])
 
-def recursive_forecast(panel: DataFrame, model, series: Sequence[str] = (),
-                       horizon: int = HORIZON_DAYS, checkpoint_every: int = 5) -> DataFrame:   # M20, U2
-    """Roll every series forward day by day.  State is one row per series
-    holding the last 30 values; each step predicts all series with one
-    ``transform`` and appends the prediction to the state array.  Lineage is
-    cut every ``checkpoint_every`` steps by writing the (one row per series)
-    state to the shared checkpoint folder."""
-    series = list(series)
+
+def recursive_forecast(panel: DataFrame, model, series: Sequence[str] = (), horizon: int = HORIZON_DAYS) -> DataFrame:   # M20, U2
+    """Roll every series forward day by day.  The state is one row per series
+    with its last 30 values and the calendar of the coming days; a task rolls
+    all its series together, each step feeding the predictions back into lags
+    and rolling statistics.  The model travels as plain arrays
+    (``functions.trees``), so the recursion is one pass over the state table,
+    whatever the number of series.  Series of fewer than 30 days have no full
+    lags and get no forecast."""
+    spark, series = panel.sparkSession, list(series)
     hist_n = max(max(LAGS), max(ROLLS))
     w = Window.partitionBy(*series).orderBy(F.desc("date"))
     tail = panel.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= hist_n)
+    exogenous = ("avg_freight_pct", "avg_installments", "avg_price")
     state = tail.groupBy(*series).agg(
         F.max("date").alias("last_date"),
         F.transform(F.array_sort(F.collect_list(F.struct("date", "daily_gmv"))), lambda s: s["daily_gmv"]).alias("hist"),
-        *[F.avg(F.when(F.col("_r") <= EXOGENOUS_TAIL_DAYS, F.col(c))).alias(c)
-          for c in ("avg_freight_pct", "avg_installments", "avg_price")])
-    state = state.withColumn("preds", F.array().cast("array<struct<date:date,daily_gmv_forecast:double>>"))
-    for i in range(1, horizon + 1):
-        date = F.date_add("last_date", i)
-        feats = {f"lag_{k}": F.element_at("hist", -k) for k in LAGS}
-        for k in ROLLS:
-            last = F.slice("hist", -k, k)
-            feats[f"roll_mean_{k}"] = _array_mean(last)
-            feats[f"roll_std_{k}"] = _array_std(last)
-        step = state.withColumns(feats).withColumns(fourier(date)).withColumn("_date", date)
-        scored = model.transform(step)
-        state = scored.select(
-            *series, "last_date", "avg_freight_pct", "avg_installments", "avg_price",
-            F.concat(F.slice("hist", 2, hist_n - 1), F.array(F.col("prediction"))).alias("hist"),
-            F.concat("preds", F.array(F.struct(F.col("_date").alias("date"),
-                                               F.col("prediction").alias("daily_gmv_forecast")))).alias("preds"))
-        if i % checkpoint_every == 0:
-            state = materialize(state.sparkSession, state, "fc-state")
-    out = state.select(*series, F.explode("preds").alias("p")).select(*series, "p.*")
+        *[F.avg(F.when(F.col("_r") <= EXOGENOUS_TAIL_DAYS, F.col(c))).alias(c) for c in exogenous])
+    state = state.where(F.size("hist") == hist_n)
+    days = list(fourier(F.lit("2000-01-01").cast("date")))
+
+    def calendar(i):
+        parts = fourier(F.date_add(F.col("last_date"), i))
+        return F.array(*[parts[c].cast("double") for c in days])
+    state = state.withColumn("calendar", F.transform(F.sequence(F.lit(1), F.lit(horizon)), calendar))
+    sent = spark.sparkContext.broadcast(predictor(spark, model))
+
+    def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = sent.value
+        for b in batches:
+            if not len(b):
+                continue
+            hist = np.stack(b["hist"].to_numpy()).astype(float)
+            cal = np.stack([np.stack(c) for c in b["calendar"]])            # series x days x parts
+            fixed = {c: b[c].to_numpy(float) for c in exogenous}
+            for i in range(horizon):
+                x = dict(fixed) | {c: cal[:, i, j] for j, c in enumerate(days)}
+                x |= {f"lag_{k}": hist[:, -k] for k in LAGS}
+                for k in ROLLS:
+                    x[f"roll_mean_{k}"] = hist[:, -k:].mean(axis=1)
+                    x[f"roll_std_{k}"] = hist[:, -k:].std(axis=1, ddof=1)
+                y = predict(x)
+                hist = np.concatenate((hist[:, 1:], y[:, None]), axis=1)
+                out = b[[*series, "last_date"]].copy()
+                out["step"], out["daily_gmv_forecast"] = np.int32(i + 1), y
+                yield out
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (state.schema[c] for c in series))
+    rolled = state.mapInPandas(roll, f"{kinds}last_date date, step int, daily_gmv_forecast double")
+    out = rolled.select(*series, F.date_add("last_date", F.col("step")).alias("date"), "daily_gmv_forecast")
     cal = fourier(F.col("date"))
     return out.withColumns({"is_black_friday": cal["is_black_friday"], "is_holiday_season": cal["is_holiday_season"]})
 
 
+POOLED_TREES = 100
+
+
+def dense_panel(fact: DataFrame, series: Sequence[str]) -> DataFrame:               # M20, M21
+    """Daily GMV of every series over the platform's whole calendar (days
+    without sales are 0) with the platform's exogenous means and calendar
+    parts, and ``scale``, the series' mean day."""
+    series = list(series)
+    sold = fact.where((F.col("order_status") == "delivered") & F.col("order_purchase_timestamp").isNotNull())
+    for c in series:
+        sold = sold.where(F.col(c).isNotNull())
+    day = F.to_date("order_purchase_timestamp")
+    own = sold.groupBy(*series, day.alias("date")).agg(
+        F.round(F.sum(F.col("payment_value").cast("decimal(18,6)")), 2).cast("double").alias("daily_gmv"))
+    platform = daily_panel(fact).select("date", "avg_freight_pct", "avg_installments", "avg_price")
+    spine = own.select(*series).distinct().crossJoin(F.broadcast(platform))           # one row per calendar day
+    rows = spine.join(own, [*series, "date"], "left").withColumn("daily_gmv", F.coalesce("daily_gmv", F.lit(0.0)))
+    mean = rows.groupBy(*series).agg(F.avg("daily_gmv").alias("scale"))
+    return rows.join(mean, series).withColumns(fourier(F.col("date")))
+
+
+def panel_forecast(panel: DataFrame, platform: DataFrame, series: Sequence[str], horizon: int = HORIZON_DAYS,
+                   seed: int = 42) -> DataFrame:                                      # M20, M21
+    """Forecast of every series by one model pooled over all of them: series
+    are divided by their mean day, one forest learns from all supervised rows,
+    all series roll forward together and are scaled back.  ``value`` is
+    reconciled top-down: each day the series are scaled so that they add up to
+    the platform's forecast (equal parts if all are 0); ``own`` is before."""
+    spark, series = panel.sparkSession, list(series)
+    scaled = panel.where(F.col("scale") > 0).withColumn("daily_gmv", F.col("daily_gmv") / F.col("scale"))
+    scaled = materialize(spark, scaled, "fc-pooled")
+    train = materialize(spark, supervised(scaled, series), "fc-pooled-train")
+    model = Pipeline(stages=[_assembler(FEATURE_COLS), RandomForestRegressor(
+        labelCol="daily_gmv", numTrees=POOLED_TREES, maxDepth=8, minInstancesPerNode=5, seed=seed)]).fit(train)
+    rolled = recursive_forecast(scaled, model, series, horizon).join(scaled.select(*series, "scale").distinct(), series)
+    own = materialize(spark, rolled.select(*series, "date", (F.col("daily_gmv_forecast") * F.col("scale")).alias("own")), "fc-pooled-own")
+    total = own.groupBy("date").agg(F.sum("own").alias("_sum"), F.count(F.lit(1)).alias("_n")) \
+               .join(platform.select("date", F.col("daily_gmv_forecast").alias("_platform")), "date")
+    part = F.when(F.col("_sum") > 0, F.col("own") / F.col("_sum")).otherwise(1.0 / F.col("_n"))
+    return own.join(F.broadcast(total), "date").select(*series, "date", F.round("own", 2).alias("own"),
+                                                       F.round(F.col("_platform") * part, 2).alias("value"))
+
+
 def history_tail(panel: DataFrame, n: int = HISTORY_TAIL_DAYS, series: Sequence[str] = ()) -> DataFrame:   # W7
     w = Window.partitionBy(*series).orderBy(F.desc("date"))
     return panel.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
@@ -272,16 +359,20 @@ def slice_shares(summary_df: DataFrame) -> DataFrame:
 
 def slice_series(shares: DataFrame, history: DataFrame, future: DataFrame | None = None,
                  category: str | None = None, state: str | None = None) -> DataFrame:   # M21, U1, F3
-    """One selection's history (and forecast) scaled by its revenue share:
-    series ∪ forecast tagged by type, times the selection's single share."""
-    from marketlens.functions.joins import attach_scalars
-    sel = shares.where((F.col("category") == (category or "ALL")) & (F.col("state") == (state or "ALL")))
+    """History (and forecast) of every slice, or of the slices of one category
+    and / or state: the platform's days, tagged by type, times the slice's
+    share.  The days (history tail and horizon) are bounded and broadcast."""
+    sel = shares
+    if category is not None:
+        sel = sel.where(F.col("category") == category)
+    if state is not None:
+        sel = sel.where(F.col("state") == state)
     series = history.select("date", F.col("daily_gmv").alias("base"), F.lit("Actual (History)").alias("type"))
     if future is not None:
         series = series.unionByName(future.select(
             "date", F.col("daily_gmv_forecast").alias("base"), F.lit("Forecast").alias("type")))
-    out = attach_scalars(series, sel.select("share").limit(1))
-    return out.select("date", "type", rounded(F.col("base") * F.col("share"), 2).alias("value"))
+    return sel.crossJoin(F.broadcast(series)).select(
+        "category", "state", "date", "type", rounded(F.col("base") * F.col("share"), 2).alias("value"))
 
 
 def slice_projection(shares: DataFrame, future: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:   # M21

@@ -119,9 +119,10 @@ def fc_slice_shares(spark, sf_dir):
 
 
 @query("fc_slice_history", "M21 U1 F3", over_fact("""
-SELECT date, 'Actual (History)' AS type, round(daily_gmv * (SELECT share FROM shares WHERE category = 'ALL' AND state = 'ALL'), 2) AS value
-FROM (SELECT date, daily_gmv FROM panel ORDER BY date DESC LIMIT 113)""", PANEL_CTE + "," + SHARES_CTE))
+SELECT category, state, date, 'Actual (History)' AS type, round(daily_gmv * share, 2) AS value
+FROM (SELECT date, daily_gmv FROM panel ORDER BY date DESC LIMIT 113), shares""", PANEL_CTE + "," + SHARES_CTE))
 def fc_slice_history(spark, sf_dir):
+    """Daily history of every (category, state) slice."""
     fact = enriched(spark, sf_dir)
     shares = fc.slice_shares(dd.summary(fact))
     return fc.slice_series(shares, fc.history_tail(fc.daily_panel(fact)))
@@ -131,13 +132,13 @@ def _models(spark, sf_dir):
     # the supervised matrix is small (one row per day): write it once so
     # every boosting iteration reads it instead of recomputing the panel
     def build():
-        split = materialize(spark, fc.holdout_split(fc.supervised(_panel(spark, sf_dir))), "fc-split")
+        split = materialize(spark, fc.holdout_split(fc.supervised(_panel(spark, sf_dir))).coalesce(1), "fc-split")
         evaluation, fitted = fc.evaluate_models(split)
         return split, (materialize(spark, evaluation, "fc-eval"), fitted)
     return memo(spark, sf_dir, "forecast-models", build)
 
 
-@query("fc_model_evaluation", "M17 M19 M22 M13")
+@query("fc_model_evaluation", "M17 M18 M19 M22 M13")
 def fc_model_evaluation(spark, sf_dir):
     _, (evaluation, _) = _models(spark, sf_dir)
     return evaluation
@@ -153,25 +154,44 @@ def ins_forecast_answers(spark, sf_dir):
         .select("qid", "question", "intent", "metric", "label", "value")
 
 
-def _future(spark, sf_dir):
-    """The best model by hold-out WAPE, refit on the full supervised matrix,
-    rolled forward 90 days."""
+def _forecasts(spark, sf_dir):
+    """Every candidate refit on the full supervised matrix and rolled forward
+    90 days, written once."""
     split, (evaluation, _) = _models(spark, sf_dir)
 
     def build():
-        best = fc.best_model_name(evaluation).first()["model"]
-        model = fc.model_candidates()[best].fit(split.drop("split"))
         panel = materialize(spark, _panel(spark, sf_dir), "fc-panel")
-        future = fc.recursive_forecast(panel, model).withColumn("model", F.lit(best))
-        return materialize(spark, future, "fc-future")
+        return materialize(spark, fc.model_forecasts(panel, split.drop("split"), evaluation), "fc-forecasts")
     return memo(spark, sf_dir, "forecast-90d", build)
 
 
+def _future(spark, sf_dir):
+    """The forecast of the best model by hold-out WAPE."""
+    return _forecasts(spark, sf_dir).where("is_best").drop("is_best", "WAPE_pct")
+
+
+@query("fc_model_forecasts", "M18 M20 M23")
+def fc_model_forecasts(spark, sf_dir):
+    """One row per date and model; the best by hold-out WAPE is marked."""
+    return _forecasts(spark, sf_dir)
+
+
 @query("fc_future_90d", "M20 M23 U2")
 def fc_future_90d(spark, sf_dir):
     return _future(spark, sf_dir)
 
 
+_PANEL_KEYS = ("product_category_name_english", "customer_state")
+
+
+@query("fc_panel_forecast", "M20 M21")
+def fc_panel_forecast(spark, sf_dir):
+    """Forecast of every (category, state) series by one pooled model, before
+    and after reconciliation to the platform's forecast."""
+    panel = fc.dense_panel(enriched(spark, sf_dir), _PANEL_KEYS)
+    return fc.panel_forecast(panel, _future(spark, sf_dir), _PANEL_KEYS)
+
+
 @query("fc_slice_projection", "M21")
 def fc_slice_projection(spark, sf_dir):
     """Projected total and daily mean of every (category, state) slice."""
@@ -180,7 +200,7 @@ def fc_slice_projection(spark, sf_dir):
 
 @query("fc_slice_outlook", "U1 M21 F3")
 def fc_slice_outlook(spark, sf_dir):
-    """History and forecast of the whole platform, tagged by type."""
+    """History and forecast of every (category, state) slice, tagged by type."""
     fact = enriched(spark, sf_dir)
     return fc.slice_series(fc.slice_shares(dd.summary(fact)), fc.history_tail(fc.daily_panel(fact)),
                            _future(spark, sf_dir))

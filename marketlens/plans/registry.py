@@ -31,9 +31,14 @@ def query(name: str, ids: str, sql: str | None = None):
     return deco
 
 
+def all_registered() -> dict[str, Query]:
+    """The queries registered so far (for modules that build on others)."""
+    return dict(_QUERIES)
+
+
 def all_queries() -> dict[str, Query]:
     # import for registration side effects
-    from marketlens.plans import (customer_queries, drilldown_queries, kpi_queries,  # noqa: F401
+    from marketlens.plans import (customer_queries, drilldown_queries, io_queries, kpi_queries,  # noqa: F401
                                   misc_queries, ml_queries, profile_queries,
                                   retrieval_queries, sentiment_queries)
     return dict(_QUERIES)

@@ -38,10 +38,37 @@ def parse_dates(df: DataFrame, cols=DATE_COLUMNS) -> DataFrame:          # S2
     return df.withColumns({c: lenient_timestamp(F.col(c)) for c in present})
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_raw_master_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The typed CSV rows with dates still as text; ``_corrupt_record`` holds
+    the line of a row that does not fit the schema (all columns are parsed,
+    whatever is selected later)."""
+    schema = T.StructType([*MASTER_SCHEMA.fields, T.StructField(CORRUPT, _S, True)])
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+                 .option("columnPruning", False).csv(path))
+
+
 def read_master_csv(spark: SparkSession, path: str) -> DataFrame:      # S1
-    raw = (spark.read.schema(MASTER_SCHEMA).option("header", True).option("multiLine", True)
-                .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return parse_dates(raw)
+    raw = read_raw_master_csv(spark, path)
+    return parse_dates(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
+
+
+def date_failures(raw: DataFrame, cols=DATE_COLUMNS) -> DataFrame:      # S2
+    """Per date column how many texts there are and how many are no date."""
+    counts = raw.agg(*[F.count(c).alias(f"{c}|filled") for c in cols],
+                     *[F.count(F.when(F.col(c).isNotNull() & lenient_timestamp(F.col(c)).isNull(), 1)).alias(f"{c}|failed") for c in cols])
+    each = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}|filled").alias("filled"), F.col(f"{c}|failed").alias("failed")) for c in cols]
+    return counts.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+
+
+def write_master_csv(rows: DataFrame, path: str) -> None:
+    """Rows (any of the master's columns, the rest empty) as a headed CSV."""
+    have = set(rows.columns)
+    cols = [(F.col(n).cast("string") if n in have else F.lit(None).cast("string")).alias(n) for n, _ in MASTER_COLUMNS]
+    rows.select(*cols).write.option("header", True).option("escape", '"').csv(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,9 +78,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_artifact(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None,
-                  date_cols=()) -> DataFrame | None:                     # S3
+                  date_cols=(), multi_line: bool = True) -> DataFrame | None:      # S3
     """JSON / CSV / parquet artefact with optional date parsing; a missing
-    path returns None (the caller degrades gracefully)."""
+    path returns None (the caller degrades gracefully).  ``multi_line``: a JSON
+    file is one document, else one a line."""
     if not _exists(spark, path):
         return None
     r = spark.read
@@ -62,17 +90,20 @@ def read_artifact(spark: SparkSession, path: str, fmt: str, schema: T.StructType
     if fmt == "csv":
         df = r.option("header", True).csv(path)
     elif fmt == "json":
-        df = r.option("multiLine", True).json(path)
+        df = r.option("multiLine", multi_line).json(path)
     else:
         df = r.parquet(path)
     return parse_dates(df, date_cols) if date_cols else df
 
 
-def read_text_dir(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:   # S4, S5
-    """One row per file: (source file name, whole text)."""
-    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"),
-                     F.col("value").alias("text"))
+def read_text_dir(spark: SparkSession, path: str, glob: str = "*.txt", folder_names: bool = False) -> DataFrame:   # S4, S5
+    """One row per file: (source name, whole text).  The source is the file's
+    name or, with ``folder_names``, that of the ``name=value`` folder it lies
+    in.  A single newline at the end of a file is not part of its text."""
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True, pathGlobFilter=glob)
+    name = r"=([^/=]+)/[^/]+$" if folder_names else r"([^/]+)$"
+    return df.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("source"),
+                     F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
 def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:      # S6, S8

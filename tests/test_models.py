@@ -3,6 +3,7 @@ regressor, unknown indicators, unseen-category encoding, SMOTE balance."""
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.operators import forecast as fc
@@ -33,10 +34,58 @@ def test_boosted_regressor_persist_and_reload(spark):
 def test_recursive_forecast_shape(spark):
     panel = _panel(spark)
     model = fc.random_forest().fit(fc.supervised(panel))
-    out = fc.recursive_forecast(panel, model, horizon=4, checkpoint_every=2).collect()
+    out = fc.recursive_forecast(panel, model, horizon=4).collect()
     assert len(out) == 4 and all(r.daily_gmv_forecast is not None for r in out)
 
 
+class _FewRounds(fc.Hybrid):
+    """The hybrid with a shorter boosting stage."""
+
+    def fit(self, df):
+        import unittest.mock as m
+        from pyspark.ml.regression import GBTRegressor
+        with m.patch.object(fc, "GBTRegressor", lambda **k: GBTRegressor(**k | {"maxIter": 4})):
+            return super().fit(df)
+
+
+def test_recursive_forecast_equals_the_models_step_by_step(spark):
+    """Two keyed series; every step as a transform of the panel so far."""
+    one = _panel(spark, 50).withColumn("key", F.lit("a"))
+    panel = one.unionByName(one.withColumn("key", F.lit("b")).withColumn("daily_gmv", F.col("daily_gmv") * 2 + 50)).cache()
+    short = one.where("date < '2020-01-20'").withColumn("key", F.lit("short"))
+    train = fc.supervised(panel, ["key"]).cache()
+    for model in (fc.boosted(max_iter=5).fit(train), _FewRounds().fit(train)):
+        got = {(r.key, r.date): r.daily_gmv_forecast
+               for r in fc.recursive_forecast(panel.unionByName(short), model, ["key"], horizon=3).collect()}
+        assert {k for k, _ in got} == {"a", "b"} and len(got) == 6
+        rows = {k: [r.daily_gmv for r in panel.where(F.col("key") == k).orderBy("date").collect()] for k in ("a", "b")}
+        last = panel.agg(F.max("date")).first()[0]
+        for step in range(1, 4):
+            x = []
+            for k, h in rows.items():
+                f = {f"lag_{n}": float(h[-n]) for n in fc.LAGS}
+                for n in fc.ROLLS:
+                    f[f"roll_mean_{n}"], f[f"roll_std_{n}"] = float(np.mean(h[-n:])), float(np.std(h[-n:], ddof=1))
+                x.append({"key": k, "avg_freight_pct": 1.0, "avg_installments": 1.0, "avg_price": 1.0, **f})
+            step_rows = spark.createDataFrame(x).withColumn("date", F.date_add(F.lit(last), step))
+            step_rows = step_rows.withColumns(fc.fourier(F.col("date")))
+            for r in model.transform(step_rows).collect():
+                assert got[r.key, r.date] == pytest.approx(r.prediction, rel=1e-9)
+                rows[r.key].append(r.prediction)
+
+
+def test_panel_forecasts_add_up_to_the_platform(spark):
+    one = _panel(spark, 45).withColumn("key", F.lit("a")).withColumn("scale", F.lit(1000.0))
+    panel = one.unionByName(one.withColumn("key", F.lit("b")).withColumn("daily_gmv", F.col("daily_gmv") * 3).withColumn("scale", F.lit(3000.0)))
+    platform = spark.createDataFrame([(45 + i, 5000.0 + i) for i in range(3)], "d int, daily_gmv_forecast double") \
+        .withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    out = fc.panel_forecast(panel, platform, ["key"], horizon=3)
+    sums = [r.v for r in out.groupBy("date").agg(F.sum("value").alias("v")).orderBy("date").collect()]
+    assert sums == pytest.approx([5000.0, 5001.0, 5002.0], abs=0.02)
+    ratio = out.groupBy("date").pivot("key").agg(F.first("value")).collect()
+    assert all(r.b == pytest.approx(3 * r.a, rel=0.2) for r in ratio)
+
+
 def test_unknown_indicators_and_unseen_codes(spark):
     df = spark.createDataFrame([("1.5", "a"), (None, "b"), ("x", "a")], "delay string, c string")
     out = sat.unknown_indicators(df, {"delay": 0.0}).collect()
