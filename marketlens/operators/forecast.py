@@ -8,8 +8,10 @@ order volume.
 """
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,37 +191,39 @@ def model_candidates(seed: int = 42) -> dict:
     return {"RandomForest": random_forest(seed), "Boosted": boosted(seed=seed), "Hybrid": Hybrid(seed)}
 
 
-def model_forecasts(panel: DataFrame, train: DataFrame, evaluation: DataFrame, candidates: dict | None = None,
-                    horizon: int = HORIZON_DAYS) -> DataFrame:                        # M23
-    """One row per (date, model): every candidate refit on all supervised rows
-    and rolled forward by itself, with its hold-out WAPE; ``is_best`` marks the
+def fit_all(candidates: dict, frames: dict[str, DataFrame]) -> dict[str, dict]:
+    """Every candidate fitted on every frame (name -> candidate -> model).  A
+    daily frame is small and boosting is a long chain of short jobs, so the
+    fits run side by side, each from a thread of its own."""
+    with ThreadPoolExecutor(max_workers=max(1, len(candidates) * len(frames))) as pool:
+        jobs = {(f, name): pool.submit(copy.deepcopy(c).fit if isinstance(c, Hybrid) else c.fit, df)
+                for f, df in frames.items() for name, c in candidates.items()}
+        return {f: {name: jobs[f, name].result() for name in candidates} for f in frames}
+
+
+def evaluate_models(split: DataFrame, fitted: dict) -> DataFrame:                    # M13, M22
+    """Hold-out metrics of the fitted models and of the lag-1 baseline."""
+    test = split.where(F.col("split") == "test")
+    out = metrics(naive_forecast(split)).withColumn("model", F.lit("NaiveLag1"))
+    for name, model in fitted.items():
+        out = out.unionByName(metrics(model.transform(test)).withColumn("model", F.lit(name)))
+    return out
+
+
+def model_forecasts(panel: DataFrame, fitted: dict, evaluation: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:   # M23
+    """One row per (date, model): every model (refit on all supervised rows)
+    rolled forward by itself, with its hold-out WAPE; ``is_best`` marks the
     model of least WAPE (ties to the first name)."""
     scores = evaluation.select("model", "WAPE_pct")
     best = best_model_name(evaluation).select(F.col("model").alias("_best"))
     out = None
-    for name, estimator in (candidates or model_candidates()).items():
-        rows = recursive_forecast(panel, estimator.fit(train), horizon=horizon).withColumn("model", F.lit(name))
+    for name, model in fitted.items():
+        rows = recursive_forecast(panel, model, horizon=horizon).withColumn("model", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out.join(F.broadcast(scores), "model").crossJoin(F.broadcast(best)) \
               .withColumn("is_best", F.col("model") == F.col("_best")).drop("_best")
 
 
-def evaluate_models(split: DataFrame, candidates: dict | None = None) -> tuple[DataFrame, dict]:   # M13, M22
-    candidates = candidates or model_candidates()
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
-    results, fitted = [], {}
-    for name, est in candidates.items():
-        model = est.fit(train)
-        fitted[name] = model
-        results.append(metrics(model.transform(test)).withColumn("model", F.lit(name)))
-    results.append(metrics(naive_forecast(split)).withColumn("model", F.lit("NaiveLag1")))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out, fitted
-
-
 def best_model_name(evaluation: DataFrame) -> DataFrame:                             # M23
     return evaluation.where(F.col("model") != "NaiveLag1").orderBy("WAPE_pct", "model").limit(1).select("model")
 

@@ -133,8 +133,9 @@ def _models(spark, sf_dir):
     # every boosting iteration reads it instead of recomputing the panel
     def build():
         split = materialize(spark, fc.holdout_split(fc.supervised(_panel(spark, sf_dir))).coalesce(1), "fc-split")
-        evaluation, fitted = fc.evaluate_models(split)
-        return split, (materialize(spark, evaluation, "fc-eval"), fitted)
+        fitted = fc.fit_all(fc.model_candidates(), {"train": split.where(F.col("split") == "train"), "all": split})
+        evaluation = materialize(spark, fc.evaluate_models(split, fitted["train"]), "fc-eval")
+        return split, (evaluation, fitted["all"])
     return memo(spark, sf_dir, "forecast-models", build)
 
 
@@ -157,11 +158,11 @@ def ins_forecast_answers(spark, sf_dir):
 def _forecasts(spark, sf_dir):
     """Every candidate refit on the full supervised matrix and rolled forward
     90 days, written once."""
-    split, (evaluation, _) = _models(spark, sf_dir)
+    _, (evaluation, fitted) = _models(spark, sf_dir)
 
     def build():
         panel = materialize(spark, _panel(spark, sf_dir), "fc-panel")
-        return materialize(spark, fc.model_forecasts(panel, split.drop("split"), evaluation), "fc-forecasts")
+        return materialize(spark, fc.model_forecasts(panel, fitted, evaluation), "fc-forecasts")
     return memo(spark, sf_dir, "forecast-90d", build)
 
 
