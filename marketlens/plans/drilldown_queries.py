@@ -60,12 +60,12 @@ SELECTION_SQL = """
   CAST(sum(total_reviews) AS BIGINT) AS total_reviews"""
 
 
-@query("drill_summary", "G8 S7", over_fact("SELECT * FROM summary", SUMMARY_CTE))
+@query("drill_summary", "G8", over_fact("SELECT * FROM summary", SUMMARY_CTE))
 def drill_summary(spark, sf_dir):
     return dd.summary(enriched(spark, sf_dir))
 
 
-@query("drill_monthly", "G9 S7", over_fact("SELECT * FROM monthly", MONTHLY_CTE))
+@query("drill_monthly", "G9", over_fact("SELECT * FROM monthly", MONTHLY_CTE))
 def drill_monthly(spark, sf_dir):
     return dd.monthly(enriched(spark, sf_dir))
 
@@ -134,7 +134,7 @@ def drill_exact_cube(spark, sf_dir):
     return dd.exact_cube(enriched(spark, sf_dir))
 
 
-@query("drill_sample_reviews", "W4 F7 S8", over_fact("""
+@query("drill_sample_reviews", "W4 F7", over_fact("""
 SELECT c.category || '___' || c.state AS key,
        coalesce(p.pos, []::VARCHAR[]) AS positive, coalesce(p.neg, []::VARCHAR[]) AS negative
 FROM (SELECT DISTINCT category, state FROM commented) c
