@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import text_or_empty
-from marketlens.llm.spans import in_order, replaced, with_spans, written
+from marketlens.llm.spans import between, blocks, in_order, let, replaced, with_spans, written
 
 CONTEXT = 40
 CONTEXT_GAIN = 0.35
@@ -104,18 +104,17 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
         df = with_spans(df, f"_{kind}", text, pattern, kind, place, test, keep)
     df = df.withColumn("base", in_order(*[f"_{k}" for k in BASE]))
 
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substr(t, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"),
-                                  F.least(s["start"], F.lit(CONTEXT)).cast("int")))
+    def scored(s: Column, cut: Column) -> Column:
+        before = F.lower(between(cut, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"]))
         near, base = F.lit(False), F.lit(0.0)
         for kind, (points, context) in KINDS.items():
             near = F.when(s["kind"] == kind, before.rlike(context)).otherwise(near)
             base = F.when(s["kind"] == kind, F.lit(points)).otherwise(base)
         return F.least(F.lit(1.0), base + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(0.0))
 
-    every = F.transform(in_order(*[f"_{k}" for k in rules]), lambda s: F.struct(
+    every = let(blocks(t), lambda cut: F.transform(in_order(*[f"_{k}" for k in rules]), lambda s: F.struct(
         s["start"].alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), s["stop"].alias("stop"),
-        s["found"].alias("found"), F.round(scored(s), 2).alias("score")))
+        s["found"].alias("found"), F.round(scored(s, cut), 2).alias("score"))))
     df = df.withColumn("_every", F.when(F.size("base") + F.size("_iban") + F.size("_national") > 0, every))
     df = df.withColumn("all_spans", F.coalesce(F.filter(
         "_every", lambda s: (s["place"] < len(BASE)) | (s["score"] >= THRESHOLD)),

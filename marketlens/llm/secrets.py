@@ -7,9 +7,10 @@ more characters), ``access`` (``AKIA`` and at least 16 more characters) and
 digits.
 
 The secret part of each candidate is hashed (texts never leave the scan).  For
-each hash the corpus is asked in how many repositories (documents) and how
-many owners (sources) it occurs.  A value of ``EXAMPLE_OWNERS`` or more owners
-is a widely copied example; a value of one owner is live-looking; the rest is
+each hash the corpus is asked in how many distinct repositories (document ids)
+and how many owners (sources) it occurs.  A value of ``EXAMPLE_OWNERS`` or more
+owners, or of ``EXAMPLE_REPOS`` or more repositories even of one owner, is a
+widely copied example; another value of one owner is live-looking; the rest is
 shared.  Base spans always stay; ``token`` spans are added only where they are
 live-looking.
 
@@ -19,8 +20,9 @@ of all rows share is one row for each task and owner before the shuffle) and
 joined back by hash, where the adaptive join splits hot hashes.
 
 Defined cases: null texts count as empty; the null source is an owner of its
-own; a value repeated within one row counts once for it; equal rows are
-separate repositories; an empty table gives no rows.
+own; a value repeated within one row counts once for it; rows of one id are
+one repository, and rows without an id are one together; an empty table gives
+no rows.
 """
 from __future__ import annotations
 
@@ -32,6 +34,7 @@ from marketlens.llm.spans import in_order, with_spans, written
 from marketlens.sources.store import materialize
 
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 20
 BASE = ("assign", "access", "hex")
 _WORDS = "(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = _WORDS + r"""["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -66,10 +69,13 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``hash, n_repos, n_owners`` over the whole corpus."""
-    each = candidates.select("source", F.explode(F.array_distinct(F.transform("marks", lambda m: m["hash"]))).alias("hash"))
-    return each.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("rows")) \
-               .groupBy("hash").agg(F.sum("rows").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    """``hash, n_repos, n_owners, class`` over the whole corpus."""
+    each = candidates.select("doc_id", "source", F.explode(F.array_distinct(F.transform("marks", lambda m: m["hash"]))).alias("hash"))
+    repos = each.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"))
+    owners = each.select("hash", "source").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
+    wide = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
+    return repos.join(owners, "hash").withColumn("class", F.when(wide, "example").when(
+        F.col("n_owners") == 1, "live").otherwise("shared"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -80,17 +86,16 @@ def find(docs: DataFrame) -> DataFrame:
     uses = rows.where(F.size("marks") > 0).select("doc_id", "body", F.explode(F.array_distinct(
         F.transform("marks", lambda m: m["hash"]))).alias("hash")).distinct()
     kinds = uses.join(known, "hash").groupBy("doc_id", "body").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("hash"), F.struct("n_repos", "n_owners").alias("freq")))).alias("freq"))
+        F.col("hash"), F.col("class")))).alias("classes"))
     kinds = kinds.withColumnsRenamed({"doc_id": "_id", "body": "_body"})
     seen = rows.join(kinds, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")), "left")
-    owners = lambda m: F.col("freq")[m["hash"]]["n_owners"]
+    kind_of = lambda m: F.col("classes")[m["hash"]]
     base = F.filter("marks", lambda m: m["place"] < len(BASE))
-    every = F.filter("marks", lambda m: (m["place"] < len(BASE)) | (owners(m) == 1))
+    every = F.filter("marks", lambda m: (m["place"] < len(BASE)) | (kind_of(m) == "live"))
     count = lambda kind: F.size(F.filter("marks", lambda m: m["kind"] == kind)).cast("long")
     return seen.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(written(base), 256).alias("base_sha256"), written(every).alias("spans"),
-        F.size(F.filter(every, lambda m: owners(m) == 1)).cast("long").alias("n_live"),
-        F.size(F.filter(every, lambda m: owners(m) >= EXAMPLE_OWNERS)).cast("long").alias("n_example"),
-        F.array_join(F.transform(every, lambda m: F.when(owners(m) == 1, "live").when(
-            owners(m) >= EXAMPLE_OWNERS, "example").otherwise("shared")), ",").alias("classes"))
+        F.size(F.filter(every, lambda m: kind_of(m) == "live")).cast("long").alias("n_live"),
+        F.size(F.filter(every, lambda m: kind_of(m) == "example")).cast("long").alias("n_example"),
+        F.array_join(F.transform(every, kind_of), ",").alias("classes"))

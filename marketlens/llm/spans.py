@@ -4,6 +4,10 @@ Offsets are in code points, ends exclusive.  ``split`` gives the pieces between
 the matches of a pattern and ``regexp_extract_all`` the matches themselves, so
 their running lengths are the offsets; both run only on texts that pass a
 cheap test first.
+
+Work grows with the text plus ``n log n`` in its ``n`` matches: running sums
+are taken by doubling distances, and what lies around a match is read from the
+text cut into blocks once, not from the start of the text each time.
 """
 from __future__ import annotations
 
@@ -11,6 +15,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:bigint,place:int,kind:string,stop:bigint,found:string>"
+BLOCK = 64
+
+
+def running(values: Column, join) -> Column:
+    """Running ``join`` (sum, maximum) of an array of numbers, the own element
+    included: element i takes in i-1, then i-2, i-4 and so on."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1)
+
+    def step(acc: Column, s: Column) -> Column:
+        back = F.pow(F.lit(2), s).cast("int")
+        return F.transform(acc, lambda x, i: F.coalesce(join(x, F.get(acc, i - back)), x))
+
+    return F.aggregate(steps, values, step)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` reads it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(text: Column) -> Column:
+    """The text cut into blocks of ``BLOCK`` code points."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def between(cut: Column, start: Column, stop: Column) -> Column:
+    """Code points ``start`` (from 0) to ``stop`` (exclusive) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(cut, first + 1, F.ceil(stop / BLOCK).cast("int") - first)
+    return F.when(stop > start, F.substr(F.array_join(some, ""), (start - first * BLOCK + 1).cast("int"),
+                                         (stop - start).cast("int"))).otherwise("")
 
 
 def with_spans(df: DataFrame, out: str, text: str, pattern: str, kind: str, place: int,
@@ -21,21 +56,13 @@ def with_spans(df: DataFrame, out: str, text: str, pattern: str, kind: str, plac
     possible = F.coalesce(test, F.lit(False))
     df = df.withColumn(f"{out}_m", F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(f"{out}_p", F.when(F.size(f"{out}_m") > 0, F.split(text, pattern, -1)).otherwise(none))
-    pairs = F.zip_with(f"{out}_p", f"{out}_m", lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("all"))
-
-    def add(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["p"])
-        stop = begin + F.length(pair["m"])
-        span = F.struct(begin.cast("bigint").alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"),
-                        stop.cast("bigint").alias("stop"), pair["m"].alias("found"))
-        good = keep(pair["m"]) if keep else F.lit(True)
-        # the piece after the last match has no match beside it
-        more = F.when(pair["m"].isNotNull() & good, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-        return F.struct(F.coalesce(stop, begin).cast("bigint").alias("at"), F.concat(acc["all"], more).alias("all"))
-
-    found = F.aggregate(pairs, start, add, lambda acc: acc["all"])
-    return df.withColumn(out, F.when(F.size(f"{out}_m") > 0, found)
+    # the piece after the last match has no match beside it
+    lengths = F.zip_with(f"{out}_p", f"{out}_m", lambda p, m: (F.length(p) + F.coalesce(F.length(m), F.lit(0))).cast("bigint"))
+    spans = F.zip_with(f"{out}_m", running(lengths, lambda a, b: a + b), lambda m, stop: F.struct(
+        (stop - F.length(m)).alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"),
+        stop.alias("stop"), m.alias("found")))
+    good = F.filter(spans, lambda s: s["found"].isNotNull() & (keep(s["found"]) if keep else F.lit(True)))
+    return df.withColumn(out, F.when(F.size(f"{out}_m") > 0, good.cast(f"array<{SPAN}>"))
                          .otherwise(F.array().cast(f"array<{SPAN}>"))).drop(f"{out}_m", f"{out}_p")
 
 
@@ -53,14 +80,15 @@ def written(spans: Column) -> Column:
 def replaced(text: str, spans: Column, with_) -> Column:
     """The text with every span replaced by ``with_(span)``; a span that begins
     inside an earlier one only extends it."""
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
+    def parts(cut: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["stop"]), F.greatest)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substr(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).cast("bigint").alias("at"),
-                        F.when(fresh, F.concat(acc["done"], between, with_(s))).otherwise(acc["done"]).alias("done"))
-
-    rest = F.aggregate(spans, first, step, lambda acc: F.concat(
-        acc["done"], F.substr(F.col(text), (acc["at"] + 1).cast("int"))))
-    return F.when(F.size(spans) > 0, rest).otherwise(F.col(text))
+        def each(ends: Column) -> Column:
+            before = F.transform(spans, lambda s, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint")), lambda at: F.when(
+                s["start"] >= at, F.concat(between(cut, at, s["start"]), with_(s))).otherwise("")))
+            last = F.element_at(ends, -1)
+            return F.concat(F.array_join(before, ""), between(cut, last, F.size(cut).cast("bigint") * BLOCK))
+
+        return let(reach, each)
+
+    return F.when(F.size(spans) > 0, let(blocks(F.col(text)), parts)).otherwise(F.col(text))

@@ -1,6 +1,7 @@
 """Corpus operators against plain Python versions on small tables."""
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -438,6 +439,37 @@ def test_personal_data_added_by_checksum_and_context(odd, none):
     assert pii.find(none).count() == 0
 
 
+def test_spans_of_a_text_with_very_many_matches(spark):
+    rng = np.random.default_rng(5)
+    words = ["mail", "é😀", "card 4111111111111111", "a@b.cd", "+49 30 1234567", "10.1.2.3", "host", "iban DE89370400440532013000", "x" * 70]
+    texts = ["", " ".join(rng.choice(words, 16_000)), " ".join(rng.choice(words, 700)), "a@b.cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    started = time.monotonic()
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert time.monotonic() - started < 60
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == _spans(t, PERSONAL)[1]
+        want, at = [], 0
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x)]
+        for (kind, start, stop), score in zip(spans, got[i].scores):
+            points, near = pii.KINDS[kind]
+            gain = 0.35 if re.search(near, t[max(0, start - 40):start].lower()) else 0.0
+            assert score == pytest.approx(min(1.0, points + gain))
+            if start >= at:
+                want += [t[at:start], f"[{kind.upper()}]"]
+            at = max(at, stop)
+        assert clean[i] == "".join(want) + t[at:]
+
+
+def test_secrets_copied_to_many_repositories_of_one_owner_are_examples(spark):
+    copied, own = "k " + "Zx9" * 12 + "Q", "k " + "Yy7" * 12 + "R"
+    rows = [(i, copied, "a") for i in range(secrets.EXAMPLE_REPOS)] + [(500, own, "a")] * 40 + [(None, own, "a")] * 2
+    got = secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.spans, r.n_live) for r in got if r.doc_id is not None and r.doc_id < 500} == {("", 0)}
+    assert {r.classes for r in got if r.doc_id is None or r.doc_id == 500} == {"live"}
+
+
 def test_secrets_by_ownership(spark, none):
     live, copied = "Zx9" * 12 + "Q", "password=hunter2hunter2"
     rows = [(1, f"k {live}", "a"), (2, copied, "a"), (3, copied, "b"), (4, copied + " " + copied, None), (5, copied, "c"),
