@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,13 @@ NUMERIC = ("price", "freight_value", "payment_value", "payment_installments", "r
 CATEGORICAL = ("order_status", "customer_state", "customer_city", "payment_type",
                "product_category_name_english", "sentiment", "delivery_status", "Customer_Type")
 
+QUARTILES = (0.25, 0.5, 0.75)
+# Sketch sizes (logarithm of the registers, items a level) and what is asked of them: more than four standard errors.
+DISTINCT_BITS = 14
+DISTINCT_ERROR = 0.04
+RANK_ITEMS = 800
+RANK_ERROR = 0.015
+
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -114,3 +121,31 @@ def freight_correlations(df: DataFrame, weight_col: str = "product_size") -> Dat
 def five_number(df: DataFrame, value: str, by: str) -> DataFrame:       # N12
     q = quantiles(df, value, {"min": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "max": 1.0}, [by])
     return q.select(by, *[rounded(F.col(c), 4).alias(c) for c in ("min", "q25", "median", "q75", "max")])
+
+
+def sketches(df: DataFrame, part: Column, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:   # N7, N8
+    """One row a ``part`` (say a month) of mergeable sketches: distinct values of
+    each of ``keys``, ranks of each of ``numbers``; nulls take no part.  Kept
+    beside the data, they answer for any set of parts without its rows."""
+    return df.groupBy(part.alias("part")).agg(
+        *[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(DISTINCT_BITS)).alias(f"distinct_{c}") for c in keys],
+        *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(RANK_ITEMS)).alias(f"ranks_{c}") for c in numbers])
+
+
+def sketched_distinct(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``column_name, approximate`` from merged sketches; 0 without rows."""
+    one = kept.agg(*[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"distinct_{c}")), F.lit(0)).alias(c) for c in keys])
+    return one.unpivot([], list(keys), "column_name", "approximate")
+
+
+def sketched_quantiles(kept: DataFrame, numbers: Sequence[str], at: Sequence[float] = QUARTILES) -> DataFrame:
+    """``column_name, rows, probability, approximate`` from merged sketches;
+    columns without a value have no row."""
+    long = kept.unpivot([], [f"ranks_{c}" for c in numbers], "column_name", "ranks")
+    merged = long.groupBy(F.substring("column_name", len("ranks_") + 1, 1 << 20).alias("column_name")) \
+        .agg(F.kll_merge_agg_double("ranks", F.lit(RANK_ITEMS)).alias("ranks"))
+    merged = merged.withColumn("rows", F.kll_sketch_get_n_double("ranks")).where(F.col("rows") > 0)
+    asked = F.array(*[F.lit(float(p)) for p in at])
+    each = merged.select("column_name", "rows", F.explode(F.arrays_zip(
+        asked.alias("probability"), F.kll_sketch_get_quantile_double("ranks", asked).alias("approximate"))).alias("q"))
+    return each.select("column_name", "rows", "q.probability", "q.approximate")

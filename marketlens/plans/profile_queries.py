@@ -19,9 +19,10 @@ RAW_COLS = ("order_id", "customer_unique_id", "customer_state", "customer_city",
 
 
 def raw_master(spark, sf_dir):
-    """Master with a review-message *presence* column (text itself is not
-    needed for null/distinct profiling: it is a function of review_key)."""
-    present = review_messages(spark, sf_dir).select("review_key", F.col("review_key").cast("string").alias("_msg"))
+    """Master with a review-message *presence* column: the key where there is a
+    text, null where the text is null (the text itself is not needed here)."""
+    present = review_messages(spark, sf_dir).select("review_key", F.when(
+        F.col("review_comment_message").isNotNull(), F.col("review_key").cast("string")).alias("_msg"))
     m = master(spark, sf_dir).join(present, "review_key", "left")
     return m.withColumnRenamed("_msg", "review_comment_message").drop("review_key")
 
@@ -121,3 +122,40 @@ def prof_delivery_days_by_score(spark, sf_dir):
 @query("prof_comment_length_by_sentiment", "N12", over_fact(_five_sql("comment_length", "sentiment")))
 def prof_comment_length_by_sentiment(spark, sf_dir):
     return pr.five_number(enriched(spark, sf_dir), "comment_length", "sentiment")
+
+
+_KEYS = ("order_id", "customer_unique_id", "product_id", "seller_id", "customer_city", "review_id")
+_NUMBERS = ("price", "freight_value", "payment_value", "product_size", "delivery_days")
+
+
+def _monthly_sketches(spark, sf_dir):
+    month = F.date_trunc("month", F.col("order_purchase_timestamp"))
+    return materialize(spark, pr.sketches(enriched(spark, sf_dir), month, _KEYS, _NUMBERS), "sketches")
+
+
+@query("prof_distinct_sketches", "N8", over_fact(_union([
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, TRUE AS within_bound FROM fact" for c in _KEYS])))
+def prof_distinct_sketches(spark, sf_dir):
+    """Distinct values from written monthly sketches, merged, beside the exact
+    count: is the estimate within ``DISTINCT_ERROR`` of it?"""
+    near = pr.sketched_distinct(_monthly_sketches(spark, sf_dir), _KEYS)
+    exact = pr.distinct_counts(enriched(spark, sf_dir), _KEYS).withColumnRenamed("distinct_values", "exact")
+    bound = F.abs(F.col("approximate") - F.col("exact")) <= F.col("exact") * pr.DISTINCT_ERROR
+    return exact.join(near, "column_name").select("column_name", "exact", bound.alias("within_bound"))
+
+
+@query("prof_quantile_sketches", "N7 N12", over_fact(_union([
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, count({c}) AS rows, TRUE AS within_bound FROM fact"
+    for c in _NUMBERS for p in pr.QUARTILES])))
+def prof_quantile_sketches(spark, sf_dir):
+    """Quartiles from written monthly sketches, merged: do the ranks of each
+    estimate, counted over all rows, hold its probability within ``RANK_ERROR``?"""
+    near = pr.sketched_quantiles(_monthly_sketches(spark, sf_dir), _NUMBERS)
+    values = pr.long_numeric(enriched(spark, sf_dir), _NUMBERS).where(F.col("value").isNotNull())
+    # a handful of estimates beside all rows; counted before the shuffle
+    ranks = values.join(F.broadcast(near), "column_name").groupBy("column_name", "probability", "rows").agg(
+        F.avg((F.col("value") < F.col("approximate")).cast("double")).alias("below"),
+        F.avg((F.col("value") <= F.col("approximate")).cast("double")).alias("upto"))
+    p = F.col("probability")
+    bound = (F.col("below") - pr.RANK_ERROR <= p) & (p <= F.col("upto") + pr.RANK_ERROR)
+    return ranks.select("column_name", "probability", "rows", bound.alias("within_bound"))

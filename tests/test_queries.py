@@ -1,7 +1,9 @@
 """End-to-end: entry smoke, registry consistency, file sources and sinks."""
+import math
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -54,11 +56,53 @@ def test_text_dir_loader_and_json_sink(spark):
     assert read_artifact(spark, out + "-missing", "json") is None
 
 
-def test_source_label_and_upsert(spark):
-    from marketlens.operators.retrieval import source_label, upsert
+def test_source_label(spark):
+    from marketlens.operators.retrieval import source_label
     lbl = spark.createDataFrame([("dir/sales_kpis.txt",)], "s string").select(source_label(F.col("s"))).first()[0]
     assert lbl == "Sales Kpis"
-    a = spark.createDataFrame([(1, "old"), (2, "keep")], "chunk_id long, text string")
-    b = spark.createDataFrame([(1, "new")], "chunk_id long, text string")
-    got = {r.chunk_id: r.text for r in upsert(spark, upsert(spark, None, a), b).collect()}
-    assert got == {1: "new", 2: "keep"}
+
+
+def test_upsert_rewrites_only_touched_partitions(spark):
+    from marketlens.sources.keyed import create, reopen
+    place = lambda: F.pmod(F.col("k"), F.lit(8))
+    schema = "k long, at int, text string"
+    empty = create(spark, "keyed-test", "k", place)
+    assert empty.read() is None and empty.upsert(spark.createDataFrame([], schema)) is empty
+    first = empty.upsert(spark.range(800).selectExpr("id AS k", "0 AS at", "'old' AS text"))
+    files = {p: first.read([p]).inputFiles() for p in range(8)}
+    # a key sent twice (the later counts), a new key of the same partition, and rows without a key
+    sent = [(11, 2, "newer"), (11, 1, "new"), (11, None, "older"), (803, 1, "more"), (None, 1, "x"), (None, 1, "x")]
+    second = first.upsert(spark.createDataFrame(sent, schema), order="at")
+    assert second.held == {-1: 2, **{p: 1 for p in range(8)}, 3: 2}
+    for p in set(range(8)) - {3}:
+        assert second.read([p]).inputFiles() == files[p]
+    assert not set(second.read([3]).inputFiles()) & set(files[3])
+    rows = second.read().collect()
+    assert len(rows) == 803 and len(first.read().collect()) == 800
+    by = {r.k: r.text for r in rows if r.k is not None}
+    assert by[11] == "newer" and by[803] == "more" and sum(t == "old" for t in by.values()) == 799
+    again = reopen(spark, second.root, "k", place, 2)
+    assert again.held == second.held
+    third = again.upsert(spark.createDataFrame([(11, 3, "last")], schema))
+    assert {r.k: r.text for r in third.read([3]).collect()}[11] == "last" and third.held[3] == 3
+
+
+def test_merged_sketches_are_near_the_exact_figures(spark):
+    from marketlens.operators import profile as pr
+    rows = spark.range(20_000).selectExpr("concat('m', id % 7) AS m", "id % 6000 AS k", "CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id AS STRING) END AS s",
+                                          "CASE WHEN id % 10 = 0 THEN NULL ELSE sqrt(id) END AS v", "CAST(3 AS DOUBLE) AS same")
+    kept = pr.sketches(rows, F.col("m"), ["k", "s"], ["v", "same"])
+    assert kept.count() == 7
+    exact = {"k": 6000, "s": 16_000}
+    for r in pr.sketched_distinct(kept, ["k", "s"]).collect():
+        assert abs(r.approximate - exact[r.column_name]) <= pr.DISTINCT_ERROR * exact[r.column_name]
+    values = np.sort([math.sqrt(i) for i in range(20_000) if i % 10])
+    for r in pr.sketched_quantiles(kept, ["v", "same"]).collect():
+        if r.column_name == "same":
+            assert r.approximate == 3.0 and r.rows == 20_000
+        else:
+            rank = np.searchsorted(values, r.approximate, "right") / len(values)
+            assert abs(rank - r.probability) <= pr.RANK_ERROR and r.rows == 18_000
+    none = pr.sketches(rows.where("1 = 0"), F.col("m"), ["k", "s"], ["v", "same"])
+    assert {r.approximate for r in pr.sketched_distinct(none, ["k", "s"]).collect()} == {0}
+    assert pr.sketched_quantiles(none, ["v", "same"]).count() == 0
