@@ -9,15 +9,16 @@ side-by-side scoring, seeded sample.
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import floor_days, fractional_hours
@@ -27,6 +28,7 @@ from marketlens.functions.ranking import ranked
 from marketlens.functions.vectors import top_k
 from marketlens.operators.classify import SEED, stratified_split
 from marketlens.operators.profile import mode_fill
+from marketlens.sources.store import materialize
 
 # Model features available in the order-line fact, in the modelled order
 # (the source's zip prefix, product name/description lengths, photo count
@@ -42,6 +44,8 @@ FEATURES = ("order_status", "customer_city", "customer_state", "order_item_id",
             "product_category_name_english", "delivery_days", "delivery_vs_estimated", "approval_hours")
 OUTLIER_COLS = ("price", "freight_value", "product_size", "payment_value")
 TARGET = "review_score"
+# The searched points of the single tree (Spark's trees have no least size of a split node).
+TREE_GRID = {"maxDepth": (5, 10, 15, 20), "minInstancesPerNode": (1, 2, 4), "impurity": ("gini", "entropy")}
 
 
 def model_frame(fact: DataFrame) -> DataFrame:                          # P4, P17, F4
@@ -221,22 +225,41 @@ def seeded_sample(scored: DataFrame, n: int = 10, seed: int = SEED) -> DataFrame
                                                  for p in preds])
 
 
-def random_search(estimator, grid: dict, train: DataFrame, draws: int = 15, folds: int = 3,
-                  seed: int = SEED, parallelism: int = 4):                # M12
-    """Seeded sample of ``draws`` points of the grid, k-fold CV on accuracy."""
-    keys = list(grid)
-    combos = list(itertools.product(*[grid[k] for k in keys]))
-    random.Random(seed).shuffle(combos)
-    maps = []
-    for combo in combos[:draws]:
-        b = ParamGridBuilder()
-        for k, v in zip(keys, combo):
-            b = b.addGrid(getattr(estimator, k), [v])
-        maps.extend(b.build())
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=seed,
-                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-                        parallelism=parallelism)
-    return cv.fit(_assembled(train))
+def draws_of(grid: dict[str, Sequence], draws: int, seed: int = SEED) -> list[dict]:
+    """``draws`` different points of the grid (all, if it has fewer), seeded."""
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return random.Random(seed).sample(points, min(draws, len(points)))
+
+
+def random_search(spark: SparkSession, name: str, estimator, grid: dict[str, Sequence], train: DataFrame, draws: int = 15,
+                  folds: int = 3, seed: int = SEED, parallelism: int = 4) -> tuple[DataFrame, dict]:     # M12
+    """Seeded draws from a grid, each fitted without one fold and scored on it.
+
+    A row's fold is a hash of its id, so it depends on nothing else.  The
+    assembled rows are written once; every fit is a Spark job over them, with
+    ``parallelism`` of them at a time.  Returns one row per (draw, fold) and
+    the point of the best mean accuracy (ties: the earliest draw).
+    """
+    data = materialize(spark, _assembled(train).select(
+        "features", "label", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(folds)).cast("int").alias("fold")), "search-rows")
+    points = draws_of(grid, draws, seed)
+
+    def fit(job):
+        draw, fold = job
+        point = {estimator.getParam(k): v for k, v in points[draw].items()}
+        model = estimator.copy(point).fit(data.where(F.col("fold") != fold))
+        scored = model.transform(data.where(F.col("fold") == fold)).agg(
+            F.count(F.lit(1)).alias("rows"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy")).first()
+        return name, draw, fold, json.dumps(points[draw], sort_keys=True), scored["rows"], scored["accuracy"]
+
+    jobs = [(d, f) for d in range(len(points)) for f in range(folds)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = list(pool.map(fit, jobs))
+    mean = [np.mean([r[5] for r in rows if r[1] == d and r[5] is not None] or [-1.0]) for d in range(len(points))]
+    best = points[int(np.argmax(mean))]
+    table = spark.createDataFrame([(*r, points[r[1]] == best) for r in rows],
+                                  "model string, draw int, fold int, point string, rows long, accuracy double, best boolean")
+    return table, best
 
 
 def prepare(fact: DataFrame):

@@ -2,6 +2,7 @@
 Model-based entries have no SQL oracle (rows-only check)."""
 from __future__ import annotations
 
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from marketlens.functions.money import money_avg_sql
@@ -340,6 +341,14 @@ def sat_smote_balance(spark, sf_dir):
     return bal.groupBy("review_score").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("sat_tree_search", "M10 M12")
+def sat_tree_search(spark, sf_dir):
+    """Search of the single tree: accuracy of 15 drawn points on 3 folds of the balanced rows."""
+    balanced, _ = _satisfaction_data(spark, sf_dir)
+    return memo(spark, sf_dir, "tree-search", lambda: sat.random_search(
+        spark, "DecisionTree", DecisionTreeClassifier(seed=sat.SEED), sat.TREE_GRID, balanced))[0]
+
+
 @query("sat_model_comparison", "M9 M10 M11 M13")
 def sat_model_comparison(spark, sf_dir):
     _, test, fitted = _satisfaction(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Model operators on tiny inputs: persistence, random search, boosted
 regressor, unknown indicators, unseen-category encoding, SMOTE balance."""
+import json
 import tempfile
 
 import numpy as np
@@ -104,15 +105,30 @@ def test_smote_balances_classes(spark):
     assert bal == {5: 40, 1: 40, 3: 40}
 
 
-def test_random_search_runs(spark):
+def test_random_search_scores_each_draw_on_the_fold_it_did_not_see(spark):
     from pyspark.ml.classification import DecisionTreeClassifier
     rng = np.random.default_rng(5)
     cols = sat.feature_columns()
-    rows = [(i, int(rng.integers(1, 6)), *rng.normal(size=len(cols)).tolist()) for i in range(80)]
+    x = rng.normal(size=(240, len(cols)))
+    rows = [(i, int(1 + (v[0] > 0) + (v[1] > 0)), *map(float, v)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, ["row_id", "review_score", *cols])
-    cv = sat.random_search(DecisionTreeClassifier(), {"maxDepth": [2, 3, 4], "impurity": ["gini", "entropy"]},
-                           df, draws=2, folds=2)
-    assert len(cv.avgMetrics) == 2
+    grid = {"maxDepth": (1, 3, 5), "impurity": ("gini", "entropy")}
+    points = sat.draws_of(grid, 4)
+    assert points == sat.draws_of(grid, 4) and len({tuple(p.items()) for p in points}) == 4
+    assert len(sat.draws_of(grid, 99)) == 6
+    table, best = sat.random_search(spark, "tree", DecisionTreeClassifier(seed=1), grid, df, draws=4, folds=3)
+    got = {(r.draw, r.fold): r for r in table.collect()}
+    assert len(got) == 12 and sum(r.rows for r in got.values()) == 4 * 240
+    fold = F.pmod(F.xxhash64("row_id", F.lit(sat.SEED)), F.lit(3))
+    data = sat._assembled(df).withColumn("fold", fold)
+    for draw, part in ((0, 0), (3, 2)):
+        model = DecisionTreeClassifier(seed=1, **points[draw]).fit(data.where(F.col("fold") != part))
+        held = model.transform(data.where(F.col("fold") == part))
+        want = held.where("label = prediction").count() / held.count()
+        assert got[draw, part].accuracy == pytest.approx(want) and json.loads(got[draw, part].point) == points[draw]
+    means = [np.mean([got[d, f].accuracy for f in range(3)]) for d in range(4)]
+    assert best == points[int(np.argmax(means))]
+    assert {r.draw for r in got.values() if r.best} == {int(np.argmax(means))}
 
 
 def test_power_iteration_spans_the_leading_singular_vectors(spark):
