@@ -30,25 +30,26 @@ from marketlens.operators.classify import SEED, stratified_split
 from marketlens.operators.profile import mode_fill
 from marketlens.sources.store import materialize
 
-# Model features available in the order-line fact, in the modelled order
-# (the source's zip prefix, product name/description lengths, photo count
-# and product dimensions have no counterpart; product_size stands in for
-# the product geometry).
-CATEGORICAL = ("order_status", "customer_city", "customer_state", "payment_type",
-               "product_category_name_english")
-NUMERIC = ("order_item_id", "price", "freight_value", "product_size", "payment_sequential",
-           "payment_installments", "payment_value", "delivery_days", "delivery_vs_estimated",
-           "approval_hours")
-FEATURES = ("order_status", "customer_city", "customer_state", "order_item_id", "price", "freight_value",
-            "product_size", "payment_sequential", "payment_type", "payment_installments", "payment_value",
+# The 23 model features in the modelled order (spelling as in the
+# source's columns), and the nine columns of the outlier removal in its order.
+FEATURES = ("order_status", "customer_zip_code_prefix", "customer_city", "customer_state", "order_item_id", "price",
+            "freight_value", "product_category_name", "product_name_lenght", "product_description_lenght",
+            "product_photos_qty", "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm",
+            "payment_sequential", "payment_type", "payment_installments", "payment_value",
             "product_category_name_english", "delivery_days", "delivery_vs_estimated", "approval_hours")
-OUTLIER_COLS = ("price", "freight_value", "product_size", "payment_value")
+CATEGORICAL = ("order_status", "customer_city", "customer_state", "product_category_name", "payment_type",
+               "product_category_name_english")
+NUMERIC = tuple(c for c in FEATURES if c not in CATEGORICAL)
+OUTLIER_COLS = ("price", "freight_value", "product_weight_g", "product_length_cm", "product_height_cm",
+                "product_width_cm", "payment_value", "product_name_lenght", "product_description_lenght")
 TARGET = "review_score"
 # The searched points of the single tree (Spark's trees have no least size of a split node).
 TREE_GRID = {"maxDepth": (5, 10, 15, 20), "minInstancesPerNode": (1, 2, 4), "impurity": ("gini", "entropy")}
 
 
 def model_frame(fact: DataFrame) -> DataFrame:                          # P4, P17, F4
+    """Reviewed order lines (with the columns of ``with_listing``) as the
+    modelled features, the score and a row id."""
     ts = F.col("order_purchase_timestamp")
     df = fact.withColumns({
         "delivery_vs_estimated": floor_days(F.col("order_delivered_customer_date"),

@@ -207,6 +207,8 @@ def fc_slice_outlook(spark, sf_dir):
     return fc.slice_series(fc.slice_shares(dd.summary(fact)), fc.history_tail(fc.daily_panel(fact)),
                            _future(spark, sf_dir))
 
+from marketlens.sources import master as ms  # noqa: E402
+from marketlens.sources.master import listing_attributes, with_listing  # noqa: E402
 from marketlens.operators import classify as cl  # noqa: E402
 from marketlens.operators import satisfaction as sat  # noqa: E402
 from marketlens.operators import sentiment as se  # noqa: E402
@@ -320,9 +322,14 @@ def sent_keyword_probabilities(spark, sf_dir):
     return _keyword_scored(spark, sf_dir).groupBy("pred", "p_negative", "p_neutral", "p_positive").agg(F.count(F.lit(1)).alias("reviews"))
 
 
+def _listed(spark, sf_dir):
+    """The order lines with the catalogue columns of their products."""
+    return with_listing(enriched(spark, sf_dir), listing_attributes(spark, sf_dir))
+
+
 def _satisfaction_data(spark, sf_dir):
     def build():
-        train, test, _ = sat.prepare(enriched(spark, sf_dir))
+        train, test, _ = sat.prepare(_listed(spark, sf_dir))
         train = materialize(spark, train, "sat-train")
         test = materialize(spark, test, "sat-test")
         return materialize(spark, sat.smote(train), "sat-smote"), test
@@ -335,7 +342,7 @@ def _satisfaction(spark, sf_dir):
     return balanced, test, fitted
 
 
-@query("sat_smote_balance", "M8 F6 M6 M7 M3 N4 P4")
+@query("sat_smote_balance", "M8 M3")
 def sat_smote_balance(spark, sf_dir):
     bal, _ = _satisfaction_data(spark, sf_dir)
     return bal.groupBy("review_score").agg(F.count(F.lit(1)).alias("rows"))
@@ -374,69 +381,90 @@ def sat_sample_scores(spark, sf_dir):
     return sat.seeded_sample(sat.side_by_side(fitted, few))
 
 
-_FILLED_CTE = """
-mf AS (SELECT review_score, price, freight_value, payment_value, CAST(product_size AS DOUBLE) AS product_size,
-              (epoch_us(order_approved_at) - epoch_us(order_purchase_timestamp)) / 3600000000.0 AS approval_hours
-       FROM fact WHERE review_score IS NOT NULL)"""
-_STEPS = ("price", "freight_value", "product_size", "payment_value")
-for _i, _c in enumerate(_STEPS):       # each column's bounds come from the rows that the earlier ones left
+_LISTED_CTE = f"""
+listed AS (SELECT f.*, CAST(customer_unique_id % {ms.ZIP_PREFIXES} AS INTEGER) AS customer_zip_code_prefix,
+                  CASE WHEN p_partkey % {ms.NULL_LOCAL_CATEGORY_EVERY} <> 0 THEN p_brand END AS product_category_name,
+                  length(p_name) AS product_name_lenght,
+                  CASE WHEN p_partkey % {ms.LONG_DESCRIPTION_EVERY} = 0 THEN {ms.LONG_DESCRIPTION}
+                       WHEN p_partkey % {ms.NULL_DESCRIPTION_EVERY} <> 0 THEN 200 + p_partkey % 700 END AS product_description_lenght,
+                  1 + p_partkey % 5 AS product_photos_qty, p_size * 100 AS product_weight_g, p_size AS product_length_cm,
+                  p_size AS product_height_cm, p_size AS product_width_cm,
+                  floor((epoch_us(order_estimated_delivery_date) - epoch_us(order_delivered_customer_date)) / 86400000000.0) AS delivery_vs_estimated,
+                  (epoch_us(order_approved_at) - epoch_us(order_purchase_timestamp)) / 3600000000.0 AS approval_hours
+           FROM fact f LEFT JOIN part ON p_partkey = product_id),
+reviewed AS (SELECT * FROM listed WHERE review_score IS NOT NULL),
+mf AS (SELECT review_score, """ + ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in sat.NUMERIC) + """,
+              """ + ", ".join(f"coalesce({c}, (SELECT {c} FROM reviewed WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS {c}"
+                              for c in sat.CATEGORICAL) + """
+       FROM reviewed)"""
+_FILLED_CTE = _LISTED_CTE
+for _i, _c in enumerate(sat.OUTLIER_COLS):      # each column's bounds come from the rows that the earlier ones left
     _from = "mf" if _i == 0 else f"o{_i - 1}"
     _FILLED_CTE += f""",
-o{_i} AS (SELECT t.* FROM {_from} t, (SELECT quantile_cont({_c}, 0.25) AS q1, quantile_cont({_c}, 0.75) AS q3 FROM {_from})
+o{_i} AS MATERIALIZED (SELECT t.* FROM {_from} t, (SELECT quantile_cont({_c}, 0.25) AS q1, quantile_cont({_c}, 0.75) AS q3 FROM {_from})
          WHERE {_c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
-_FILLED_SQL = over_fact("""
-SELECT a.review_score, a.rows, a.approval_hours, b.kept_rows
-FROM (SELECT review_score, count(*) AS rows, round(sum(approval_hours), 2) AS approval_hours FROM mf GROUP BY 1) a
-LEFT JOIN (SELECT review_score, count(*) AS kept_rows FROM o3 GROUP BY 1) b USING (review_score)""", _FILLED_CTE)
+_FILLED_SUMS = ("approval_hours", "delivery_days", "delivery_vs_estimated", "product_description_lenght", "product_name_lenght")
+_FILLED_SQL = over_fact(f"""
+SELECT a.*, b.kept_rows
+FROM (SELECT review_score, count(*) AS rows, {", ".join(f"round(sum({c}), 2) AS {c}" for c in _FILLED_SUMS)} FROM mf GROUP BY 1) a
+LEFT JOIN (SELECT review_score, count(*) AS kept_rows FROM o{len(sat.OUTLIER_COLS) - 1} GROUP BY 1) b USING (review_score)""", _FILLED_CTE)
+
 
+def _filled(spark, sf_dir):
+    return memo(spark, sf_dir, "satisfaction-filled", lambda: materialize(
+        spark, sat.fill(sat.model_frame(_listed(spark, sf_dir))), "sat-filled"))
 
-@query("sat_filled_rows", "N1 N4 P4 F6", _FILLED_SQL)
+
+@query("sat_filled_rows", "N1 P4 F6", _FILLED_SQL)
 def sat_filled_rows(spark, sf_dir):
-    """Rows of the model frame before and after fills and outlier removal, by
-    score."""
-    frame = sat.fill(sat.model_frame(enriched(spark, sf_dir)))
-    frame = materialize(spark, frame, "sat-filled")
+    """By score: rows of the filled model frame, sums of filled features, and
+    the rows that the outlier removal over its nine columns leaves."""
+    frame = _filled(spark, sf_dir)
     left = sat.remove_outliers(frame).groupBy("review_score").agg(F.count(F.lit(1)).alias("kept_rows"))
     return frame.groupBy("review_score").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.sum("approval_hours"), 2).alias("approval_hours")) \
+        F.count(F.lit(1)).alias("rows"), *[F.round(F.sum(c), 2).alias(c) for c in _FILLED_SUMS]) \
         .join(left, "review_score", "left")
 
 
+@query("sat_mode_filled", "N4", over_fact(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS rows FROM mf GROUP BY 2" for c in sat.CATEGORICAL), _LISTED_CTE))
+def sat_mode_filled(spark, sf_dir):
+    """Values of the categorical features after the mode fill, with their rows."""
+    frame = _filled(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in sat.CATEGORICAL])
+    return frame.select(F.explode(each).alias("e")).groupBy("e.column_name", "e.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _codes_sql() -> str:
     """Every value of each categorical column over all order lines; codes are
     places among the values of the reviewed lines, 0 for any other value."""
     return over_fact(" UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, value, coalesce(code, 0) AS code, rows
-FROM (SELECT {c} AS value, count(*) AS rows FROM fact GROUP BY 1)
+FROM (SELECT {c} AS value, count(*) AS rows FROM listed GROUP BY 1)
 LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
-           FROM (SELECT DISTINCT {c} AS v FROM fact WHERE review_score IS NOT NULL AND {c} IS NOT NULL)) ON v = value"""
-                                        for c in sat.CATEGORICAL))
+           FROM (SELECT DISTINCT {c} AS v FROM reviewed WHERE {c} IS NOT NULL)) ON v = value"""
+                                        for c in sat.CATEGORICAL), _LISTED_CTE)
 
 
 @query("sat_category_codes", "M6 J5", _codes_sql())
 def sat_category_codes(spark, sf_dir):
     """Codes learned from the reviewed order lines, looked up for all lines."""
-    fact = enriched(spark, sf_dir)
-    _, idx = sat.encode(sat.fill(sat.model_frame(fact)))
-    coded = sat.encode_with(idx, fact.select(*sat.CATEGORICAL))
+    _, idx = sat.encode(_filled(spark, sf_dir))
+    coded = sat.encode_with(idx, _listed(spark, sf_dir).select(*sat.CATEGORICAL))
     each = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col(f"{c}_code").cast("int").alias("code"))
             for c in sat.CATEGORICAL]
     return coded.select(F.explode(F.array(*each)).alias("e")).groupBy("e.column_name", "e.value", "e.code") \
                 .agg(F.count(F.lit(1)).alias("rows"))
 
 
-_SCALED = ("price", "freight_value", "payment_value", "product_size")
-
-
-@query("sat_scaled_means", "M7", over_fact("SELECT CAST(review_score AS INTEGER) AS review_score, " + ", ".join(
-    f"round(avg(({c} - m_{c}) / s_{c}), 4) + 0.0 AS {c}" for c in _SCALED) + """
-FROM fact, (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED) + """
-            FROM fact WHERE review_score IS NOT NULL)
-WHERE review_score IS NOT NULL GROUP BY 1"""))
+@query("sat_scaled_means", "M7 M15", over_fact("SELECT CAST(review_score AS INTEGER) AS review_score, " + ", ".join(
+    f"round(coalesce(avg(({c} - m_{c}) / nullif(s_{c}, 0)), 0), 4) + 0.0 AS {c}" for c in sat.NUMERIC) + """
+FROM mf, (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in sat.NUMERIC) + """ FROM mf)
+GROUP BY review_score""", _LISTED_CTE))
 def sat_scaled_means(spark, sf_dir):
-    """Mean of the standardised features by score, all reviewed lines."""
-    scaled, _ = sat.scale(sat.encode(sat.fill(sat.model_frame(enriched(spark, sf_dir))))[0])
-    return scaled.groupBy("review_score").agg(*[(F.round(F.avg(c), 4) + 0.0).alias(c) for c in _SCALED])
+    """Mean of every standardised numeric feature by score, all reviewed lines."""
+    scaled, _ = sat.scale(sat.encode(_filled(spark, sf_dir))[0])
+    return scaled.groupBy("review_score").agg(*[(F.round(F.avg(c), 4) + 0.0).alias(c) for c in sat.NUMERIC])
 
 
 _UNKNOWN = {"delivery_delay": 0.0, "review_score": 3.0}

@@ -31,6 +31,11 @@ NULL_FREIGHT_EVERY = 89         # l_orderkey % 89 = 0 -> freight missing
 NULL_PAYMENT_EVERY = 211        # (l_orderkey + l_partkey) % 211 = 0 -> payment missing
 NULL_SCORE_EVERY = 41           # l_orderkey % 41 = 0 -> review score missing
 NULL_CATEGORY_BRAND = "Brand#1"
+NULL_LOCAL_CATEGORY_EVERY = 43  # p_partkey % 43 = 0 -> category of the seller's language missing
+NULL_DESCRIPTION_EVERY = 61     # p_partkey % 61 = 0 -> description length missing
+LONG_DESCRIPTION_EVERY = 53     # p_partkey % 53 = 0 -> description of LONG_DESCRIPTION characters
+LONG_DESCRIPTION = 4000
+ZIP_PREFIXES = 100_000
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,3 +106,26 @@ def review_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``review_key -> review_comment_message`` over the whole text table."""
     return load_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_key"), F.col("text").alias("review_comment_message"))
+
+
+def listing_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in of the catalogue columns that the order lines lack: one row a
+    product, sizes as in ``products.part_dimensions`` (a cube of side
+    ``p_size`` that weighs ``p_size`` x 100 g)."""
+    pk, size = F.col("p_partkey"), F.col("p_size")
+    return load_table(spark, sf_dir, "part").select(
+        pk.alias("product_id"),
+        F.when(pk % NULL_LOCAL_CATEGORY_EVERY != 0, F.col("p_brand")).alias("product_category_name"),
+        F.length("p_name").alias("product_name_lenght"),
+        F.when(pk % LONG_DESCRIPTION_EVERY == 0, LONG_DESCRIPTION).when(pk % NULL_DESCRIPTION_EVERY != 0, 200 + pk % 700)
+         .cast("int").alias("product_description_lenght"),
+        (1 + pk % 5).cast("int").alias("product_photos_qty"),
+        (size * 100).alias("product_weight_g"), size.alias("product_length_cm"), size.alias("product_height_cm"),
+        size.alias("product_width_cm"))
+
+
+def with_listing(fact: DataFrame, listings: DataFrame) -> DataFrame:
+    """Order lines with the columns of their product and the zip prefix of
+    their customer."""
+    return fact.join(listings, "product_id", "left") \
+               .withColumn("customer_zip_code_prefix", (F.col("customer_unique_id") % ZIP_PREFIXES).cast("int"))
