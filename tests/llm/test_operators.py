@@ -96,6 +96,56 @@ def test_nearest_neighbours_recall(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_nearest_neighbours_visit_a_third_of_the_rows_and_find_nine_tenths(spark):
+    """Against the cells visited by a plain version, and against all rows."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    rows = sorted((r.id, r.vec) for r in table.collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    asked = np.flatnonzero(ids % 50 == 0)
+    kept = F.col("id") % 50 == 0
+    got = defaultdict(list)
+    for r in polytope.nearest(table.where(kept), table, block_rows=300).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(x) <= polytope.SAMPLE_ROWS
+    model = polytope.fit(np.unique(x, axis=0), polytope.TABLES, 17)
+    seen, compared = np.zeros((len(asked), len(x)), bool), 0
+    for t, (cells, weights) in enumerate(model):
+        scores = polytope._rotated(x, t, 17)
+        own = np.argsort(-scores, axis=1, kind="stable")
+        for n, q in enumerate(asked):
+            probed = set(own[q, :polytope.PROBES])
+            cosine = lambda cell: sum(w * scores[q, a] for w, a in zip(weights, cell))  # noqa: B023, E731
+            known = sorted((cosine(c) for c in cells if c[0] in probed), reverse=True)
+            least = known[max(polytope.LEAST_CELLS, int(np.ceil(polytope.SHARE / polytope.TABLES * len(cells)))) - 1]
+            visited = np.array([own[i, 0] in probed and cosine(own[i, :3]) >= least - 1e-9 for i in range(len(x))])
+            seen[n] |= visited
+            compared += visited.sum()
+    distance = np.sqrt(((x[asked][:, None] - x[None]) ** 2).sum(axis=2))
+    distance[np.arange(len(asked)), asked] = np.inf
+    hits = 0
+    for n, q in enumerate(asked):
+        plain = sorted((distance[n, i], ids[i]) for i in np.flatnonzero(seen[n]) if i != q)[:10]
+        assert got[ids[q]] == [i for _, i in plain]
+        hits += len(set(got[ids[q]]) & set(ids[np.argsort(distance[n], kind="stable")[:10]]))
+    assert compared <= len(asked) * len(x) / 3 and hits >= 0.9 * 10 * len(asked)
+
+
+def test_nearest_neighbours_among_many_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[:150] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    some = df.where("id % 40 = 0")
+    got = defaultdict(list)
+    for r in polytope.nearest(some, df, k=10, block_rows=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[0] == [(i, 0.0) for i in range(1, 11)] and got[40][:2] == [(0, 0.0), (1, 0.0)]
+    want = _brute_neighbours(rows, [r for r in rows if r[0] % 40 == 0], 10)
+    hits = sum(len({i for i, _ in got[q]} & set(w)) for q, w in want.items())
+    assert all(len(v) == 10 for v in got.values()) and hits >= 0.8 * 100
+
+
 def test_nearest_neighbours_of_odd_and_few_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (2, None), (3, [1.0, None, 0.0]), (4, [nan, 1.0, 0.0]),
