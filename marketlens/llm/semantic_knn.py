@@ -2,9 +2,12 @@
 
 Terms are trigrams of byte classes (lower and upper case letters, digits,
 spaces, line ends, every ASCII sign for itself, and the halves of accented
-letters) plus "the same word again".  A document's vector is its tf-idf over
-the terms projected on the leading singular vectors of the labelled sample,
-scaled to unit length.  The labelled vectors (at most ``SAMPLE_DOCS`` rows of
+letters), words, and "the same word again".  Words are runs of letters, digits
+and bytes above ASCII, in lower case, hashed to ``WORD_SLOTS`` slots; words of
+``LONG_WORD`` bytes or more share one slot.  The ``TERMS`` class terms and the
+``WORD_TERMS`` words that most labelled texts hold are kept.  A document's
+vector is its tf-idf over the terms projected on the leading singular vectors
+of the labelled sample, scaled to unit length.  The labelled vectors (at most ``SAMPLE_DOCS`` rows of
 ``RANK`` numbers) are broadcast; the cosines of every document with all of
 them are computed in blocks, exactly, and the ``NEIGHBOURS`` nearest vote with
 weights growing with their similarity.  ``score`` is the weighted share of
@@ -33,6 +36,10 @@ from marketlens.llm.common import id_crc, lean_map, sample_ids, sample_rows, sum
 
 SAMPLE_DOCS = 4000
 TERMS = 1024
+WORD_TERMS = 1024
+WORD_SLOTS = 1 << 16
+LONG_WORD = 64
+WORD_WEIGHT = 0.3
 RANK = 24
 NEIGHBOURS = 25
 SHARPNESS = 20.0
@@ -68,7 +75,45 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 CLASSES = int(CLASS.max()) + 1
 AGAIN = CLASSES ** 3                # the term "the same word again"
+WORD = AGAIN + 1                    # the first slot of the words
+CODES = WORD + WORD_SLOTS + 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (from ``start``) of the last bytes of the words that end in the
+    window, and the words' terms."""
+    lead = max(int(offsets[0]), start - LONG_WORD)
+    raw = data[lead:stop]
+    heads = offsets[np.searchsorted(offsets, lead):np.searchsorted(offsets, stop, "right")] - lead
+    ended = bool(len(heads)) and int(heads[-1]) == len(raw)     # a text ends with the window
+    heads = heads[heads < len(raw)]
+    word = _IN_WORD[raw]
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[heads] = True
+    begins[-1] = ended or not _IN_WORD[data[stop]]
+    at = np.flatnonzero(word)
+    first = begins[at] | (at == 0) | ~word[at - 1]
+    last = begins[at + 1] | ~np.append(word, True)[at + 1]      # a word that goes on past the window has begins[-1] unset
+    if stop < len(data) and len(at) and at[-1] == len(raw) - 1:
+        last[-1] = begins[-1]
+    if not first.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads_at = np.flatnonzero(first)
+    size = np.diff(np.append(heads_at, len(at)))
+    place = np.arange(len(at)) - np.repeat(heads_at, size)
+    mixed = (_LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * ((place.astype(np.uint64) + np.uint64(1)) * _STEP)
+    mixed ^= mixed >> np.uint64(31)
+    h = np.add.reduceat(mixed * _STEP, heads_at)
+    term = WORD + ((h ^ (h >> np.uint64(29))) * _STEP >> np.uint64(40)).astype(np.int64) % WORD_SLOTS
+    term[size >= LONG_WORD] = WORD + WORD_SLOTS
+    tail = heads_at + size - 1
+    end = at[tail] + lead - start
+    done = last[tail] & (end >= 0)
+    return end[done], term[done]
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +168,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             raw = data[lo:hi]
             term, same = _terms(raw, np.array([0, len(raw)]), 0, len(raw))
-            code, n = np.unique(term, return_counts=True)
+            words = _words(raw, np.array([0, len(raw)]), 0, len(raw))[1]
+            code, n = np.unique(np.concatenate((term, words)), return_counts=True)
             codes.append(code)
             times.append(n)
             again.append(int(same.sum()))
@@ -144,12 +190,13 @@ def fit_counts(counted: list[dict], labels: list[int]) -> dict | None:
     if not counted:
         return None
     rows = [(np.array(r["codes"], np.int64), np.array(r["times"], np.int64), r["again"], r["size"]) for r in counted]
-    df = np.zeros(AGAIN + 1)
+    df = np.zeros(CODES)
     for code, _, again, _ in rows:
         df[code] += 1
         df[AGAIN] += again > 0
-    kept = np.sort(np.argsort(-df, kind="stable")[:min(TERMS, int((df > 0).sum()))])
-    slot = np.full(AGAIN + 1, -1)
+    most = lambda n, first, stop: first + np.argsort(-df[first:stop], kind="stable")[:min(n, int((df[first:stop] > 0).sum()))]
+    kept = np.sort(np.concatenate((most(TERMS, 0, WORD), most(WORD_TERMS, WORD, CODES))))
+    slot = np.full(CODES, -1)
     slot[kept] = np.arange(len(kept))
     idf = np.log((1.0 + len(rows)) / (1.0 + df[kept]))
     x = np.zeros((len(rows), len(kept)))
@@ -158,10 +205,11 @@ def fit_counts(counted: list[dict], labels: list[int]) -> dict | None:
         x[i, at[at >= 0]] = n[at >= 0] / size
         if slot[AGAIN] >= 0:
             x[i, slot[AGAIN]] = again / size
-    x *= idf
+    weight = idf * np.where(kept >= WORD, WORD_WEIGHT, 1.0)
+    x *= weight
     values, vectors = np.linalg.eigh(x.T @ x)
-    basis = vectors[:, ::-1][:, :RANK] * idf[:, None]
-    project = np.zeros((AGAIN + 1, basis.shape[1]), np.float32)
+    basis = vectors[:, ::-1][:, :RANK] * weight[:, None]
+    project = np.zeros((CODES, basis.shape[1]), np.float32)
     project[kept] = basis
     own = _unit(x @ vectors[:, ::-1][:, :RANK])
     return {"project": project, "vectors": own, "labels": np.array(labels, float), "prior": float(np.mean(labels))}
@@ -180,6 +228,8 @@ def vectors(data: np.ndarray, offsets: np.ndarray, project: np.ndarray) -> np.nd
         term, again = _terms(data, offsets, start, stop)
         values = project[term]
         values[again] += project[AGAIN]
+        ends, words = _words(data, offsets, start, stop)
+        values[ends] += project[words]
         sum_rows(values, offsets, start, total)
     return _unit(total)
 

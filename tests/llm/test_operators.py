@@ -639,3 +639,67 @@ def test_sums_by_row_across_windows():
     for start in range(0, 12, 4):
         sum_rows(np.arange(start, min(12, start + 4), dtype=float)[:, None], offsets, start, out)
     assert out[:, 0].tolist() == [0, 3, 0, 42, 21]
+
+
+def test_words_of_windows_are_those_of_the_whole_text():
+    texts = ["Aa aa ab, word-word x", "", "é😀 Straße 1a", "y" * 63 + " " + "z" * 64 + " " + "w" * 300, "end", "Next end"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    offsets = np.cumsum([0] + [len(r) for r in raw])
+    ends, terms = semantic_knn._words(data, offsets, 0, len(data))
+    plain = [(offsets[i] + m.end() - 1, bytes(m.group()).lower()) for i, r in enumerate(raw)
+             for m in re.finditer(rb"[A-Za-z0-9\x80-\xff]+", r)]
+    assert ends.tolist() == [e for e, _ in plain]
+    by_word = defaultdict(set)
+    for term, (_, w) in zip(terms.tolist(), plain):
+        by_word["long" if len(w) >= semantic_knn.LONG_WORD else w].add(term)
+    assert all(len(v) == 1 for v in by_word.values()) and len(set.union(*by_word.values())) == len(by_word)
+    for step in (1, 5, 64, 100):
+        cut = [semantic_knn._words(data, offsets, lo, min(len(data), lo + step)) for lo in range(0, len(data), step)]
+        assert np.concatenate([e + lo for (e, _), lo in zip(cut, range(0, len(data), step))]).tolist() == ends.tolist()
+        assert np.concatenate([t for _, t in cut]).tolist() == terms.tolist()
+
+
+def test_quality_tells_texts_apart_that_differ_in_words_only(spark):
+    rng = np.random.default_rng(8)
+    good, poor = (["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(40)] for _ in range(2))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else poor, 30)) + ".") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = semantic_knn.quality(docs, labels).where("held_out").collect()
+    assert len(got) > 30 and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_quality_vectors_and_votes_by_a_plain_version(spark):
+    """Terms counted byte by byte, idf, cosine to the projected sample, votes."""
+    rows = spark.read.parquet(SF + "/documents.parquet").where("doc_id < 40").select("doc_id", "text").collect()
+    texts = [r.text for r in rows] + ["", "so so so"]
+    labels = [i % 2 for i in range(len(texts))]
+    model = semantic_knn.fit(texts, labels)
+    cls = [0 if b == -1 else int(semantic_knn.CLASS[b]) for b in range(256)]
+
+    def plain(text):
+        raw, total = text.encode(), np.zeros(model["project"].shape[1])
+        padded = [0, 0] + [cls[b] for b in raw]
+        for i in range(len(raw)):
+            total += model["project"][(padded[i] * semantic_knn.CLASSES + padded[i + 1]) * semantic_knn.CLASSES + padded[i + 2]]
+        tokens = re.findall(rb"[^\x00-\x20]+", raw)
+        total += sum(a == b for a, b in zip(tokens, tokens[1:])) * model["project"][semantic_knn.AGAIN]
+        for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", raw):
+            own = np.frombuffer(w, np.uint8)
+            total += model["project"][semantic_knn._words(own, np.array([0, len(own)]), 0, len(own))[1][0]]
+        norm = np.linalg.norm(total)
+        return total / norm if norm > 1e-12 else total
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    x = semantic_knn.vectors(data, offsets, model["project"])
+    want = np.array([plain(t) for t in texts])
+    assert np.abs(x - want).max() < 1e-3
+    for row, score in zip(x, semantic_knn.vote(x, model)):
+        if not row.any():
+            assert score == model["prior"]
+            continue
+        cosine = np.round(row @ model["vectors"].T, 12)
+        near = sorted(range(len(texts)), key=lambda i: (-cosine[i], i))[:semantic_knn.NEIGHBOURS]
+        weight = [np.exp(semantic_knn.SHARPNESS * (cosine[i] - 1)) for i in near]
+        assert score == pytest.approx(np.dot(weight, [labels[i] for i in near]) / sum(weight))
