@@ -703,3 +703,81 @@ def test_quality_vectors_and_votes_by_a_plain_version(spark):
         near = sorted(range(len(texts)), key=lambda i: (-cosine[i], i))[:semantic_knn.NEIGHBOURS]
         weight = [np.exp(semantic_knn.SHARPNESS * (cosine[i] - 1)) for i in near]
         assert score == pytest.approx(np.dot(weight, [labels[i] for i in near]) / sum(weight))
+
+
+def _plain_fingerprint(text):
+    """Byte by byte: an eight-byte window, a chunk hash, levels tried in turn."""
+    raw, wide, long = text.encode(), 1 << 32, 1 << 64
+    if not raw:
+        return "0::"
+    rolls = []
+    for i in range(len(raw)):
+        window = sum(raw[i - j] * pow(ctph._ROLL, j, wide) for j in range(min(8, i + 1)))
+        rolls.append(window * int(ctph._ROLL_MIX) % wide)
+
+    def chunks(level):
+        out, begin = [], 0
+        for i, r in enumerate(rolls):
+            if r < wide >> level or i == len(raw) - 1:
+                out.append(raw[begin:i + 1])
+                begin = i + 1
+        return out
+
+    def signature(level):
+        out = ""
+        for chunk in chunks(level):
+            h = sum((b + 1) * pow(ctph._BASE, j, long) for j, b in enumerate(chunk)) % long
+            h = (h ^ h >> 29) * int(ctph._CHUNK_MIX) % long >> 52
+            out += ctph._ALPHABET[h // 64] + ctph._ALPHABET[h % 64]
+        return out
+    level = max(2, len(raw).bit_length() - 9)
+    while len(chunks(level)) > 64:
+        level += 1
+    return f"{1 << level}:{signature(level)}:{signature(level + 1)}"
+
+
+def _plain_likeness(a, b):
+    """Indel distance by the table of all prefixes, at the first common block size."""
+    sizes = []
+    for f in (a, b):
+        block, fine, coarse = f.split(":")
+        pairs = lambda s: [s[i:i + 2] for i in range(0, len(s), 2)]
+        sizes.append({int(block): pairs(fine), int(block) * 2: pairs(coarse)} if int(block) else {})
+    if not sizes[0] or not sizes[1]:
+        return float(sizes[0] == sizes[1])
+    common = sorted(set(sizes[0]) & set(sizes[1]))
+    if not common:
+        return 0.0
+    x, y = sizes[0][common[0]], sizes[1][common[0]]
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        diagonal, row[0] = row[0], i
+        for j, q in enumerate(y, 1):
+            diagonal, row[j] = row[j], diagonal if p == q else 1 + min(row[j], row[j - 1])
+    return 1 - row[-1] / (len(x) + len(y))
+
+
+def test_fingerprints_and_likeness_by_a_plain_version(spark):
+    rows = spark.read.parquet(SF + "/documents.parquet").where("doc_id < 60").select("text").collect()
+    texts = [r.text for r in rows] + ["", "a", "ab" * 700, "é😀 " * 50, "\x00\x00", "x" * 3000]
+    texts += [t[:len(t) // 2] + t[:len(t) // 2] for t in texts[:20]] + [t + t for t in texts[:10]]
+    prints = [ctph.fingerprint(t.encode()) for t in texts]
+    plain = [_plain_fingerprint(t) for t in texts]
+    assert [str(p) for p in prints] == plain
+    for i in range(len(texts)):
+        for j in (i, (i + 1) % len(texts), (i + 66) % len(texts), (i * 7 + 3) % len(texts)):
+            assert ctph.likeness(prints[i], prints[j]) == pytest.approx(_plain_likeness(plain[i], plain[j]), abs=1e-12)
+
+
+def test_op1_equals_the_plain_version_on_the_table(spark):
+    rows = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    got = ctph.successive(rows).orderBy(F.desc("doc_id")).collect()
+    texts = [r.text for r in rows.orderBy(F.desc("doc_id")).collect()]
+    for n, r in enumerate(got):
+        own, following = texts[n], texts[(n + 1) % len(texts)]
+        cut = len(own) // 2
+        edited = own[:len(own) - cut] + following[:cut]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (_plain_fingerprint(own), _plain_fingerprint(edited))
+        assert r.near_edited == pytest.approx(_plain_likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(_plain_likeness(r.fingerprint, _plain_fingerprint(following)))
