@@ -781,3 +781,10 @@ def test_op1_equals_the_plain_version_on_the_table(spark):
         assert (r.fingerprint, r.edited_fingerprint) == (_plain_fingerprint(own), _plain_fingerprint(edited))
         assert r.near_edited == pytest.approx(_plain_likeness(r.fingerprint, r.edited_fingerprint))
         assert r.near_next == pytest.approx(_plain_likeness(r.fingerprint, _plain_fingerprint(following)))
+
+
+def test_word_counts_follow_the_pattern(spark):
+    texts = ["", " ", "a", " a", "a ", "\n\ta  b\r\n", "é\u00a0ü x", "w w w", "\x0b\x0c", "a\x1cb\x85c", "$1 \\2 😀", None, "x " * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.n for r in df.select(mixing.word_count().alias("n")).collect()]
+    assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
