@@ -16,6 +16,7 @@ from marketlens.functions.joins import attach_scalars
 from marketlens.functions.money import rounded
 from marketlens.functions.quantiles import median_of
 from marketlens.functions.ranking import next_in_order, ntile_of, ranked
+from marketlens.sources.store import materialize
 
 CUST = "customer_unique_id"
 
@@ -52,6 +53,7 @@ def rfm_scores(base: DataFrame) -> DataFrame:                     # W6
 
 
 def rfm_summary(base: DataFrame) -> DataFrame:                    # G31 (stats)
+    base = materialize(base.sparkSession, base, "rfm-base")     # read by three aggregates
     stats = base.agg(
         F.count(F.lit(1)).alias("customers"),
         rounded(F.avg("recency"), 2).alias("mean_recency"),

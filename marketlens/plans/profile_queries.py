@@ -23,6 +23,7 @@ def raw_master(spark, sf_dir):
     text, null where the text is null (the text itself is not needed here)."""
     present = review_messages(spark, sf_dir).select("review_key", F.when(
         F.col("review_comment_message").isNotNull(), F.col("review_key").cast("string")).alias("_msg"))
+    present = materialize(spark, present, "text-presence")     # the planner sizes it from its files, without the texts
     m = master(spark, sf_dir).join(present, "review_key", "left")
     return m.withColumnRenamed("_msg", "review_comment_message").drop("review_key")
 

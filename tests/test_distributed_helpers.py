@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions.chunking import split_text
+from marketlens.functions import quantiles as quantiles_module
 from marketlens.functions.quantiles import quantiles
 from marketlens.functions.ranking import next_in_order, ntile_of, ranked
 from marketlens.functions.vectors import build, search, top_k
@@ -128,3 +129,44 @@ def test_catalogue_lookup_gives_nothing_for_an_unknown_id(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "product_id long, name string")
     wanted = spark.createDataFrame([(2,), (2,), (9,)], "product_id long")
     assert [tuple(r) for r in lookup(rows, wanted).collect()] == [(2, "b")]
+
+
+def test_quantiles_move_only_the_values_near_the_wanted_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": np.arange(30000) % 3, "v": rng.lognormal(0, 1, 30000)})
+    moved = []
+
+    def counted(df, *args, **kw):
+        moved.append(df.count())
+        return ranked(df, *args, **kw)
+    monkeypatch.setattr(quantiles_module, "ranked", counted)
+    got = {r.g: (r.q1, r.q3) for r in quantiles(spark.createDataFrame(pdf), "v", {"q1": 0.25, "q3": 0.75}, ["g"]).collect()}
+    for g, v in pdf.groupby("g")["v"]:
+        assert got[g] == pytest.approx((v.quantile(0.25), v.quantile(0.75)), rel=1e-12)
+    assert sum(moved) < 3000            # all 30,000 before
+
+
+def test_quantiles_of_values_that_no_equal_parts_fit(spark):
+    cases = {1: [1.0, 2.0, 3.0, 1e300, -1e300], 2: [7.0] * 5, 3: [1.0, 2.0, 3.0, float("inf"), float("-inf")], 4: [0.0, -0.0, 1.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in cases.items() for x in xs] + [(5, None)], "g int, v double")
+    got = {r.g: r.m for r in quantiles(df, "v", {"m": 0.5}, ["g"]).collect()}
+    assert got == {g: float(np.median(xs)) for g, xs in cases.items()}
+    assert quantiles(df.where("g = 5"), "v", {"m": 0.5}).first().m is None
+
+
+def test_order_lines_hold_source_columns_and_group_features(spark):
+    """Repeated orders and texts multiply lines as the plain joins do; only
+    source columns and group features are written."""
+    from marketlens.operators import enrich
+    li = spark.createDataFrame([(1, 1, 1, n, 5.0, 10.0, 0.1, 0.0, "F") for n in (1, 2)] + [(2, 1, 1, 1, 5.0, 10.0, 0.1, 0.0, "F"), (4, 9, 1, 1, 5.0, 10.0, 0.1, 0.0, "F")],
+                               "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string")
+    orders = spark.createDataFrame([(1, 7, "F", "1", 7, "N", "R"), (1, 7, "F", "1", 7, "N", "R"), (2, 8, "F", "1", 8, "N", "R"), (4, 8, "F", "1", 8, "N", "R")],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, c_custkey long, n_name string, r_name string") \
+        .withColumn("o_orderdate", F.lit("2020-01-01").cast("timestamp_ntz"))
+    part = spark.createDataFrame([(1, "b", "t", 3)], "p_partkey long, p_brand string, p_type string, p_size int")
+    texts = spark.createDataFrame([(1, 1, 4), (1, 1, 5), (2, 0, 0)], "review_key long, has_comment int, comment_length int")
+    lines = enrich.order_lines((li, orders, part, spark.createDataFrame([(3,)], "n_texts long")), texts)
+    assert set(lines.columns) == {*enrich.LINE_COLUMNS, *enrich.GROUP_FEATURES}
+    rows = sorted((r.l_orderkey, r.l_linenumber, r.payment_methods_per_order, r.customer_orders, r.comment_length) for r in lines.collect())
+    # order 1: two lines x two order rows x two texts; order 4 has no product, so customer 8 has one order
+    assert rows == sorted([(1, n, 2, 1, c) for n in (1, 2) for c in (4, 5) for _ in range(2)] + [(2, 1, 1, 1, 0)])
