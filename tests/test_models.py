@@ -144,3 +144,33 @@ def test_power_iteration_spans_the_leading_singular_vectors(spark):
     assert np.abs(basis.T @ right) == pytest.approx(np.eye(4), abs=1e-4)
     latent = {r.product_id: r.latent for r in rc.svd_latent(feats, 4).collect()}
     assert np.abs(np.array([latent[i] for i in range(80)])) == pytest.approx(np.abs(x @ right), abs=1e-2)
+
+
+def test_sentiment_model_learns_and_scores_each_text_once(spark):
+    """Copies of a review weigh as rows: vocabulary, frequencies and loss are
+    those of Spark's own estimators over all rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from marketlens.functions.textml import drop_tfidf_temps, fit_tfidf
+    from marketlens.operators import sentiment_ml as sml
+    from marketlens.operators.classify import class_weights
+    from marketlens.sources.store import materialize
+    texts = spark.createDataFrame([(0, "otimo produto bom"), (1, "produto ruim quebrado"), (2, "entrega bom rapida"), (3, ""), (4, None)],
+                                  "review_key long, review_text string")
+    terms = materialize(spark, sml.review_terms(texts), "test-terms")
+    assert terms.count() == 3
+    revs = spark.createDataFrame([(i, ("Positive", "Negative", "Positive")[i % 3] if i != 4 else "Negative", i % 3) for i in range(30)]
+                                 + [(90, "Positive", 3), (91, "Unknown", 0), (92, "Negative", None)],
+                                 "review_id long, sentiment string, review_key long")
+    corpus = materialize(spark, sml.review_corpus(revs, terms), "test-corpus")
+    assert corpus.columns == ["review_id", "sentiment", "text_no"] and corpus.count() == 30
+    model = sml.SentimentModel().fit(corpus, terms)
+    got = {r.review_id: r.probabilities for r in model.score(corpus, terms).collect()}
+    every = corpus.join(terms, "text_no")
+    tfidf = fit_tfidf(every, "terms", "features", sml.VOCAB)
+    assert set(model.tfidf.stages[0].vocabulary) == set(tfidf.stages[0].vocabulary)
+    data = drop_tfidf_temps(tfidf.transform(model.indexer.transform(every)), "features").join(class_weights(corpus, "sentiment"), "sentiment")
+    plain = LogisticRegression(family="multinomial", weightCol="weight", maxIter=1000, tol=1e-4, regParam=1 / 30, elasticNetParam=0.0,
+                               standardization=False).fit(data)
+    for r in plain.transform(data).select("review_id", vector_to_array("probability").alias("p")).collect():
+        assert got[r.review_id] == pytest.approx(r.p, abs=1e-3)
