@@ -1,5 +1,6 @@
 """Distributed helpers checked against brute force on small inputs."""
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from marketlens.functions.chunking import split_text
 from marketlens.functions import quantiles as quantiles_module
 from marketlens.functions.quantiles import quantiles
 from marketlens.functions.ranking import next_in_order, ntile_of, ranked
-from marketlens.functions.vectors import build, search, top_k
+from marketlens.functions.vectors import _scorer, _sent, _vectors, _visits, build, search, top_k
 
 
 def test_quantiles_match_pandas(spark):
@@ -90,6 +91,39 @@ def test_pruned_search_is_exact_and_skips_most_pairs(spark, metric):
     assert max(scored.values()) <= len(X) and sum(scored.values()) < 0.4 * len(Q) * len(X)
 
 
+def test_scorer_gives_nothing_below_the_floor_and_all_ties_at_it():
+    """A query's k-th hit of the first round limits what the second returns."""
+    pack = lambda m: pa.array([v.tobytes() for v in np.asarray(m, float)], pa.binary())
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(300, 16))
+    X[100:110] = X[7]                                           # copies of one row
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    Q = X[:3] + rng.normal(size=(3, 16)) * 0.1
+    Q /= np.linalg.norm(Q, axis=1, keepdims=True)
+    for metric in ("cosine", "euclidean"):
+        S = np.round(Q @ X.T if metric == "cosine" else -np.sqrt(((Q[:, None] - X[None]) ** 2).sum(-1)), 6)
+        floor = [-np.inf, np.sort(S[1])[-3], S[2, 7]]
+        corpus = pa.table({"leaf": pa.array(np.arange(300) // 50, pa.int32()), "cid": np.arange(300), "vec": pack(X)})
+        queries = pa.table({"qid": [0, 1, 2], "floor": floor, "vec": pack(Q), "leaves": pa.array([list(range(6))] * 3, pa.list_(pa.int32()))})
+        got = _scorer(5, False, metric)(corpus, queries).to_pylist()
+        for q in range(3):
+            want = [c for c in np.argsort(-S[q], kind="stable")[:5] if S[q, c] >= floor[q]]
+            assert [r["cid"] for r in got if r["qid"] == q] == want
+
+
+def test_a_shard_is_sent_once_for_each_block_of_its_own_queries(spark):
+    """Queries beside one corner of the table do not multiply the rest of it."""
+    rng = np.random.default_rng(2)
+    X = np.concatenate([rng.normal(size=(400, 3)) * 0.1 + c for c in ([0, 0, 0], [50, 0, 0], [0, 50, 0])])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(X)], "cid long, vec array<double>")
+    index = build(corpus, "euclidean", shard_rows=400)
+    q = _vectors(corpus.where("cid < 400").withColumnRenamed("cid", "qid"), "qid", "euclidean")
+    asked = q.select("qid", "vec", F.lit(0.0).alias("reach"), F.lit(float("-inf")).alias("floor"), F.lit(True).alias("first"))
+    visits = _visits(asked, index, 1)
+    sent = _sent(visits, index, 50)[0].groupBy("cid").count()
+    assert sent.where("cid >= 400").count() == 0 and sent.agg(F.max("count")).first()[0] <= 8
+
+
 def test_search_of_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "cid long, vec array<double>")
     none, q = df.where("1 = 0"), df.withColumnRenamed("cid", "qid")
