@@ -174,3 +174,13 @@ def test_sentiment_model_learns_and_scores_each_text_once(spark):
                                standardization=False).fit(data)
     for r in plain.transform(data).select("review_id", vector_to_array("probability").alias("p")).collect():
         assert got[r.review_id] == pytest.approx(r.p, abs=1e-3)
+
+
+def test_a_query_fits_only_the_models_it_names(spark, monkeypatch):
+    from marketlens.plans import ml_queries
+    fits = []
+    monkeypatch.setattr(ml_queries, "_satisfaction_data", lambda *_: ("balanced", "test"))
+    monkeypatch.setattr(sat, "train_all", lambda train, models: fits.extend(models) or dict.fromkeys(models, "fitted"))
+    assert set(ml_queries._satisfaction(spark, "named-models", "RandomForest")[2]) == {"RandomForest"} and fits == ["RandomForest"]
+    assert set(ml_queries._satisfaction(spark, "named-models")[2]) == set(sat.classifiers())
+    assert sorted(fits) == sorted(sat.classifiers())           # the forest is not fitted again
