@@ -37,7 +37,7 @@ def _raw_csv(spark, sf_dir):
             "order_approved_at": F.when(line == BAD_DATE_LINE, "not a date").otherwise(F.col("order_approved_at").cast("string"))})
         path = scratch_path(spark, "master-csv")
         files.write_master_csv(rows, path)
-        return materialize(spark, files.read_raw_master_csv(spark, path), "master-typed")
+        return files.read_raw_master_csv(spark, path)
     return memo(spark, sf_dir, "master-csv", build)
 
 

@@ -65,10 +65,11 @@ def date_failures(raw: DataFrame, cols=DATE_COLUMNS) -> DataFrame:      # S2
 
 
 def write_master_csv(rows: DataFrame, path: str) -> None:
-    """Rows (any of the master's columns, the rest empty) as a headed CSV."""
+    """Rows (any of the master's columns, the rest empty) as a headed CSV.
+    Files are compressed: with quoted line ends they cannot be split anyhow."""
     have = set(rows.columns)
     cols = [(F.col(n).cast("string") if n in have else F.lit(None).cast("string")).alias(n) for n, _ in MASTER_COLUMNS]
-    rows.select(*cols).write.option("header", True).option("escape", '"').csv(path)
+    rows.select(*cols).write.option("header", True).option("escape", '"').option("compression", "lz4").csv(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -106,3 +106,15 @@ def test_merged_sketches_are_near_the_exact_figures(spark):
     none = pr.sketches(rows.where("1 = 0"), F.col("m"), ["k", "s"], ["v", "same"])
     assert {r.approximate for r in pr.sketched_distinct(none, ["k", "s"]).collect()} == {0}
     assert pr.sketched_quantiles(none, ["v", "same"]).count() == 0
+
+
+def test_master_csv_is_written_compressed_and_once(spark, tmp_path):
+    from marketlens.plans.io_queries import _raw_csv
+    from marketlens.sources import files
+    raw = _raw_csv(spark, SF)
+    assert raw.inputFiles() and all(f.endswith(".csv.lz4") for f in raw.inputFiles())     # no second copy of the rows
+    assert raw.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    odd = spark.createDataFrame([("1", "two\nlines, \"quoted\""), ("2", None)], "order_id string, review_comment_message string")
+    files.write_master_csv(odd, str(tmp_path / "odd"))
+    back = files.read_raw_master_csv(spark, str(tmp_path / "odd")).where(f"{files.CORRUPT} is null")
+    assert {tuple(r) for r in back.select(*odd.columns).collect()} == {tuple(r) for r in odd.collect()}
