@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.money import money_sum, pct, rounded
+from marketlens.functions.money import pct, rounded
 from marketlens.functions.text import strip
 
 # Routing rules in evaluation order (intent, keywords).
@@ -135,34 +135,71 @@ def answers(routed: DataFrame, kpis: DataFrame) -> DataFrame:
 CAT = "product_category_name_english"
 
 
+#: Column -> number of its different values in a cell.
+CELL_COUNTS = {"order_id": "total_orders", "customer_unique_id": "total_customers", "seller_id": "total_sellers"}
+
+
+def _cell_sums(fact: DataFrame) -> DataFrame:
+    """Sums of every cell of the cube of category and state, from the sums of
+    each (category, state); ``_g`` tells ALL from null."""
+    delivered = F.col("order_status") == "delivered"
+    lab = F.col("sentiment").isin("Positive", "Negative", "Neutral")
+    sums = {"revenue": F.sum(F.col("payment_value").cast("decimal(18,6)")), "rows": F.count(F.lit(1)),
+            "labelled": F.sum(lab.cast("int")),
+            "positive": F.sum((F.col("sentiment") == "Positive").cast("int")),
+            "negative": F.sum((F.col("sentiment") == "Negative").cast("int")),
+            "late": F.sum((delivered & (F.col("delivery_status") == "Late")).cast("int")),
+            "delivered": F.sum(delivered.cast("int")),
+            "delivered_rows": F.count(F.when(delivered, 1)), "canceled_rows": F.count(F.when(F.col("order_status") == "canceled", 1)),
+            "returning": F.sum("is_returning_customer"), "typed": F.count("is_returning_customer"),
+            "days": F.sum(F.when(delivered, F.col("delivery_days"))), "timed": F.count(F.when(delivered, F.col("delivery_days")))}
+    pairs = fact.groupBy(F.col(CAT).alias("category"), F.col("customer_state").alias("state")) \
+                .agg(*[v.alias(k) for k, v in sums.items()])
+    cells = pairs.cube("category", "state").agg(*[F.sum(k).alias(k) for k in sums], F.grouping_id().alias("_g"))
+    return cells.withColumn("revenue", F.col("revenue").cast("decimal(28,6)"))
+
+
+def _cell_counts(fact: DataFrame, col: str, name: str) -> DataFrame:
+    """Different values of ``col`` in every cell of the cube.  A value's
+    (category, state) pairs are made distinct, so a window over one value has
+    at most as many rows as there are cells; its first row, and its first row
+    of each category and of each state, count for the coarser cells."""
+    own = fact.where(F.col(col).isNotNull()) \
+              .select(F.col(col).alias("_v"), F.col(CAT).alias("category"), F.col("customer_state").alias("state")).distinct()
+
+    def first(by: list[str], order: list[str]):
+        return (F.row_number().over(Window.partitionBy("_v", *by).orderBy(*order)) == 1).cast("long")
+    marked = own.withColumns({"_g1": first(["category"], ["state"]), "_g3": first([], ["category", "state"])}) \
+                .withColumn("_g2", first(["state"], ["category"]))
+    pairs = marked.groupBy("category", "state").agg(F.count(F.lit(1)).alias("_g0"), *[F.sum(c).alias(c) for c in ("_g1", "_g2", "_g3")])
+    cells = pairs.cube("category", "state").agg(*[F.sum(f"_g{g}").alias(f"_g{g}") for g in range(4)], F.grouping_id().alias("_g"))
+    return cells.select("category", "state", "_g", F.element_at(F.array("_g0", "_g1", "_g2", "_g3"), (F.col("_g") + 1).cast("int")).alias(name))
+
+
 def insight_metrics(fact: DataFrame) -> DataFrame:                      # R7
     """Platform and every (category|ALL, state|ALL) cell, long format:
     (focus, category, state, metric, value, flag)."""
-    delivered = F.col("order_status") == "delivered"
-    lab = F.col("sentiment").isin("Positive", "Negative", "Neutral")
-    n_lab = F.sum(lab.cast("int"))
-    cells = (fact.cube(F.col(CAT).alias("category"), F.col("customer_state").alias("state"))
-             .agg(money_sum("payment_value").alias("total_revenue"),
-                  F.count_distinct("order_id").cast("double").alias("total_orders"),
-                  F.round(F.sum(F.col("payment_value").cast("decimal(18,6)")) / F.count_distinct("order_id"), 2)
-                   .cast("double").alias("avg_order_value"),
-                  F.round(F.try_divide(F.sum((F.col("sentiment") == "Positive").cast("int")) * 100.0, n_lab), 2)
-                   .alias("positive_pct"),
-                  F.round(F.try_divide(F.sum((F.col("sentiment") == "Negative").cast("int")) * 100.0, n_lab), 2)
-                   .alias("negative_pct"),
-                  F.round(F.try_divide(F.sum((delivered & (F.col("delivery_status") == "Late")).cast("int")) * 100.0,
-                                       F.sum(delivered.cast("int"))), 2).alias("late_delivery_rate_pct"),
-                  F.round(F.avg(F.when(delivered, 1.0).otherwise(0.0)) * 100, 2).alias("delivery_success_rate_pct"),
-                  F.round(F.avg(F.when(F.col("order_status") == "canceled", 1.0).otherwise(0.0)) * 100, 2)
-                   .alias("cancellation_rate_pct"),
-                  rounded(F.avg("is_returning_customer") * 100, 2).alias("returning_customer_rate_pct"),
-                  rounded(F.avg(F.when(delivered, F.col("delivery_days"))), 2).alias("avg_delivery_days"),
-                  F.count_distinct("customer_unique_id").cast("double").alias("total_customers"),
-                  F.count_distinct("seller_id").cast("double").alias("total_sellers"),
-                  F.grouping_id().alias("_g"))
-             .withColumn("category", F.when(F.col("_g").bitwiseAND(2) > 0, "ALL").otherwise(F.col("category")))
-             .withColumn("state", F.when(F.col("_g").bitwiseAND(1) > 0, "ALL").otherwise(F.col("state")))
-             .drop("_g"))
+    every = _cell_sums(fact)
+    for col, name in CELL_COUNTS.items():
+        every = every.unionByName(_cell_counts(fact, col, name), allowMissingColumns=True)
+    keys = ["category", "state", "_g"]
+    # one row a cell from each part
+    cells = every.groupBy(*keys).agg(*[F.max(c).alias(c) for c in every.columns if c not in keys])
+    orders = F.coalesce("total_orders", F.lit(0))
+    share = lambda n, d: F.round(F.try_divide(F.col(n) * 100.0, F.col(d)), 2)
+    mean = lambda n, d: F.try_divide(F.col(n), F.col(d))
+    cells = cells.select(
+        F.when(F.col("_g").bitwiseAND(2) > 0, "ALL").otherwise(F.col("category")).alias("category"),
+        F.when(F.col("_g").bitwiseAND(1) > 0, "ALL").otherwise(F.col("state")).alias("state"),
+        F.round("revenue", 2).cast("double").alias("total_revenue"), orders.cast("double").alias("total_orders"),
+        F.round(F.col("revenue") / orders, 2).cast("double").alias("avg_order_value"),
+        share("positive", "labelled").alias("positive_pct"), share("negative", "labelled").alias("negative_pct"),
+        share("late", "delivered").alias("late_delivery_rate_pct"),
+        F.round(mean("delivered_rows", "rows") * 100, 2).alias("delivery_success_rate_pct"),
+        F.round(mean("canceled_rows", "rows") * 100, 2).alias("cancellation_rate_pct"),
+        rounded(mean("returning", "typed") * 100, 2).alias("returning_customer_rate_pct"),
+        rounded(mean("days", "timed"), 2).alias("avg_delivery_days"),
+        *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("total_customers", "total_sellers")])
     focus = {"total_revenue": "General overview", "total_orders": "General overview",
              "avg_order_value": "General overview", "total_customers": "General overview",
              "total_sellers": "General overview", "returning_customer_rate_pct": "Growth",

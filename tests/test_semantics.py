@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.dates import floor_days
 from marketlens.operators import enrich
-from marketlens.operators.insights import five_level, route
+from marketlens.operators.insights import five_level, insight_metrics, route
 
 
 def ts(s):
@@ -59,3 +59,29 @@ def test_routing_first_match_and_substrings(spark):
     got = [r.intent for r in route(qs).collect()]
     # "which" contains "hi" but the geography rule comes first; revenue beats forecast
     assert got == ["geography", "help", "revenue", "snapshot"]
+
+
+def test_insight_cells_count_different_values_without_copying_lines(spark):
+    names = ["product_category_name_english", "customer_state", "order_id", "customer_unique_id", "seller_id", "payment_value",
+             "sentiment", "order_status", "delivery_status", "is_returning_customer", "delivery_days"]
+    rows = [("a", "X", 1, 1, 1, 10.0, "Positive", "delivered", "Late", 1, 5), ("a", "X", 1, 1, 2, 5.0, "Positive", "delivered", "Late", 1, 7),
+            ("b", "X", 1, 1, 1, 2.5, "Unknown", "delivered", "On Time", 1, 2), ("a", "Y", 2, None, 1, None, "Negative", "canceled", "Late", 0, None),
+            ("b", None, 3, 2, 3, 4.0, "Neutral", "shipped", "On Time", 0, 9), ("b", None, 3, 2, 3, 4.0, "Neutral", "shipped", "On Time", 0, 9)]
+    types = "string string bigint bigint bigint double string string string int int".split()
+    out = insight_metrics(spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types))))
+    got = {(r.category, r.state, r.metric): r.value for r in out.collect()}
+    cells = {(c, s) for r in rows for c in (r[0], "ALL") for s in (r[1], "ALL")}
+    assert len(got) == 12 * len(cells) == out.count()
+    for c, s in cells:
+        own = [r for r in rows if c in (r[0], "ALL") and (s == "ALL" or r[1] == s)]
+        for at, metric in ((2, "total_orders"), (3, "total_customers"), (4, "total_sellers")):
+            assert got[c, s, metric] == len({r[at] for r in own} - {None})
+        money = [r[5] for r in own if r[5] is not None]
+        assert got[c, s, "total_revenue"] == (sum(money) if money else None)
+        assert got[c, s, "cancellation_rate_pct"] == round(100 * sum(r[7] == "canceled" for r in own) / len(own), 2)
+    assert got["ALL", "ALL", "avg_delivery_days"] == 4.67 and got["a", "Y", "avg_delivery_days"] is None
+    assert got["ALL", "ALL", "late_delivery_rate_pct"] == 66.67 and got["ALL", "ALL", "positive_pct"] == 40.0
+    # the grouping sets multiply sums and counts of cells, not order lines
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    copied = [next(x for x in plan[i:] if "Expand" not in x and "Project" not in x) for i, line in enumerate(plan) if "Expand" in line]
+    assert copied and all("Aggregate" in below for below in copied)
