@@ -303,10 +303,12 @@ def recursive_forecast(panel: DataFrame, model, series: Sequence[str] = (), hori
 POOLED_TREES = 100
 
 
-def dense_panel(fact: DataFrame, series: Sequence[str]) -> DataFrame:               # M20, M21
+def dense_panel(fact: DataFrame, series: Sequence[str], platform: DataFrame | None = None) -> DataFrame:   # M20, M21
     """Daily GMV of every series over the platform's whole calendar (days
     without sales are 0) with the platform's exogenous means and calendar
-    parts, and ``scale``, the series' mean day."""
+    parts, and ``scale``, the series' mean day.  ``platform`` is the daily
+    panel, if it is written already.  The days with sales are written, so the
+    lines are summed once and not again for the series, the rows and the mean."""
     series = list(series)
     sold = fact.where((F.col("order_status") == "delivered") & F.col("order_purchase_timestamp").isNotNull())
     for c in series:
@@ -314,7 +316,8 @@ def dense_panel(fact: DataFrame, series: Sequence[str]) -> DataFrame:
     day = F.to_date("order_purchase_timestamp")
     own = sold.groupBy(*series, day.alias("date")).agg(
         F.round(F.sum(F.col("payment_value").cast("decimal(18,6)")), 2).cast("double").alias("daily_gmv"))
-    platform = daily_panel(fact).select("date", "avg_freight_pct", "avg_installments", "avg_price")
+    own = materialize(fact.sparkSession, own, "fc-series-days")
+    platform = (daily_panel(fact) if platform is None else platform).select("date", "avg_freight_pct", "avg_installments", "avg_price")
     spine = own.select(*series).distinct().crossJoin(F.broadcast(platform))           # one row per calendar day
     rows = spine.join(own, [*series, "date"], "left").withColumn("daily_gmv", F.coalesce("daily_gmv", F.lit(0.0)))
     mean = rows.groupBy(*series).agg(F.avg("daily_gmv").alias("scale"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 
-_lock = threading.Lock()
+_lock = threading.RLock()       # a build may need another memo
 _memo: dict[tuple, object] = {}
 
 

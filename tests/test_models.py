@@ -87,6 +87,37 @@ def test_panel_forecasts_add_up_to_the_platform(spark):
     assert all(r.b == pytest.approx(3 * r.a, rel=0.2) for r in ratio)
 
 
+def test_series_days_are_summed_once_from_the_lines(spark):
+    """Lines of two series on three platform days: the lines are read once,
+    days without sales are 0."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    lines = [("a", 1, 10.0, "delivered"), ("a", 1, 5.0, "delivered"), ("a", 3, 6.0, "delivered"), ("b", 2, 9.0, "delivered"),
+             ("b", 2, 7.0, "canceled"), (None, 2, 7.0, "delivered"), ("c", None, 7.0, "delivered")]
+    fact = spark.createDataFrame(lines, "key string, d int, payment_value double, order_status string") \
+        .selectExpr("key", "date_add(date'2020-01-01', d) AS order_purchase_timestamp", "payment_value", "order_status") \
+        .mapInPandas(counted, "key string, order_purchase_timestamp date, payment_value double, order_status string")
+    platform = spark.range(1, 4).selectExpr("date_add(date'2020-01-01', int(id)) AS date", "double(id) AS avg_freight_pct",
+                                            "1D AS avg_installments", "1D AS avg_price")
+    out = fc.dense_panel(fact, ["key"], platform).orderBy("key", "date").collect()
+    assert [(r.key, r.date.day - 1, r.daily_gmv, r.scale, r.avg_freight_pct) for r in out] == [
+        ("a", 1, 15.0, 7.0, 1.0), ("a", 2, 0.0, 7.0, 2.0), ("a", 3, 6.0, 7.0, 3.0),
+        ("b", 1, 0.0, 3.0, 1.0), ("b", 2, 9.0, 3.0, 2.0), ("b", 3, 0.0, 3.0, 3.0)]
+    assert read.value == len(lines)
+
+
+def test_the_daily_panel_is_written_once_for_all_queries(spark, monkeypatch):
+    from marketlens.plans import ml_queries
+    built = []
+    monkeypatch.setattr(ml_queries, "enriched", lambda *_: spark.range(3))
+    monkeypatch.setattr(fc, "daily_panel", lambda fact: built.append(1) or fact)
+    assert [ml_queries._panel(spark, "one-panel").count() for _ in range(2)] == [3, 3] and len(built) == 1
+
+
 def test_unknown_indicators_and_unseen_codes(spark):
     df = spark.createDataFrame([("1.5", "a"), (None, "b"), ("x", "a")], "delay string, c string")
     out = sat.unknown_indicators(df, {"delay": 0.0}).collect()
