@@ -1,15 +1,16 @@
 """Exact quantiles with linear interpolation (``quantile_cont`` / pandas
 ``quantile`` semantics), computed without holding a group in one task.
 
-Three passes over the values, of which only the last moves any: the ends of
-each group, the rows in each of ``BINS`` equal parts between them, and the
-values of the parts that hold a wanted rank.  Those are pre-aggregated to
+Two passes over the values, of which only the last moves any: the rows of each
+group by magnitude (``_bin``: ``BINS`` parts to a power of two, which need no
+knowledge of the values), and the values of the parts that hold a wanted rank.
+Those are pre-aggregated to
 ``(group…, value) -> frequency``, ranked with running frequency sums by
 ``functions.ranking.ranked`` (range-partitioned, so a hot group spans many
 tasks), and the two order statistics around ``(n-1)·p`` are picked and
 interpolated as ``lo + (hi-lo)·frac``.  However the values lie, the result is
 exact; a part that holds most of them only moves more.  ``df`` is evaluated
-three times: pass a written table.
+twice: pass a written table.
 ``approx_accuracy`` switches to
 ``percentile_approx`` (one pass, bounded memory, approximate).
 """
@@ -20,11 +21,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.joins import attach_scalars
 from marketlens.functions.ranking import ranked
 from marketlens.sources.store import materialize
 
-BINS = 1024
+BINS = 128
 
 
 def quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
@@ -61,18 +61,20 @@ def _ranks(n: Column, p: float) -> tuple[Column, Column]:
     return F.floor(pos) + 1, F.ceil(pos) + 1
 
 
+def _bin(x: Column) -> Column:
+    """Number of the part that holds ``x``: grows with ``x``, NaN last."""
+    # powers of two of a double: -1074 to 1023, and 1024 for infinity
+    size = F.floor((F.least(F.log2(F.abs(x)), F.lit(1024.0)) + 1075) * BINS)
+    return F.when(x == 0, 0).when(F.isnan(x), 2100 * BINS).when(x < 0, -size).otherwise(size).cast("int")
+
+
 def _around_ranks(base: DataFrame, col: str, probs: Mapping[str, float], keys: list[str]) -> DataFrame:
     """The different values near the wanted ranks: ``_freq`` rows each, ``_upto``
     rows of the group up to and with them, ``_all`` rows of the group."""
     spark, x = base.sparkSession, F.col(col).cast("double")
-    ends = materialize(spark, base.groupBy(*keys).agg(F.min(x).alias("_least"), F.max(x).alias("_most")), "quantile-ends")
-    width = F.col("_most") - F.col("_least")
-    # one bin if all values are equal or an end is not finite
-    place = F.when((width > 0) & (width < float("inf")), F.least(F.floor((x - F.col("_least")) / width * BINS), F.lit(BINS - 1)))
-    binned = (base.join(ends, keys) if keys else attach_scalars(base, ends)) \
-        .select(*keys, col, F.coalesce(place, F.lit(0)).cast("int").alias("_bin"))
+    binned = base.select(*keys, col, _bin(x).alias("_bin"))
     counts = materialize(spark, binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in")), "quantile-bins")
-    group = Window.partitionBy(*keys)      # at most BINS rows a group
+    group = Window.partitionBy(*keys)      # at most BINS rows a group and power of two
     bins = counts.withColumn("_all", F.sum("_in").over(group)).withColumn("_below", F.coalesce(
         F.sum("_in").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     wanted = F.lit(False)

@@ -30,6 +30,7 @@ TAG_PATTERN = "<.*?>"
 URL_PATTERN = "http\\S+"
 ASCII_PUNCT_CLASS = "[!-/:-@\\[-`{-~]"      # Python's string.punctuation
 DIGITS_PATTERN = "[0-9]+"
+PUNCT_OR_DIGITS = ASCII_PUNCT_CLASS[:-1] + "0-9]+"     # both character classes in one pass
 
 
 def clean_tokens(c: Column, stopwords=PT_STOPWORDS) -> Column:
@@ -38,11 +39,9 @@ def clean_tokens(c: Column, stopwords=PT_STOPWORDS) -> Column:
     t = F.lower(c)
     t = F.regexp_replace(t, TAG_PATTERN, "")
     t = F.regexp_replace(t, URL_PATTERN, "")
-    t = F.regexp_replace(t, ASCII_PUNCT_CLASS, "")
-    t = F.regexp_replace(t, DIGITS_PATTERN, "")
+    t = F.regexp_replace(t, PUNCT_OR_DIGITS, "")
     toks = F.split(t, f"{WHITESPACE}+")
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(toks, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(toks, lambda w: (F.length(w) > 1) & ~w.isin(*(stopwords or ())))
 
 
 def clean_text(c: Column, stopwords=PT_STOPWORDS) -> Column:

@@ -62,12 +62,17 @@ def five_level(score) -> F.Column:                                     # P20
     return expr
 
 
-def keyword_sentiment(text) -> tuple[F.Column, F.Column]:              # P21
-    """(label, probabilities[Neg, Neu, Pos]) by substring hits."""
+def keyword_kind(text) -> F.Column:                                    # P21
+    """Positive, Negative or Mixed (both or none) by substring hits."""
     t = F.coalesce(text, F.lit(""))
     pos = F.exists(F.array(*[F.lit(w) for w in POSITIVE_WORDS]), lambda w: t.contains(w))
     neg = F.exists(F.array(*[F.lit(w) for w in NEGATIVE_WORDS]), lambda w: t.contains(w))
-    kind = F.when(pos & ~neg, "Positive").when(neg & ~pos, "Negative").otherwise("Mixed")
+    return F.when(pos & ~neg, "Positive").when(neg & ~pos, "Negative").otherwise("Mixed")
+
+
+def keyword_sentiment(kind) -> tuple[F.Column, F.Column]:              # P21
+    """(label, probabilities[Neg, Neu, Pos]) of a kind, which is read several
+    times: pass a column, not the search of a text."""
     label = F.when(kind == "Negative", "Negative").otherwise("Positive")
     probs = F.when(kind == "Positive", F.array(*[F.lit(p) for p in FALLBACK_PROBS["Positive"]])) \
              .when(kind == "Negative", F.array(*[F.lit(p) for p in FALLBACK_PROBS["Negative"]])) \

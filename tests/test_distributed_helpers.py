@@ -188,6 +188,33 @@ def test_quantiles_of_values_that_no_equal_parts_fit(spark):
     assert quantiles(df.where("g = 5"), "v", {"m": 0.5}).first().m is None
 
 
+def test_quantiles_read_the_values_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    df = spark.range(90).selectExpr("id % 3 AS g", "double(id) AS v").mapInPandas(counted, "g long, v double")
+    assert {r.g: r.m for r in quantiles(df, "v", {"m": 0.5}, ["g"]).collect()} == {0: 43.5, 1: 44.5, 2: 45.5}
+    assert read.value == 2 * 90         # three times before
+
+
+def test_quantile_parts_grow_with_the_values(spark):
+    values = [float("-inf"), -1e308, -3.0, -2.9, -1e-9, -5e-324, -0.0, 0.0, 5e-324, 1e-9, 0.5, 1.0, 1.01, 2.0, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    parts = [r.p for r in df.select("i", quantiles_module._bin(F.col("v")).alias("p")).orderBy("i").collect()]
+    assert parts == sorted(parts) and len(set(parts)) == len(values) - 1        # both zeros are one value
+
+
+def test_cleaning_drops_stopwords_of_any_list(spark):
+    from marketlens.functions.text import clean_text, clean_tokens
+    df = spark.createDataFrame([("Não <b>Recebi</b> o produto, 3x bom!ruim http://a.b c9d -- 1a",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(clean_text(F.col("t"))).collect()] == ["recebi produto bomruim cd", "", ""]
+    for none in ((), None):
+        assert df.select(clean_tokens(F.col("t"), none).alias("t")).first().t == ["não", "recebi", "produto", "bomruim", "cd"]
+
+
 def test_order_lines_hold_source_columns_and_group_features(spark):
     """Repeated orders and texts multiply lines as the plain joins do; only
     source columns and group features are written."""

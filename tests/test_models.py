@@ -118,6 +118,16 @@ def test_the_daily_panel_is_written_once_for_all_queries(spark, monkeypatch):
     assert [ml_queries._panel(spark, "one-panel").count() for _ in range(2)] == [3, 3] and len(built) == 1
 
 
+def test_keywords_are_searched_once_and_scored_by_kind(spark):
+    from marketlens.operators.insights import FALLBACK_PROBS, keyword_kind, keyword_sentiment
+    df = spark.createDataFrame([(0, "muito bom"), (1, "produto ruim"), (2, "bom ruim"), (3, "x"), (4, None)], "i int, t string")
+    kinds = df.select("i", keyword_kind(F.col("t")).alias("kind"))
+    label, probs = keyword_sentiment(F.col("kind"))
+    got = {r.i: (r.kind, r.label, tuple(r.probs)) for r in kinds.select("i", "kind", label.alias("label"), probs.alias("probs")).collect()}
+    want = {0: "Positive", 1: "Negative", 2: "Mixed", 3: "Mixed", 4: "Mixed"}
+    assert got == {i: (k, "Negative" if k == "Negative" else "Positive", FALLBACK_PROBS[k]) for i, k in want.items()}
+
+
 def test_unknown_indicators_and_unseen_codes(spark):
     df = spark.createDataFrame([("1.5", "a"), (None, "b"), ("x", "a")], "delay string, c string")
     out = sat.unknown_indicators(df, {"delay": 0.0}).collect()
