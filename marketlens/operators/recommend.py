@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.joins import attach_scalars
+from marketlens.functions.neighbours import neighbours
 from marketlens.functions.money import money_avg, rounded
 from marketlens.functions.textml import drop_tfidf_temps, fit_tfidf
-from marketlens.functions.vectors import top_k
 
 CAT = "product_category_name_english"
 SVD_RANK = 10
@@ -138,8 +138,7 @@ def similar_products(cat: DataFrame, vectors: DataFrame, vec_col: str, n: int =
                      strategy: str = "content") -> DataFrame:                        # M27, J4
     metric = "cosine" if strategy == "content" else "euclidean"
     v = vectors.select(F.col("product_id").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    hits = top_k(v.select(F.col("id").alias("qid"), "vec"), v.select(F.col("id").alias("cid"), "vec"),
-                        n, exclude_self=True, metric=metric)
+    hits = neighbours(v.select(F.lit(0).alias("grp"), "id", "vec"), n, metric)
     sim = F.col("score") if metric == "cosine" else 1.0 / (1.0 - F.col("score"))
     recs = hits.select(F.col("qid").alias("product_id"), F.col("cid").alias("rec_product_id"), "rank",
                        rounded(sim, 4).alias("similarity_score"))

@@ -231,3 +231,49 @@ def test_order_lines_hold_source_columns_and_group_features(spark):
     rows = sorted((r.l_orderkey, r.l_linenumber, r.payment_methods_per_order, r.customer_orders, r.comment_length) for r in lines.collect())
     # order 1: two lines x two order rows x two texts; order 4 has no product, so customer 8 has one order
     assert rows == sorted([(1, n, 2, 1, c) for n in (1, 2) for c in (4, 5) for _ in range(2)] + [(2, 1, 1, 1, 0)])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_neighbours_of_each_group_are_those_of_brute_force(spark, monkeypatch, metric):
+    """Clusters, copies, zero and far rows in three groups and one row alone;
+    cells are small, and one of equal rows is cut."""
+    from marketlens.functions import neighbours as nb
+    monkeypatch.setattr(nb, "MIN_CELL_ROWS", 40)
+    monkeypatch.setattr(nb, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 6)) * 8
+    X = np.concatenate([centres[rng.integers(0, 20, 300)] + rng.normal(size=(300, 6)) * 0.3, np.zeros((3, 6)), np.ones((60, 6)),
+                        rng.normal(size=(10, 6)) * 1e6])
+    group = rng.integers(0, 3, len(X))
+    group[5] = 7
+    rows = [(int(g), i, v.tolist()) for i, (g, v) in enumerate(zip(group, X))] + [(1, 9999, None), (1, 9998, [float("nan")] * 6), (2, 9997, [None] * 6)]
+    got = {}
+    for h in nb.neighbours(spark.createDataFrame(rows, "grp int, id long, vec array<double>"), 7, metric, task_rows=30).collect():
+        got.setdefault(h.qid, {})[h.rank] = (h.cid, h.score)
+    unit = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
+    S = unit @ unit.T if metric == "cosine" else -np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    S[group[:, None] != group[None]] = -np.inf
+    np.fill_diagonal(S, -np.inf)
+    for q in range(len(X)):
+        want = [c for c in np.argsort(-np.round(S[q], 6), kind="stable")[:7] if S[q, c] > -np.inf]
+        hits = [got.get(q, {})[r] for r in sorted(got.get(q, {}))]
+        assert [h[0] for h in hits] == want and [h[1] for h in hits] == pytest.approx(S[q][want], abs=1e-6)
+    assert set(got) == set(range(len(X))) - {5}
+
+
+def test_neighbours_of_nothing(spark):
+    from marketlens.functions.neighbours import neighbours
+    df = spark.createDataFrame([(0, 1, [1.0, 0.0])], "grp int, id long, vec array<double>")
+    assert neighbours(df.where("1 = 0"), 3).count() == 0 and neighbours(df, 3).count() == 0
+
+
+def test_neighbours_compare_clustered_rows_with_few_others(monkeypatch):
+    """Pairs screened by one task: a small part of all."""
+    from marketlens.functions import neighbours as nb
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(64, 4)) * 20, 100, axis=0) + rng.normal(size=(6400, 4))
+    pairs = []
+    monkeypatch.setattr(nb, "_compare", lambda block, rows, left, wide, cids, C, f=nb._compare: pairs.append(len(rows) * len(cids)) or f(block, rows, left, wide, cids, C))
+    ids = np.arange(len(x))
+    qid, cid, _, _ = nb._nearest((ids, x), (ids, x, np.full(len(x), -np.inf)), 1, False)
+    assert sum(pairs) < 0.15 * len(x) ** 2 and (qid != cid).all() and len(qid) == len(x)

@@ -225,3 +225,15 @@ def test_a_query_fits_only_the_models_it_names(spark, monkeypatch):
     assert set(ml_queries._satisfaction(spark, "named-models", "RandomForest")[2]) == {"RandomForest"} and fits == ["RandomForest"]
     assert set(ml_queries._satisfaction(spark, "named-models")[2]) == set(sat.classifiers())
     assert sorted(fits) == sorted(sat.classifiers())           # the forest is not fitted again
+
+
+def test_smote_searches_all_classes_at_once(spark, monkeypatch):
+    """One search whatever the number of classes; neighbours are of the row's class."""
+    calls, found = [], sat.neighbours
+    monkeypatch.setattr(sat, "neighbours", lambda rows, *a: calls.append(rows.count()) or found(rows, *a))
+    cols = sat.feature_columns()
+    rows = [(i, 1 + i % 4, *[float(i % 4 * 100 + (i * (j + 3)) % 7) for j in range(len(cols))]) for i in range(40)] + [(99, 2, *[103.0] * len(cols))]
+    out = sat.smote(spark.createDataFrame(rows, ["row_id", "review_score", *cols]))
+    assert calls == [41]
+    assert {r.review_score: (r.n, r.low // 100, r.high // 100) for r in out.groupBy("review_score").agg(
+        F.count("*").alias("n"), F.min(cols[0]).alias("low"), F.max(cols[0]).alias("high")).collect()} == {c: (11, c - 1, c - 1) for c in (1, 2, 3, 4)}
