@@ -277,3 +277,50 @@ def test_neighbours_compare_clustered_rows_with_few_others(monkeypatch):
     ids = np.arange(len(x))
     qid, cid, _, _ = nb._nearest((ids, x), (ids, x, np.full(len(x), -np.inf)), 1, False)
     assert sum(pairs) < 0.15 * len(x) ** 2 and (qid != cid).all() and len(qid) == len(x)
+
+
+def test_sparse_vectors_give_the_hits_of_dense_ones_and_stay_sparse(spark):
+    rng = np.random.default_rng(4)
+    X = ((rng.random((300, 40)) < 0.1) * rng.normal(size=(300, 40))).astype(np.float32)
+    X[7:9] = 0
+    X[20] = X[30]
+    dense = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(X)], "cid long, vec array<float>")
+    entries = [(i, (40, np.flatnonzero(v).tolist(), v[v != 0].tolist())) for i, v in enumerate(X)]
+    sparse = spark.createDataFrame(entries, "cid long, vec struct<size: int, place: array<int>, value: array<float>>")
+    for metric in ("cosine", "euclidean"):
+        got = [sorted((h.qid, h.rank, h.cid, h.score) for h in top_k(df.withColumnRenamed("cid", "qid").where("qid % 3 = 0"), df, 4, True, metric).collect())
+               for df in (dense, sparse)]
+        assert [h[:3] for h in got[0]] == [h[:3] for h in got[1]] and len(got[0]) == 400
+        assert [h[3] for h in got[1]] == pytest.approx([h[3] for h in got[0]], abs=1e-12)
+    assert build(sparse).rows.schema["vec"].dataType.typeName() == "struct"
+
+
+def test_queries_of_a_task_are_unpacked_part_by_part(spark, monkeypatch):
+    """Blocks larger than what is unpacked at a time give the same hits."""
+    from marketlens.functions import vectors
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 5)))], "cid long, vec array<double>")
+    index, queries = build(df, leaf_rows=16), df.withColumnRenamed("cid", "qid")
+    want = sorted(map(tuple, search(queries, index, 3, True)[0].collect()))
+    monkeypatch.setattr(vectors, "TASK_NUMBERS", 60)            # twelve queries
+    scorer = _scorer(3, True, "cosine")
+    packed = _vectors(queries, "qid", "cosine").toArrow()
+    leaves = pa.array([list(range(len(index.leaves)))] * 200, pa.list_(pa.int32()))
+    asked = pa.table({"qid": packed.column("qid"), "floor": np.full(200, -np.inf), "vec": packed.column("vec"), "leaves": leaves})
+    sizes, matrix = [], vectors._matrix
+    monkeypatch.setattr(vectors, "_matrix", lambda c: sizes.append(len(c)) or matrix(c))
+    got = scorer(index.rows.toArrow(), asked).to_pylist()
+    assert sorted((r["qid"], r["cid"]) for r in got) == sorted(w[:2] for w in want) and max(sizes) <= 16
+
+
+def test_first_version_of_a_keyed_table_is_written_without_a_copy(spark, monkeypatch):
+    from marketlens.sources import keyed
+    rows = [(i % 50, i, f"t{i}") for i in range(120)] + [(None, 1, "n"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "k long, v int, t string")
+    copies = []
+    monkeypatch.setattr(keyed, "materialize", lambda *a, f=keyed.materialize: copies.append(a[2]) or f(*a))
+    empty = keyed.create(spark, "once", "k", lambda: F.pmod(F.col("k"), F.lit(8)))
+    first = empty.upsert(df)
+    want = sorted({k: (k, v, t) for k, v, t in rows if k is not None}.values()) + [(None, 1, "n")] * 2
+    assert sorted(map(tuple, first.read().select("k", "v", "t").collect()), key=lambda r: (r[0] is None, r)) == want and not copies
+    assert first.held == dict.fromkeys([-1, *range(8)], 1) and empty.upsert(df.where("1 = 0")).version == 0
