@@ -237,3 +237,28 @@ def test_smote_searches_all_classes_at_once(spark, monkeypatch):
     assert calls == [41]
     assert {r.review_score: (r.n, r.low // 100, r.high // 100) for r in out.groupBy("review_score").agg(
         F.count("*").alias("n"), F.min(cols[0]).alias("low"), F.max(cols[0]).alias("high")).collect()} == {c: (11, c - 1, c - 1) for c in (1, 2, 3, 4)}
+
+
+def test_sentiment_model_joins_its_texts_once(spark):
+    """The texts are read once for the fit, as tokens; the model is that of written terms."""
+    from marketlens.operators import sentiment_ml as sml
+    from marketlens.sources.store import materialize
+    texts = spark.createDataFrame([(0, "otimo produto bom bom"), (1, "produto ruim quebrado"), (2, "entrega bom rapida")], "review_key long, review_text string")
+    tokens = materialize(spark, sml.review_tokens(texts), "test-tokens")
+    assert tokens.columns == ["text_no", "review_key", "tokens"]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    corpus = sml.review_corpus(spark.createDataFrame([(i, ("Positive", "Negative", "Positive")[i % 3], i % 3) for i in range(30)],
+                                                     "review_id long, sentiment string, review_key long"), tokens)
+    corpus = materialize(spark, corpus, "test-corpus")
+    model = sml.SentimentModel().fit(corpus, tokens.mapInPandas(counted, tokens.schema))
+    assert read.value == 3
+    plain = sml.SentimentModel().fit(corpus, sml.with_terms(tokens))
+    assert model.tfidf.stages[0].vocabulary == plain.tfidf.stages[0].vocabulary and "bom bom" in model.tfidf.stages[0].vocabulary
+    assert model.lr.coefficientMatrix.toArray() == pytest.approx(plain.lr.coefficientMatrix.toArray(), abs=1e-9)
+    a, b = ({r.review_id: r.probabilities for r in m.score(corpus, t).collect()} for m, t in ((model, tokens), (plain, sml.with_terms(tokens))))
+    assert len(a) == 30 and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
