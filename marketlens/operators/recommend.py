@@ -1,7 +1,7 @@
 """Product recommendation (M24–M27, J4): catalog, content features,
 truncated-SVD latent vectors, top-n similar products for every product.
 
-The neighbour search is the exact pruned search of ``functions.vectors``
+The neighbour search is the exact pruned search of ``functions.neighbours``
 (no cross join); similarity = 1 − cosine distance for content vectors and
 1 / (1 + euclidean distance) for latent vectors.  Self is excluded by id.
 """
